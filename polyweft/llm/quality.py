@@ -23,7 +23,7 @@ _SIGNS = np.frombuffer(b"#$%&*", np.uint8)
 _OTHER = np.frombuffer(b"\"'()+-/:;<=>?@[\\]^_`{}~", np.uint8)
 NAMES = ("log_bytes", "log_words", "log_word_length", "upper", "digit", "signs", "bang", "bar", "stop", "comma", "other", "newline", "beyond_ascii", "distinct_words", "log_line_length", "repeated_lines", "longest_word", "upper_words", "top_word")
 #: Shares of the pooled covariance in a class's, and of the diagonal in the pooled; the least variance.
-TO_POOLED, TO_DIAGONAL, FLOOR = 0.15, 0.05, 1e-4
+TO_POOLED, TO_DIAGONAL, FLOOR = 0.3, 0.1, 0.01
 
 
 def statistics(text: bytes) -> tuple[float, ...]:
