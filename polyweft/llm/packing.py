@@ -93,8 +93,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, size: i
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = ids_of.text(text or b"") + END
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of.texts(t or b"" for t in batch.column(1).to_pylist())):
+                ids += END
                 n = len(ids) // 4
                 for k, start in enumerate(range(0, n, size)):
                     part = ids[4 * start : 4 * (start + size)]

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyweft.llm import exact_dedup, mixing, packing, quality, simhash
+from polyweft.llm import chat, exact_dedup, mixing, packing, quality, simhash, sketches
 from polyweft.llm.common import documents
 
 
@@ -50,5 +50,22 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op5_simhash, op6_packing, op7_quality)}
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    out = chat.formatted(turns.unionByName(more)).withColumns({"turns": chat.read_back(F.col("text")), "learnt": F.array_join(chat.loss_texts(F.col("text"), F.col("loss")), "")})
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    told = F.array_join(F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), sha(told).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"),
+        sha(F.col("learnt")).alias("loss_sha256"), F.length("text").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(documents(spark, sf_dir)).drop("diff_edited", "diff_next")
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op5_simhash, op6_packing, op7_quality, op8_chat_format, op9_fingerprints)}
 ORACLES = {"op2_exact_dedup": OP2_SQL}
