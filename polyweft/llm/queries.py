@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyweft.llm import chat, exact_dedup, mixing, packing, quality, simhash, sketches
-from polyweft.llm.common import documents
+from polyweft.llm import chat, exact_dedup, lm_scoring, mixing, packing, pii, quality, simhash, sketches
+from polyweft.llm.common import documents, remainder
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +21,17 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def pretoken_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scoring.scored(documents(spark, sf_dir), remainder(F.col("doc_id")) != 1, tokenizer_path("byte_bpe_50k.tiktoken"), pretoken_pattern())
+    return out.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir))
 
@@ -67,5 +78,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(documents(spark, sf_dir)).drop("diff_edited", "diff_next")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op5_simhash, op6_packing, op7_quality, op8_chat_format, op9_fingerprints)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.found(documents(spark, sf_dir))
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[number(k) for k in pii.KINDS], F.sha2(told("base").cast("binary"), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_mixing, op5_simhash, op6_packing, op7_quality, op8_chat_format, op9_fingerprints, op10_pii)}
 ORACLES = {"op2_exact_dedup": OP2_SQL}

@@ -42,8 +42,9 @@ class WordIds(dict):
         return found
 
     def _learn(self, new: Iterable[bytes]) -> None:
-        cut = {w: m for w in new if (m := _LETTERS_THEN_SIGNS.fullmatch(w)) and not any(s in w for s in self._special)}
-        bases = list({m[1] for m in cut.values()}.difference(self))
+        # special strings have letters after signs and are never cut here
+        cut = {w: m for w in new if (m := _LETTERS_THEN_SIGNS.fullmatch(w))}
+        bases = [w for w in {m[1] for m in cut.values()} if w not in self]
         for at in range(0, len(bases), 4096):
             part = bases[at : at + 4096]
             ids = np.frombuffer(self._ids(b" ".join(part)), "<u4")
@@ -63,7 +64,7 @@ class WordIds(dict):
         def out() -> Iterator[bytes]:
             if len(self) > self.MOST:
                 self.clear()
-            self._learn(set().union(*group).difference(self))
+            self._learn([w for w in set().union(*group) if w not in self])
             for words in group:
                 yield b"".join(map(self.__getitem__, words))
             group.clear()
