@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyweft.llm import chat, exact_dedup, lm_scoring, mixing, packing, pii, quality, simhash, sketches
+from polyweft.llm import chat, exact_dedup, licences, lm_scoring, mixing, packing, pii, quality, simhash, sketches
 from polyweft.llm.common import documents, remainder
 
 
@@ -47,6 +47,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).drop("source")
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.scanned(documents(spark, sf_dir))
+    return out.select("doc_id", F.array_join("sentences", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"), "has_licence")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir))
 
@@ -85,5 +90,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[number(k) for k in pii.KINDS], F.sha2(told("base").cast("binary"), 256).alias("base_sha256"), told("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_mixing, op5_simhash, op6_packing, op7_quality, op8_chat_format, op9_fingerprints, op10_pii)}
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_mixing, op4_licences, op5_simhash, op6_packing, op7_quality, op8_chat_format, op9_fingerprints, op10_pii)}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_licences": licences.oracle()}
