@@ -7,6 +7,7 @@ word. Decoding turns runs of escape words back into text and composes.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -36,23 +37,23 @@ def nfc_latin(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
-def _nfd(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFD", t))
+@functools.cache
+def _form(name: str):
+    """The Arrow function of a normal form; made when first asked for, as it needs a session."""
 
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else unicodedata.normalize(name, t))
 
-@F.pandas_udf("string")
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+    return F.pandas_udf(run, "string")
 
 
 def nfd(text: Column, general: bool = False) -> Column:
     """Canonical decomposition; ``general``: of any text, through Arrow."""
-    return _nfd(text) if general else nfd_latin(text)
+    return _form("NFD")(text) if general else nfd_latin(text)
 
 
 def nfc(text: Column, general: bool = False) -> Column:
-    return _nfc(text) if general else nfc_latin(text)
+    return _form("NFC")(text) if general else nfc_latin(text)
 
 
 def _pairs(run: Column) -> Column:
@@ -96,7 +97,7 @@ def decode(words: Column, general: bool = False) -> Column:
     # characters above 255 are words too (œ, Œ): chr() covers one byte only
     wide = lambda w: F.when(W.payload(w) == 0x152, "C592").when(W.payload(w) == 0x153, "C593").otherwise(own(w))
     code = F.array_join(F.transform(words, lambda w: F.when(W.mode(w) == W.ESCAPE, pair(w)).otherwise(wide(w))), "")
-    return F.when(F.forall(words, decodable), nfc(F.try_validate_utf8(F.unhex(code).cast("string")), general))
+    return nfc(F.when(F.forall(words, decodable), F.try_validate_utf8(F.unhex(code).cast("string"))), general)
 
 
 def split_text(text: Column, size: int = 64) -> Column:
