@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyweft.plans import stream_queries, text_queries
+from polyweft.plans import codec_queries, stream_queries, text_queries
 
-MODULES = (stream_queries, text_queries)
+MODULES = (text_queries, stream_queries, codec_queries)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
