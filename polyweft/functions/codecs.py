@@ -371,11 +371,14 @@ def sound_strokes(bit: int, words: Column) -> Column:
     is_move = lambda i: (sub(i) == 1) & F.coalesce(sub(i + 1) == 2, F.lit(False))
     index = F.sequence(F.lit(0), F.size(words) - 1)
     moves = F.filter(index, is_move)
-    next_ = lambda m: F.coalesce(F.get(F.filter(moves, lambda k: k > m), F.lit(0)), F.size(words))
+    sub_of = lambda w: F.shiftright(w, 10).bitwiseAND(3)
+    # steps are the draw words up to the first word that is none
+    count = lambda s, w: F.struct((s["n"] + (s["open"] & (sub_of(w) == 3)).cast("int")).alias("n"), (s["open"] & (sub_of(w) == 3)).alias("open"))
+    drawn = lambda m: F.aggregate(F.slice(words, m + 3, F.greatest(F.size(words) - m - 2, F.lit(0))), F.struct(F.lit(0).alias("n"), F.lit(True).alias("open")), count, lambda s: s["n"])
     anchor_of = lambda m: F.coalesce(F.get(F.reverse(F.filter(index, lambda k: (k < m) & (k >= m - 7) & (sub(k) == 1) & ~is_move(k) & (F.shiftright(at(k), 7).bitwiseAND(7) == 0))), F.lit(0)), F.lit(-1))
     begin = lambda m: F.coalesce(F.get(F.reverse(F.filter(index, lambda k: (k < m) & (sub(k) == 0) & (at(k).bitwiseAND(1023) == 0))), F.lit(0)), F.lit(-1))
     base = lambda m: F.when(anchor_of(m) > begin(m), at(anchor_of(m)).bitwiseAND(127)).otherwise(0)
-    stroke = lambda m: F.struct((at(m).bitwiseAND(1023) + base(m)).alias("x"), at(m + 1).bitwiseAND(1023).alias("y"), F.size(F.filter(index, lambda k: (k > m) & (k < next_(m)) & (sub(k) == 3))).alias("steps"))
+    stroke = lambda m: F.struct((at(m).bitwiseAND(1023) + base(m)).alias("x"), at(m + 1).bitwiseAND(1023).alias("y"), drawn(m).alias("steps"))
     return F.when(F.size(words) > 0, F.transform(moves, stroke))
 
 

@@ -27,7 +27,8 @@ def distribution(shares: DataFrame, key: str | None, share: str, label: str) ->
 
 
 def unit(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    """Clamped to 0..1; null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def transport_score(parts: list[Column]) -> Column:

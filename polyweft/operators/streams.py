@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 from polyweft.functions import text as T
 from polyweft.functions import words as W
 
-STREAM = Window.partitionBy("stream_id").orderBy("pos")
-UPTO = STREAM.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _stream():
+    """Made when used: a window needs a session."""
+    return Window.partitionBy("stream_id").orderBy("pos")
+
+
+def _upto():
+    return _stream().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
 
 
 def from_arrays(df: DataFrame, words: str = "words") -> DataFrame:
@@ -57,12 +64,12 @@ def dispatched(stream: DataFrame) -> DataFrame:
     """
     ok = F.coalesce(W.in_range("word"), F.lit(False))
     bit = ok & W.is_taste_bit("word")
-    at = lambda k, v: F.coalesce(F.lead(bit & (W.version("word") == v), k).over(STREAM), F.lit(False)) if k else bit & (W.version("word") == v)
+    at = lambda k, v: F.coalesce(F.lead(bit & (W.version("word") == v), k).over(_stream()), F.lit(False)) if k else bit & (W.version("word") == v)
     marked = stream.withColumns({"_start": at(0, 0) & at(1, 1) & at(2, 2), "_more": bit & W.version("word").isin(2, 3)})
-    near = lambda k: F.coalesce(F.lag("_start", k).over(STREAM), F.lit(False))
+    near = lambda k: F.coalesce(F.lag("_start", k).over(_stream()), F.lit(False))
     marked = marked.withColumn("_in", F.col("_start") | near(1) | near(2))
     # a continuation belongs to a block if nothing but continuations lies between it and one
-    run = marked.withColumn("_run", F.sum((~F.col("_more") | F.col("_in")).cast("int")).over(UPTO))
+    run = marked.withColumn("_run", F.sum((~F.col("_more") | F.col("_in")).cast("int")).over(_upto()))
     inside = F.first("_in").over(Window.partitionBy("stream_id", "_run").orderBy("pos"))
     taste = F.col("_in") | (F.col("_more") & inside)
     return run.withColumn("modality", F.when(ok, F.when(taste, "taste").otherwise(W.modality("word")))).drop("_start", "_more", "_in", "_run")
@@ -71,8 +78,8 @@ def dispatched(stream: DataFrame) -> DataFrame:
 def blocks(classified: DataFrame) -> DataFrame:
     """(stream_id, modality, block, start, words): the longest runs of one modality; text and bpe separate, and an invalid word does."""
     m = F.coalesce("modality", F.lit(""))
-    change = F.coalesce((m != F.lag(m).over(STREAM)).cast("int"), F.lit(1))
-    numbered = classified.withColumn("_island", F.sum(change).over(UPTO)).where("modality not in ('text', 'bpe')")
+    change = F.coalesce((m != F.lag(m).over(_stream())).cast("int"), F.lit(1))
+    numbered = classified.withColumn("_island", F.sum(change).over(_upto())).where("modality not in ('text', 'bpe')")
     pairs = F.array_sort(F.collect_list(F.struct("pos", "word")))
     out = numbered.groupBy("stream_id", "modality", "_island").agg(F.min("pos").alias("start"), F.transform(pairs, lambda p: p["word"]).alias("words"))
     order = Window.partitionBy("stream_id", "modality").orderBy("start")
@@ -110,7 +117,7 @@ def validation(stream: DataFrame) -> DataFrame:
 
 def texts(classified: DataFrame, general: bool = False) -> DataFrame:
     """(stream_id, text, tokens): text words joined across other blocks and cut at bpe words, each cut decoded alone; null if one cannot be."""
-    own = classified.where("modality in ('text', 'bpe')").withColumn("cut", F.sum((F.col("modality") == "bpe").cast("int")).over(UPTO))
+    own = classified.where("modality in ('text', 'bpe')").withColumn("cut", F.sum((F.col("modality") == "bpe").cast("int")).over(_upto()))
     plain = F.transform(F.array_sort(F.collect_list(F.when(F.col("modality") == "text", F.struct("pos", "word")))), lambda p: p["word"])
     token = F.max(F.when(F.col("modality") == "bpe", W.payload("word", 12)))
     cuts = own.groupBy("stream_id", "cut").agg(T.decode(plain, general).alias("text"), token.alias("token"))
@@ -154,10 +161,10 @@ def mode_shares(stream: DataFrame) -> DataFrame:
 def checkpoints(classified: DataFrame, points: int = 48) -> DataFrame:
     """Running counts, transitions and mean segment length at up to ``points`` prefixes of each stream."""
     whole = Window.partitionBy("stream_id")
-    change = F.coalesce((F.col("modality") != F.lag("modality").over(STREAM)).cast("int"), F.lit(0))
-    n = F.row_number().over(STREAM)
+    change = F.coalesce((F.col("modality") != F.lag("modality").over(_stream())).cast("int"), F.lit(0))
+    n = F.row_number().over(_stream())
     run = classified.where("modality is not null").withColumns({"n": n, "change": change, "total": F.count(F.lit(1)).over(whole)})
-    run = run.withColumns({**{f"n_{m}": F.sum((F.col("modality") == m).cast("int")).over(UPTO) for m in W.LABELS}, "transitions": F.sum("change").over(UPTO)})
+    run = run.withColumns({**{f"n_{m}": F.sum((F.col("modality") == m).cast("int")).over(_upto()) for m in W.LABELS}, "transitions": F.sum("change").over(_upto())})
     # a prefix is kept where its share of the stream reaches another of the points
     kept = run.where((F.col("n") == F.col("total")) | (F.floor(F.col("n") * points / F.col("total")) != F.floor((F.col("n") - 1) * points / F.col("total"))))
     return kept.select("stream_id", "n", *[f"n_{m}" for m in W.LABELS], "transitions", (F.col("n") / (F.col("transitions") + 1)).alias("segment_length"))
