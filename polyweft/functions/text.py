@@ -8,6 +8,7 @@ word. Decoding turns runs of escape words back into text and composes.
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 
 import pandas as pd
@@ -37,23 +38,61 @@ def nfc_latin(text: Column) -> Column:
     return text
 
 
+_OWN = {9, 10, 13, *range(0x20, 0x7F), *map(ord, _OWN_LETTERS)}
+_DECODED = _OWN | set(map(ord, DECODED_ONLY))
+
+
+def _encode_one(text: str | None, escape_only: bool) -> list[int] | None:
+    """Words of any text: runs of characters with and without a word of their own in turn."""
+    if text is None:
+        return None
+    out: list[int] = []
+    for own, chars in itertools.groupby(unicodedata.normalize("NFD", text), lambda c: not escape_only and ord(c) in _OWN):
+        run = "".join(chars)
+        if own:
+            out += map(ord, run)
+        else:
+            code = run.encode("utf-8", "surrogatepass")
+            out += [W.ESCAPE << 18 | int.from_bytes(code[i : i + 2].ljust(2, b"\0"), "big") for i in range(0, len(code), 2)]
+    return out
+
+
+def _decode_one(words: list[int] | None) -> str | None:
+    """Text of words that are all ``decodable``, else null."""
+    if words is None:
+        return None
+    code = b""
+    for w in map(int, words):
+        if w >> 16 == 4:
+            code += (w & 0xFFFF).to_bytes(2, "big") if w & 0xFF else bytes([w >> 8 & 0xFF])
+        elif w in _DECODED:
+            code += chr(w).encode()
+        else:
+            return None
+    try:
+        return unicodedata.normalize("NFC", code.decode("utf-8"))
+    except UnicodeDecodeError:
+        return None
+
+
 @functools.cache
-def _form(name: str):
-    """The Arrow function of a normal form; made when first asked for, as it needs a session."""
+def _arrow(name: str, kind: str):
+    """The Arrow functions for text of any alphabet; made when first asked for, as they need a session."""
+    one = {"nfd": lambda t: None if t is None else unicodedata.normalize("NFD", t), "nfc": lambda t: None if t is None else unicodedata.normalize("NFC", t), "encode": lambda t: _encode_one(t, False), "escape": lambda t: _encode_one(t, True), "decode": _decode_one}[name]
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else unicodedata.normalize(name, t))
+        return s.map(one)
 
-    return F.pandas_udf(run, "string")
+    return F.pandas_udf(run, kind)
 
 
 def nfd(text: Column, general: bool = False) -> Column:
     """Canonical decomposition; ``general``: of any text, through Arrow."""
-    return _form("NFD")(text) if general else nfd_latin(text)
+    return _arrow("nfd", "string")(text) if general else nfd_latin(text)
 
 
 def nfc(text: Column, general: bool = False) -> Column:
-    return _form("NFC")(text) if general else nfc_latin(text)
+    return _arrow("nfc", "string")(text) if general else nfc_latin(text)
 
 
 def _pairs(run: Column) -> Column:
@@ -64,14 +103,18 @@ def _pairs(run: Column) -> Column:
 
 
 def encode(text: Column, general: bool = False) -> Column:
-    """The words of a text, in one projection without a shuffle."""
-    units = F.regexp_extract_all(nfd(text, general), F.lit(f"([{MAPPED}]|[^{MAPPED}]+)"))
+    """The words of a text, in one projection without a shuffle. ``general``: of any alphabet, through Arrow."""
+    if general:
+        return _arrow("encode", "array<int>")(text)
+    units = F.regexp_extract_all(nfd(text), F.lit(f"([{MAPPED}]|[^{MAPPED}]+)"))
     return F.flatten(F.transform(units, lambda u: F.when(u.rlike(f"^[{MAPPED}]$"), F.array(F.ascii(u))).otherwise(_pairs(u))))
 
 
 def encode_escape_only(text: Column, general: bool = False) -> Column:
     """The variant in which all bytes are escape words."""
-    decomposed = nfd(text, general)
+    if general:
+        return _arrow("escape", "array<int>")(text)
+    decomposed = nfd(text)
     return F.when(decomposed == "", F.expr("cast(array() as array<int>)")).otherwise(_pairs(decomposed))
 
 
@@ -91,13 +134,16 @@ def decode(words: Column, general: bool = False) -> Column:
     Each word becomes the hex of its bytes; the whole is decoded once, as a run of escapes holds whole characters.
     A zero low byte is dropped.
     """
+    if general:
+        return _arrow("decode", "string")(words)
     own = lambda w: F.hex(F.encode(F.chr(W.payload(w)), "UTF-8"))
     low = lambda w: W.payload(w, 8)
     pair = lambda w: F.concat(F.lpad(F.hex(F.shiftright(W.payload(w), 8).cast("long")), 2, "0"), F.when(low(w) != 0, F.lpad(F.hex(low(w).cast("long")), 2, "0")).otherwise(""))
     # characters above 255 are words too (œ, Œ): chr() covers one byte only
     wide = lambda w: F.when(W.payload(w) == 0x152, "C592").when(W.payload(w) == 0x153, "C593").otherwise(own(w))
     code = F.array_join(F.transform(words, lambda w: F.when(W.mode(w) == W.ESCAPE, pair(w)).otherwise(wide(w))), "")
-    return nfc(F.when(F.forall(words, decodable), F.try_validate_utf8(F.unhex(code).cast("string"))), general)
+    content = F.when(F.forall(words, decodable), F.unhex(code))
+    return nfc(F.try_validate_utf8(content.cast("string")))
 
 
 def split_text(text: Column, size: int = 64) -> Column:
