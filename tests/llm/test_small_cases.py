@@ -267,7 +267,7 @@ def test_crf_and_lstm_gradients():
 
 
 def test_language_model_sums_to_one():
-    table = np.full((lm.SIZE, lm.SIZE), 1 / lm.SIZE)
+    table = np.full((lm.SIZE, lm.SIZE), 1.0 / lm.SIZE)
     p, fixed = lm.start(table)
     x, y, _ = lm.windows([np.array([5, 6, 7], np.uint16)])
     total = sum(np.exp(lm.log_probs(p, fixed, x, np.where(np.arange(lm.SCORED) == 2, k, -1)[None])[0, 2]) for k in range(lm.SIZE))
