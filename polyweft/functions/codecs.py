@@ -102,6 +102,42 @@ def smell_strokes(words: Column) -> Column:
     return F.when(F.size(words) > 0, F.transform(heads, stroke))
 
 
+def augmented_records(words: Column) -> Column:
+    """Strokes of a block with the two words after their steps: tree operations, complexity and chirality; nulls where those are missing."""
+    op = lambda i: F.shiftright(F.get(words, i), 6).bitwiseAND(3)
+    data = lambda i: F.get(words, i).bitwiseAND(63)
+    ok = lambda i: F.coalesce((W.mode(F.get(words, i)) == W.EXTENSION) & (W.version(F.get(words, i)) == 0) & W.has(F.get(words, i), W.SMELL), F.lit(False))
+    heads = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ok(i) & ok(i + 1) & (op(i) == 0) & (op(i + 1) == 1))
+    after = lambda i: i + 2 + data(i + 1).bitwiseAND(7)
+    meta = lambda i, k: F.when(ok(after(i) + k) & (op(after(i) + k) == 3), data(after(i) + k))
+    tree = lambda i: F.array(*[F.shiftright(meta(i, 0), 2 * k).bitwiseAND(3) for k in range(3)])
+    return F.when(F.size(words) > 0, F.transform(heads, lambda i: F.struct(i.alias("at"), tree(i).alias("tree"), meta(i, 1).bitwiseAND(15).alias("complexity"), F.shiftright(meta(i, 1), 4).alias("chirality"))))
+
+
+def episode_words(level: Column, half_life: Column, floor: Column, records: Column) -> Column:
+    """Three header words and one to four packed records."""
+    n = F.size(records)
+    # fixed values: markers of the header, the half-life and the floor
+    head = F.array(_smell(3, bits((0x30, 0), (level.cast("int").bitwiseAND(3), 2), (n - 1, 0))), _smell(3, bits((0x20, 0), (half_life.cast("int").bitwiseAND(15), 0))), _smell(3, bits((0x10, 0), (floor.cast("int").bitwiseAND(15), 0))))
+    return F.when(n.between(1, 4), F.concat(head, F.flatten(records))).otherwise(F.raise_error(F.lit("an episode has 1 to 4 records")).cast("array<int>"))
+
+
+def episode(words: Column) -> Column:
+    """struct(level, sniffs, half_life, floor, records) of a block that starts with an episode's header, else null; a level of 3 counts as 0."""
+    data = lambda i: F.get(words, F.lit(i)).bitwiseAND(63)
+    is_ = lambda i, marker: F.shiftright(F.get(words, F.lit(i)), 6).bitwiseAND(3).eqNullSafe(3) & (data(i).bitwiseAND(0x30) == marker)
+    level = F.shiftright(data(0), 2).bitwiseAND(3)
+    sniffs = data(0).bitwiseAND(3) + 1
+    records = F.slice(augmented_records(words), F.lit(1), sniffs)
+    return F.when(is_(0, 0x30) & is_(1, 0x20) & is_(2, 0x10), F.struct(F.when(level < 3, level).otherwise(0).alias("level"), sniffs.alias("sniffs"), data(1).bitwiseAND(15).alias("half_life"), data(2).bitwiseAND(15).alias("floor"), records.alias("records")))
+
+
+def odor_signature(category: Column, pleasantness: Column, intensity: Column, directions: Column, tree: Column, complexity: Column, chirality: Column) -> Column:
+    """A key that equal augmented records share."""
+    parts = F.concat(F.array(category.cast("int"), pleasantness.cast("int"), intensity.cast("int")), directions, tree, F.array(complexity.cast("int"), chirality.cast("int")))
+    return F.array_join(F.transform(parts, lambda p: p.cast("string")), ",")
+
+
 # fixed values: weights of floral, fruity, spicy, woody, chemical in the two axes
 PLEASANT_WEIGHTS = (0.95, 0.8, 0.15, -0.25, -1.0)
 INTENSE_WEIGHTS = (0.35, 0.45, 0.65, 0.75, 0.95)
@@ -269,6 +305,28 @@ def mental_words(form: Column, symmetry: Column, frequency: Column, speed: Colum
     return F.concat(lead, framed, F.array(control(3, bits((0x200, 0), (delta.cast("int").bitwiseAND(255), 0)))), F.transform(runs, drawn))
 
 
+def mental_strokes(words: Column) -> Column:
+    """Strokes of a block: four control words in order start one, a frame word and a delta word may follow, then as many draw words as announced; anything else is passed over."""
+    at = lambda i: F.get(words, i)
+    low = lambda i: W.payload(at(i), 12)
+    control = lambda i, v: F.coalesce((W.mode(at(i)) == W.RESERVED) & (W.version(at(i)) == v) & W.has(at(i), W.MENTAL), F.lit(False))
+    heads = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: control(i, 0) & control(i + 1, 1) & control(i + 2, 2) & control(i + 3, 3))
+    framed = lambda i: control(i + 4, 3) & (low(i + 4).bitwiseAND(0x800) != 0)
+    delta_at = lambda i: i + 4 + framed(i).cast("int")
+    timed = lambda i: control(delta_at(i), 3) & (low(delta_at(i)).bitwiseAND(0x200) != 0)
+    first = lambda i: delta_at(i) + timed(i).cast("int")
+    byte = lambda c: c.bitwiseAND(0xFF)
+    drawn = lambda i: F.filter(F.slice(words, first(i) + 1, byte(low(i + 3))), lambda w: (W.mode(w) == W.EXTENSION) & W.has(w, W.MENTAL))
+    wide = lambda i: low(i).bitwiseAND(2) != 0
+    run = lambda i, w: F.array_repeat(F.when(wide(i), F.shiftright(w, 4).bitwiseAND(15)).otherwise(F.shiftright(w, 5).bitwiseAND(7)), F.when(W.version(w) == 1, F.when(wide(i), w.bitwiseAND(15)).otherwise(w.bitwiseAND(31)) + 1).otherwise(1))
+    sym = lambda i: F.shiftleft(F.shiftright(low(i), 9).bitwiseAND(1), 1).bitwiseOR(F.shiftright(low(i), 7).bitwiseAND(1))
+    stroke = lambda i: F.struct(
+        F.shiftright(low(i), 10).bitwiseAND(3).alias("form"), sym(i).alias("symmetry"), F.shiftright(low(i), 4).bitwiseAND(7).alias("frequency"), F.shiftright(low(i), 2).bitwiseAND(3).alias("speed"),
+        byte(low(i + 1)).alias("x"), byte(low(i + 2)).alias("y"), F.when(framed(i), byte(low(i + 4))).alias("frame"), F.when(timed(i), byte(low(delta_at(i)))).alias("delta"), F.flatten(F.transform(drawn(i), lambda w: run(i, w))).alias("directions"),
+    )
+    return F.when(F.size(words) > 0, F.transform(heads, stroke))
+
+
 def direction_runs(directions: Column, most: Column | int) -> Column:
     """struct(dir, n) of equal neighbours, longer runs cut at ``most``."""
     m = F.lit(most) if isinstance(most, int) else most

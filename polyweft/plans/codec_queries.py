@@ -102,7 +102,8 @@ def touch_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def touch_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     one = lambda r: C.touch_words(_int(r), _int("c_nationkey % 16"), F.expr("transform(sequence(1, 3), i -> cast((c_custkey + i) % 8 as int))"), F.array(_int("c_custkey % 8")))
-    s = c.select("c_custkey", F.posexplode(C.touch_strokes(F.concat(one("c_custkey % 4"), one("(c_custkey + 1) % 4")))).alias("k", "s"))
+    w = c.select("c_custkey", F.concat(one("c_custkey % 4"), one("(c_custkey + 1) % 4")).alias("w"))
+    s = w.select("c_custkey", F.posexplode(C.touch_strokes(F.col("w"))).alias("k", "s"))
     return s.select("c_custkey", "k", F.col("s.receptor").alias("receptor"), F.col("s.region").alias("region"), _text("s.directions").alias("directions"), _text("s.pressures").alias("pressures"))
 
 
@@ -143,6 +144,24 @@ def mental_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", _text(words).alias("words"))
 
 
+def mental_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").withColumn("m", F.when(F.col("p_partkey") % 2 == 0, 12).otherwise(8)).withColumn("d", F.expr("concat(array_repeat(cast(p_partkey % 8 as int), cast(p_size as int)), array(1, 1, 2))"))
+    frame = F.when(F.col("p_partkey") % 3 == 0, _int("p_size"))
+    words = C.mental_words(_int("p_partkey % 4"), _int("p_size % 4"), _int("p_partkey % 8"), F.lit(1), F.col("m"), _int("p_partkey % 256"), F.lit(128), F.col("d"), frame, _int("p_size % 256"))
+    s = p.select("p_partkey", words.alias("w")).select("p_partkey", F.explode(C.mental_strokes(F.concat(F.array(F.lit(65)), "w"))).alias("s"))
+    return s.select("p_partkey", *[F.col(f"s.{c}").alias(c) for c in ("form", "symmetry", "frequency", "speed", "x", "y", "frame", "delta")], _text("s.directions").alias("directions"))
+
+
+def odor_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    tree = F.array(_int("s_suppkey % 4"), _int("s_nationkey % 4"), _int("s_suppkey div 4 % 4"))
+    record = C.augmented_words(_int("s_suppkey % 8"), F.lit(3), F.lit(4), F.array(F.lit(2), _int("s_suppkey % 8")), tree, _int("s_suppkey % 16"), _int("s_suppkey % 2"))
+    w = C.episode_words(_int("s_suppkey % 3"), _int("s_suppkey % 16"), _int("s_nationkey % 16"), F.array(record, record))
+    e = s.select("s_suppkey", "s_nationkey", w.alias("w")).select("s_suppkey", C.episode(F.col("w")).alias("e"), C.odor_signature(_int("s_suppkey % 8"), F.lit(3), F.lit(4), F.array(F.lit(2)), tree, _int("s_suppkey % 16"), _int("s_suppkey % 2")).alias("signature"))
+    r = F.get("e.records", F.lit(1))
+    return e.select("s_suppkey", *[F.col(f"e.{c}").alias(c) for c in ("level", "sniffs", "half_life", "floor")], _text(r["tree"]).alias("tree"), r["complexity"].alias("complexity"), r["chirality"].alias("chirality"), "signature")
+
+
 # --- diagram
 
 
@@ -186,7 +205,7 @@ def sound_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     stroke = lambda x, a: C.sound_stroke(W.MUSIC, _int(x), _int("p_size % 60"), F.expr("array_repeat(0, cast(1 + p_size % 4 as int))"), anchor=a)
     w = F.concat(C.music_meta(F.lit(3), F.lit(4), F.lit(0), F.lit(90.0)), stroke("p_partkey % 100 + 7", _int("p_partkey % 100")), stroke("p_partkey % 100 + 8", F.lit(None).cast("int")))
-    s = p.select("p_partkey", F.posexplode(C.sound_strokes(W.MUSIC, w)).alias("k", "s"))
+    s = p.select("p_partkey", w.alias("w")).select("p_partkey", F.posexplode(C.sound_strokes(W.MUSIC, F.col("w"))).alias("k", "s"))
     return s.select("p_partkey", "k", F.col("s.x").alias("x"), F.col("s.y").alias("y"), F.col("s.steps").cast("long").alias("steps"))
 
 
@@ -306,6 +325,8 @@ r as (select *, case when d0 = 1 then [[1, p_size + 2], [2, 1]] else [[d0, p_siz
 c as (select *, flatten(list_transform(raw, lambda a: list_transform(range(0, (a[2] + most - 1) // most), lambda k: [a[1], least(most, a[2] - k * most)]))) as runs from r)
 select p_partkey, concat_ws(',', 786432 + 256 + p_partkey % 4 * 1024 + (p_size % 4 >> 1) * 512 + (p_size % 4 & 1) * 128 + p_partkey % 8 * 16 + 4 + case when m = 12 then 2 else 0 end, 851968 + (256 | (p_partkey % 256)), 917504 + 256 + 128, 983040 + (256 | len(runs)),
 case when p_partkey % 3 = 0 then 983040 + 256 + 2048 + p_size end, 983040 + 256 + 512 + p_size % 256, array_to_string(list_transform(runs, lambda u: 589824 + 256 + case when m = 12 then u[1] * 16 else u[1] * 32 end + u[2] - 1), ',')) as words from c""",
+    "mental_unpack": "select p_partkey, (p_partkey % 4)::int as form, p_size % 4 as symmetry, (p_partkey % 8)::int as frequency, 1 as speed, (p_partkey % 256)::int as x, 128 as y, case when p_partkey % 3 = 0 then p_size end as frame, p_size % 256 as delta, array_to_string(list_concat(list_transform(range(0, p_size), lambda i: p_partkey % 8), [1, 1, 2]), ',') as directions from part",
+    "odor_episodes": "select s_suppkey, (s_suppkey % 3)::int as level, 2 as sniffs, (s_suppkey % 16)::int as half_life, s_nationkey % 16 as floor, concat_ws(',', s_suppkey % 4, s_nationkey % 4, s_suppkey // 4 % 4) as tree, (s_suppkey % 16)::int as complexity, (s_suppkey % 2)::int as chirality, concat_ws(',', s_suppkey % 8, 3, 4, 2, s_suppkey % 4, s_nationkey % 4, s_suppkey // 4 % 4, s_suppkey % 16, s_suppkey % 2) as signature from supplier",
     "dir_steps": f"""with p as (select p_partkey, (p_partkey + p_size) % 200 as x0, (p_partkey + p_size) % 200 as y0, (p_partkey * 3 + p_size) % 200 as x1, (p_partkey + p_size * 3) % 200 as y1 from part), s as (select *, x1 - x0 as dx, y1 - y0 as dy, unnest(range(1, greatest(abs(x1 - x0), abs(y1 - y0)) + 1)) as k from p),
 u as (select p_partkey, case when k <= abs(dx) then sign(dx) else 0 end as ux, case when k <= abs(dy) then sign(dy) else 0 end as uy from s), d as (select p_partkey, {_DIR('ux', 'uy')} as d from u) select p_partkey, count(*) as n, sum(d)::bigint as sum, min(d) as least, max(d) as most from d group by p_partkey""",
     "diagram_pack": "select p_partkey, (524288 + 32768 + (p_partkey + p_size) % 200)::int as move_x, (524288 + 32768 + 1024 + (p_partkey + p_size) % 200)::int as move_y, ((p_partkey * 7 + p_size) % 200)::int as x, ((p_partkey + p_size * 7) % 200)::int as y, (greatest(abs((p_partkey * 3 + p_size) % 200 - (p_partkey + p_size) % 200), abs((p_partkey + p_size * 3) % 200 - (p_partkey + p_size) % 200)) + greatest(abs((p_partkey * 7 + p_size) % 200 - (p_partkey * 3 + p_size) % 200), abs((p_partkey + p_size * 7) % 200 - (p_partkey + p_size * 3) % 200)) + 1)::int as drawn, 524288 + 32768 + 1024 + 6 as colour from part",
@@ -328,6 +349,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         taste_pack, taste_unpack, smell_pack, smell_unpack, augmented_pack, odor_projection, odor_walks, nearest_directions, adaptation_decay, molecular_bridge, touch_pack, touch_unpack, touch_frames, vibration_pack, proprio_quantise,
-        region_lookup, mental_pack, dir_steps, diagram_pack, music_pack, voice_pack, sound_unpack, temporal_encode, temporal_decode, quantise_rgb, quadtree_leaves, quadtree_words, image_roundtrip, image_psnr, image_grammar,
+        region_lookup, mental_pack, mental_unpack, odor_episodes, dir_steps, diagram_pack, music_pack, voice_pack, sound_unpack, temporal_encode, temporal_decode, quantise_rgb, quadtree_leaves, quadtree_words, image_roundtrip, image_psnr, image_grammar,
     )
 }
