@@ -15,6 +15,7 @@ n - 1 rows at most, and never all pairs.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyweft.llm.common import written
+from polyweft.llm.common import WORD, written
 from polyweft.llm.components import components
 
 SEED = 42
@@ -100,10 +101,12 @@ def _forest(ids: np.ndarray, words: np.ndarray, close) -> Iterator[tuple[np.ndar
                 queue.extend(reached.tolist())
 
 
-def _linked(batches: Iterator[pa.RecordBatch], close, n_words: int) -> Iterator[pa.RecordBatch]:
-    """Links of batches sorted by key; a run that goes on in the next batch is kept for it."""
+def _linked(batches: Iterator[pa.RecordBatch], close, n_words: int, seen=None) -> Iterator[pa.RecordBatch]:
+    """Links of batches sorted by key; a run that goes on in the next batch is kept for it. ``seen`` is given all runs."""
 
     def done(key: np.ndarray, ids: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if seen:
+            seen(key, ids, words)
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         length = np.diff(edge)
         small = length <= SMALL_RUN
@@ -203,16 +206,204 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return grouped(prints, ["w0"], radius).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The stage: 128 bits over distinct words, where texts that share 0.8 of their five-word shingles differ in fewer
-#: than 16 bits, give the candidates; 256 bits over distinct five-word shingles decide, at a SimHash similarity
-#: (share of equal bits) of 0.8 or more.
-STAGE_RADIUS, STAGE_PARTS, STAGE_WORDS, STAGE_SIMILARITY = 15, 4, 5, 0.8
+#: The stage: texts are near-duplicates if they share ``STAGE_SHARE`` (as a fraction) or more of their distinct
+#: five-word shingles, counted exactly. 128-bit SimHash fingerprints pass over pairs that are far below that: at 0.8,
+#: with any lengths, 24 bits differ in the mean at most (19.4 for long texts), and ``STAGE_BITS`` is five deviations more.
+STAGE_WORDS, STAGE_SHARE, STAGE_BITS, STAGE_PRINTS = 5, (4, 5), 46, 2
+#: Shingles are counted in so many buckets.
+BUCKETS = 1 << 17
+_PRINT = [f"w{k}" for k in range(STAGE_PRINTS)]
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """64 other bits of each value, by SplitMix64's finish."""
+    z = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _set_print(h: np.ndarray) -> np.ndarray:
+    """The fingerprint over a set of shingle hashes."""
+    out = np.zeros(STAGE_PRINTS, np.uint64)
+    for k in range(STAGE_PRINTS):
+        set_ = np.zeros(64, np.int64)
+        for at in range(0, len(h), 4096):  # bounded memory for very long texts
+            set_ += np.unpackbits(_mixed(h[at : at + 4096], k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out[k] = np.packbits(set_ * 2 > len(h)).view(">u8")[0]
+    return out
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).where("id is not null")
+
+
+def _hashes(text: bytes | None) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles."""
+    items = set(shingles(text or b"", STAGE_WORDS))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in items), np.uint64, len(items)))
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """(id, n, hashes) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_hashes(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "n", "hashes"])
+
+    return texts.mapInArrow(run, "id long, n long, hashes array<long>")
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def _bucket_sums(texts: DataFrame) -> np.ndarray:
+    """How many texts' shingles fall into each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                np.add.at(sums, _bucket(_hashes(t)), 1)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["at", "n"])
+
+    out = np.zeros(BUCKETS, np.int64)
+    summed = texts.select("t").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
+    out[summed["at"].to_numpy()] = summed["n"].to_numpy()
+    return out
+
+
+def _keyed(texts: DataFrame, sums: np.ndarray) -> DataFrame:
+    """(key, id, n, fingerprint) of each text for every shingle of its prefix.
+
+    All texts order their shingles alike, rare buckets first. Two sets of which one holds at most n shingles and
+    that share 0.8 of their union share at least ceil(0.8 n): one of the first n - ceil(0.8 n) + 1 is common to both
+    prefixes. No pair is missed, however the order was counted; it keeps common passages out of the keys.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(sums)
+    num, den = STAGE_SHARE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = sent.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            keys, prints = [np.zeros(0, np.uint64)], np.zeros((len(ids), STAGE_PRINTS), np.uint64)
+            n, count = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                h = _hashes(t)
+                if len(h):
+                    n[i], count[i] = len(h), len(h) - -(-len(h) * num // den) + 1
+                    keys.append(h[np.lexsort((h, rank[_bucket(h)]))[: count[i]]])
+                    prints[i] = _set_print(h)
+            row = np.repeat(np.arange(len(ids)), count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[row]), pa.array(n[row]), *[pa.array(prints[row, k].view(np.int64)) for k in range(STAGE_PRINTS)]], names=["key", "id", "n", *_PRINT])
+
+    return texts.mapInArrow(run, "key long, id long, n long, " + ", ".join(f"{w} long" for w in _PRINT))
+
+
+def _may_share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows (n, fingerprint) can be near-duplicates by their sizes and bits."""
+    num, den = STAGE_SHARE
+    a, b = x[..., 0].astype(np.int64), y[..., 0].astype(np.int64)
+    return (np.minimum(a, b) * den >= np.maximum(a, b) * num) & _near(x[..., 1:], y[..., 1:], STAGE_BITS)
+
+
+def _candidates(keyed: DataFrame) -> DataFrame:
+    """Ids that share a key and may be near-duplicates, as (a, b): all pairs of small runs, of large ones a spanning forest.
+
+    The members of large runs follow as rows with a key, the id as ``a``, the size and the fingerprint.
+    """
+    count = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["a", "b", "key", "n", *_PRINT]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large: list[np.ndarray] = []
+
+        def seen(key: np.ndarray, ids: np.ndarray, words: np.ndarray) -> None:
+            length = np.diff(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))))
+            of = np.repeat(length > SMALL_RUN, length)
+            if of.any():
+                large.append(np.column_stack((ids[of], key[of], words[of].view(np.int64))))
+
+        for found in _linked(batches, _may_share, 1 + STAGE_PRINTS, seen):
+            none = pa.nulls(found.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*found.columns, *[none] * (2 + STAGE_PRINTS)], names=names)
+            while large:
+                yield members(large.pop())
+        while large:
+            yield members(large.pop())
+
+    def members(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.nulls(len(x), pa.int64()), *[pa.array(x[:, k]) for k in range(1, x.shape[1])]], names=names)
+
+    dealt = keyed.repartition(count, "key").sortWithinPartitions("key", "id")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that share enough shingles; two texts of a repeated id both count for it."""
+    num, den = STAGE_SHARE
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = written(_shingle_sets(texts.join(ids, "id", "left_semi")), "sets")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}"))
+    both = F.size(F.array_intersect("h_a", "h_b")).cast("long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(both * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b").distinct()
+
+
+def _across(large: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b) of ids in different components that share a key of a large run and may be near-duplicates.
+
+    A forest's link may fail where another pair of its run would hold: these are all the pairs left to ask.
+    """
+    rows = large.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"), "n", *_PRINT)
+    rows = written(rows, "large-runs")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 4 + STAGE_PRINTS), np.int64)
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = np.concatenate((held, np.column_stack([c.to_numpy() for c in batch.columns])))
+            if not len(held):
+                continue
+            cut = len(held) if batch is None else int(np.searchsorted(held[:, 0], held[-1, 0], "left"))
+            edge = np.flatnonzero(np.concatenate(([True], held[1:cut, 0] != held[: cut - 1, 0], [True]))) if cut else []
+            for lo, hi in itertools.pairwise(edge):
+                ids, root, words = held[lo:hi, 1], held[lo:hi, 2], held[lo:hi, 3:].copy().view(np.uint64)
+                for i in range(len(ids) - 1):
+                    hit = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & _may_share(words[i], words[i + 1 :]))
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[hit], ids[i])), pa.array(np.maximum(ids[hit], ids[i]))], names=["a", "b"])
+            held = held[cut:]
+
+    count = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.join(mixed, "key").repartition(count, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the least id of each group of near-duplicates; columns as they were."""
-    prints = written(_prints(docs, id_col, text_col, [(1, False, 2), (STAGE_WORDS, False, 4)]), "prints")
-    words, more = ["w0", "w1"], ["w2", "w3", "w4", "w5"]
-    found = grouped(prints, words, STAGE_RADIUS, STAGE_PARTS, (more, int(256 * (1 - STAGE_SIMILARITY))))
-    drop = found.where("id != component_id").select(F.col("id").alias(id_col)).distinct()
+    """The rows of ``docs`` with the least id of each group of near-duplicates; columns as they were.
+
+    Groups are the components of all pairs that share 0.8 or more of their distinct five-word shingles. Texts
+    without a word are one group. Rows that repeat an id are one node of the graph. Rows without an id stay.
+    """
+    texts = _texts(docs, id_col, text_col)
+    candidates = written(_candidates(_keyed(texts, _bucket_sums(texts))), "candidates")
+    pairs = candidates.where("key is null and a != b").select("a", "b").distinct()
+    large = candidates.where("key is not null").select("key", F.col("a").alias("id"), "n", *_PRINT)
+    near = written(_verified(pairs, texts), "near")
+    found = components(near)
+    across = written(_across(large, found), "across")
+    if not across.isEmpty():
+        near = near.unionByName(_verified(across, texts))
+        found = components(near)
+    # texts without a word have no shingle; a text with words is never one of their group, an id can have both
+    blank = texts.where(~F.coalesce(F.col("t").cast("string"), F.lit("")).rlike(WORD)).select("id")
+    least, last = blank.agg(F.min("id"), F.max("id")).first()
+    if least != last:
+        found = components(near.unionByName(blank.select(F.lit(least).cast("long").alias("a"), F.col("id").alias("b")).where("a != b")))
+    drop = found.where("node != root").select(F.col("node").alias(id_col)).distinct()
     return docs.join(drop, id_col, "left_anti").select(*docs.columns)

@@ -145,6 +145,39 @@ def test_near_dedup_keeps_clean_documents(spark):
     assert sorted(r.doc_id for r in simhash.near_deduplicated(df).collect()) == [1, 3, 4]
 
 
+def test_near_dedup_equals_brute_force(spark):
+    rng = random.Random(7)
+    fresh = itertools.count()
+    words = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    texts = []
+    for n, k in ((50, 5), (100, 11), (100, 20), (200, 40), (100, 24), (60, 25), (12, 2), (9, 1)):
+        for _ in range(6):
+            base = words(n)
+            texts += [base, base + words(k), words(k) + base, base[: n - k]]
+            cut = rng.randrange(n - k)
+            texts.append(base[:cut] + words(k) + base[cut:])
+    run = words(100)  # more copies than a small run holds, from nearly alike to below the share
+    for _ in range(70):
+        at = rng.randrange(100)
+        texts.append(run[:at] + words(1) + run[at + 1 :] + words(rng.randrange(0, 40)))
+    texts += [["a", "b"], ["A", "b"], ["a"], []]
+    sets = [frozenset(simhash.shingles(" ".join(t).encode(), 5)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id for r in simhash.near_deduplicated(df).collect()}
+    assert got == {i for i in range(len(texts)) if find(i) == i}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 160)] + [(5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
