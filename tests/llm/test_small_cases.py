@@ -314,6 +314,17 @@ def test_windows_score_each_token_once():
         assert [v for v in y[text == i].ravel() if v >= 0] == [*t, lm.END]
 
 
+def test_language_model_sees_and_learns_from_enough():
+    assert lm_scoring.SHARE <= 64 and lm.HEADS >= 2 and lm.KEYS - lm.SCORED >= 16
+    x, y, _ = lm.windows([np.arange(3, 60).astype(np.uint16)])
+    p, fixed = lm.start(np.full((lm.SIZE, lm.SIZE), 1.0 / lm.SIZE))
+    rng = np.random.default_rng(0)
+    p = {k: v + rng.normal(0, 0.3, v.shape).astype(v.dtype) for k, v in p.items()}
+    far = x.copy()
+    far[:, lm.KEYS - lm.SCORED - 15] += 1  # 15 ids before the first that is scored
+    assert not np.allclose(lm.log_probs(p, fixed, x, y)[1:, 0], lm.log_probs(p, fixed, far, y)[1:, 0], atol=1e-7)
+
+
 def test_language_model_scoring(spark, docs, none, monkeypatch):
     monkeypatch.setattr(lm_scoring, "STEPS", 5)
     monkeypatch.setattr(lm_scoring, "HOT", 3)
