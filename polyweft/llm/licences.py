@@ -1,6 +1,7 @@
 """Licence scans by sentence rules, in Spark expressions only.
 
-A text is cut into sentences twice: line by line, and with its lines joined, for notices that are wrapped.
+A text is cut into sentences three times: line by line, with its lines joined, for notices that are wrapped, and with
+the lines of each block joined, for licences that are wrapped and have titles, lists and copyright lines.
 A sentence is normalised (A-Z lower-cased, everything but letters and digits one space, years and holders of a
 copyright line dropped) and looked up among known licence sentences. The identifiers of a text, in order, are
 matched against ordered rules: a rule is a run of identifiers, longer rules come first, and a rule that matches
@@ -80,6 +81,10 @@ RULES = [
 #: Every known sentence has one of these; texts and lines without any are passed over.
 ANCHOR = r"(?i)licens|permission|warrant|redistribut|copyright|public domain|rights reserved|gpl|cc0|free software|in no event shall"
 BREAK = r"(?<=[.!?;])\s+"
+#: Blocks end at blank lines (not inside "a copy of the License at" and its address), after a colon that ends a line, and before list marks, which go.
+BLOCK = r"(?:(?<! at)\n\s*\n\s*|(?<=:)(?<!software:)\n\s*|\n\s*(?=(?:\(?[0-9]{1,2}[.)]|[*-])[ \t]))(?:(?:\(?[0-9]{1,2}[.)]|[*-])[ \t]+)?"
+#: A line with holder and year stands alone.
+COPYRIGHT_LINE = r"(?im)^([^\p{L}\p{N}\n]*copyright\b[^\n]*\b[0-9]{4}\b[^\n]*)$"
 COPYRIGHT = r"^(copyright)( c)?( [0-9]{4})+( [a-z0-9 ]*?)?( all rights reserved)$"
 
 
@@ -119,10 +124,13 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(ANCHOR))
     by_line = _identified(F.flatten(F.transform(lines, lambda x: F.split(x, BREAK))))
     joined = F.filter(F.split(F.regexp_replace("text", r"\s*\n\s*", " "), BREAK), lambda x: x.rlike(ANCHOR))
-    anchored = F.col("text").rlike(ANCHOR)
-    ids = rows.select("doc_id", F.when(anchored, by_line).otherwise(none).alias("by_line"), F.when(anchored, _identified(joined)).otherwise(none).alias("wrapped"))
-    # whichever cut recognises more; lines first
-    chosen = ids.select("doc_id", F.when(F.size("by_line") >= F.size("wrapped"), F.col("by_line")).otherwise(F.col("wrapped")).alias("sentences"))
+    blocks = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"[ \t\r]+\n", "\n"), COPYRIGHT_LINE, "\n\n$1\n\n"), r"\A\s+", ""), BLOCK)
+    by_block = F.filter(F.flatten(F.transform(blocks, lambda x: F.split(F.regexp_replace(x, r"\s+", " "), BREAK))), lambda x: x.rlike(ANCHOR))
+    anchored = F.regexp_replace("text", r"\s+", " ").rlike(ANCHOR)
+    ids = rows.select("doc_id", F.when(anchored, by_line).otherwise(none).alias("by_line"), F.when(anchored, _identified(joined)).otherwise(none).alias("wrapped"), F.when(anchored, _identified(by_block)).otherwise(none).alias("by_block"))
+    # whichever cut recognises more; lines first, blocks last
+    first = F.when(F.size("by_line") >= F.size("wrapped"), F.col("by_line")).otherwise(F.col("wrapped"))
+    chosen = ids.select("doc_id", F.when(F.size(first) >= F.size("by_block"), first).otherwise(F.col("by_block")).alias("sentences"))
     return chosen.select("doc_id", "sentences", F.when(F.size("sentences") > 0, _applied(F.col("sentences"))).otherwise(none).alias("licences")).withColumn("has_licence", F.size("licences") > 0)
 
 

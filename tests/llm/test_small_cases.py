@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -96,6 +97,26 @@ def test_licences(spark, docs, none):
     assert all(re.search(licences.ANCHOR, s) for s in licences.known())
 
 
+def test_wrapped_licences(spark):
+    wrap = lambda t, lead="": textwrap.fill(t, 80, initial_indent=lead, subsequent_indent=" " * len(lead))
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    asis = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    mit = "\n\n".join(["MIT License", "Copyright (c) 2020 Ann Other", *map(wrap, (grant, notice, asis))])
+    items = ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]
+    met = wrap("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:")
+    bsd = lambda n: "\n\n".join(["Copyright (c) 2020, Ann Other", met, *[wrap(x, f"{i}. ") for i, x in enumerate(items[:n], 1)]])
+    gpl = "Copyright (C) 2020 Ann Other\n" + wrap("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.") + "\n\n" + wrap("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.")
+    apache = "Copyright 2020 Ann Other\n\n" + wrap("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at") + "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + wrap("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.")
+    texts = [mit, bsd(3), bsd(2), gpl, apache]
+    texts += [t.replace("\n", "\r\n") for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scanned(df).collect()}
+    want = ["MIT", "BSD-3-Clause", "BSD-2-Clause", "GPL-3.0-or-later", "Apache-2.0"] * 2
+    assert [got[i].licences for i in range(10)] == [[w] for w in want]
+    assert [len(got[i].sentences) for i in (0, 1, 2, 4)] == [4, 4, 3, 5]
+
+
 def test_simhash_masks_cover():
     rng = random.Random(1)
     for bits, radius, parts in ((64, 3, 1), (128, 15, 4)):
