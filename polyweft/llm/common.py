@@ -47,6 +47,26 @@ def _remove() -> None:
             return
 
 
+#: A lookup table of so many rows at most is broadcast; a larger one is met by a salted join.
+MOST_SENT, SALTS = 100_000, 32
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with a written ``table`` of one row a key, null keys among them, though one key may hold most of ``rows``.
+
+    The table's rows are counted: up to ``MOST_SENT`` it is broadcast; beyond, rows of a key are dealt over
+    ``SALTS`` join keys, the table being repeated as often, and it is the smaller side by far.
+    """
+    other, salt, other_salt = free_name(rows, "looked_up_key", "looked_up_salt", "looked_up_other")
+    named = table.withColumnRenamed(key, other)
+    same = F.col(key).eqNullSafe(F.col(other))
+    if table.count() <= MOST_SENT:
+        return rows.join(F.broadcast(named), same, how).drop(other)
+    salted = rows.withColumn(salt, F.floor(F.rand(1) * SALTS).cast("int"))
+    repeated = named.withColumn(other_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(repeated, same & (F.col(salt) == F.col(other_salt)), how).drop(other, salt, other_salt)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
