@@ -50,7 +50,7 @@ def _card_ok(s: str) -> bool:
 
 
 def _ip_ok(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in s.split(".")))
 
 
 def _phone_ok(s: str) -> bool:
