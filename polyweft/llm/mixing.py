@@ -1,34 +1,39 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-A document's key is -ln(u) / w, u being a uniform number made of its id and a seed and w its quality weight;
-the documents of a source in the order of their keys are a weighted sample without replacement, whatever
+A document's key is -ln(u) / w, u being a uniform number made of its id, its text and a seed and w its quality
+weight; the documents of a source in the order of their keys are a weighted sample without replacement, whatever
 prefix is taken. A source's target is first filled by complete epochs, then by the prefix of the next epoch
 whose sizes come nearest to what is left.
 
-The prefix sum needs no sort of a whole source: keys fall into buckets in their order, buckets are summed with
-map-side aggregation, and only the documents of the one bucket in which a source's budget ends are sorted. A
-source has one bucket for about ``PER_BUCKET`` of its documents, so a hot source is spread like the rest.
+The prefix sum needs no sort of a source. The logarithm of a key has a density of 0.37 at most, whatever the
+weights, so equal steps of it are buckets whose share of a source is bounded. Sizes are summed by bucket with
+map-side aggregation and buckets are the leaves of a tree of ``FAN`` children a node; the way down to the bucket
+in which a budget ends is a window over ``FAN`` rows a source at each level. The documents of that bucket alone,
+some hundred at most, are put in order. What is found is one cut a source: whether a document is taken once
+more is a comparison of its own key with the cut, and texts are never shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyweft.llm.common import free_name, text_of, word_count, written
+from polyweft.llm.common import free_name, looked_up, text_of, word_count, written
 
 SEED = 20
-PER_BUCKET = 256
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
-#: Mean word length, white space included, of prose; texts far from it weigh less.
+#: Children of a node of buckets, documents that a last bucket should hold at most in the mean, and the range of ln(key).
+FAN, PER_BUCKET, LEAST_LN, MOST_LN = 64, 256, -45.0, 6.0
+#: Mean word length, white space included, of prose: the weight where no score of a classifier is given.
 PROSE = 6.2
 
 
-def quality_weight(text: Column, size: Column) -> Column:
-    """Between 0.1 and 1: how near the mean length of a word is to that of prose."""
-    off = F.abs(F.ln((F.char_length(text) + 1.0) / (size + 1.0) / F.lit(PROSE)))
-    return F.greatest(F.lit(0.1), F.exp(-off))
+def prose_weight(text: Column) -> Column:
+    """Between 0 and 1: how near the mean length of a word is to that of prose."""
+    return F.exp(-F.abs(F.ln((F.char_length(text) + 1.0) / (word_count(text) + 1.0) / F.lit(PROSE))))
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -52,46 +57,88 @@ def targets(sources: DataFrame) -> DataFrame:
     return shared.select("source", "source_size", "n_docs", F.when(F.col("common").isNull() | full, F.col("cap")).otherwise(F.col("common") * F.col("weight")).alias("target"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of every row.
+def _key(doc_id: Column, text: Column, score: Column) -> Column:
+    """The sampling key. Scores are rounded, lest the last bits of a sum decide; they weigh from 0.1 to 1."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), doc_id, text), 11) + 0.5) / float(2**53)
+    weight = F.lit(0.1) + 0.9 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(F.coalesce(score, F.lit(0.0)), 6)))
+    return -F.ln(uniform) / weight
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    at = F.floor((F.ln(key) - LEAST_LN) / (MOST_LN - LEAST_LN) * buckets)
+    return F.greatest(F.lit(0), F.least(F.lit(buckets - 1), at)).cast("long")
+
+
+def _order() -> Column:
+    """Documents of a source by key; equal keys by id and text."""
+    return F.struct("key", "doc_id", "tie")
+
+
+def cuts(keyed: DataFrame) -> DataFrame:
+    """One row a source: source, source_size, target, epochs, buckets, last (bucket) and cut (the last document of it that is taken)."""
+    sources = written(targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))), "sources")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    budget = sources.select("source", "source_size", "target", epochs.alias("epochs"), (F.col("target") - epochs * F.col("source_size")).alias("rest"))
+    largest, depth = sources.agg(F.max("n_docs")).first()[0] or 0, 1
+    while FAN**depth * PER_BUCKET < largest * 0.37 * (MOST_LN - LEAST_LN):
+        depth += 1
+    buckets = FAN**depth
+    sums = written(keyed.groupBy("source", _bucket(F.col("key"), buckets).alias("bucket")).agg(F.sum("size").alias("words")), "bucket-words")
+    at = budget.select(F.col("source").alias("s"), "rest", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("before"))
+    siblings = Window.partitionBy("source").orderBy("child")
+    for level in range(1, depth + 1):
+        child = sums.groupBy("source", F.floor(F.col("bucket") / FAN ** (depth - level)).alias("child")).agg(F.sum("words").alias("words"))
+        under = child.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("child") / FAN) == F.col("node")))
+        reached = under.withColumn("until", F.col("before") + F.sum("words").over(siblings)).where("until >= rest").withColumn("n", F.row_number().over(siblings)).where("n = 1")
+        at = reached.select(F.col("source").alias("s"), "rest", F.col("child").alias("node"), (F.col("until") - F.col("words")).alias("before"))
+    ends = written(at.withColumnsRenamed({"s": "source", "node": "last"}), "ends")
+    edge = looked_up(keyed, ends, "source", "inner").where(_bucket(F.col("key"), buckets) == F.col("last"))
+    inside = Window.partitionBy("source").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    taken = edge.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))).where(F.col("ahead") + F.col("size") / 2.0 < F.col("rest"))
+    last = taken.groupBy(F.col("source").alias("s2")).agg(F.max(_order()).alias("cut"))
+    both = budget.join(ends.select(F.col("source").alias("s1"), "last"), F.col("source").eqNullSafe(F.col("s1")), "left").join(last, F.col("source").eqNullSafe(F.col("s2")), "left")
+    return written(both.select("source", "source_size", "target", "epochs", F.lit(buckets).alias("buckets"), "last", "cut"), "cuts")
+
+
+def _copies(bucket: Column, order: Column, epochs: Column, last: Column, cut: Column) -> Column:
+    more = F.coalesce((bucket < last) | ((bucket == last) & (order <= cut)), F.lit(False)).cast("long")
+    return F.least(F.lit(MOST_EPOCHS), epochs + more).cast("long")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, score: Callable[[Column], Column]) -> DataFrame:
+    text = text_of(text_col)
+    scored = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text.alias("t"), score(text).alias("score"))
+    return written(scored.select("doc_id", "source", word_count(F.col("t")).alias("size"), _key(F.col("doc_id"), F.col("t"), F.col("score")).alias("key"), F.xxhash64("t").alias("tie")), "keys")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", score: Callable[[Column], Column] = prose_weight) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, source of every row. ``score``: from a text's column its quality, 0 to 1.
+
+    Null texts have size 0; a null source is a source of its own, last in order. A null score is the least.
+    Rows that repeat an id are rows of their own; whole repeated rows are taken alike, all or none at a cut.
+    Reruns agree, as keys depend on id, text and seed alone. An empty table gives no rows.
+    """
+    keyed = _keyed(docs, id_col, text_col, source_col, score)
+    found = cuts(keyed)
+    buckets = (found.select("buckets").first() or [1])[0]
+    rows = looked_up(keyed, found.drop("buckets"), "source", "inner")
+    copies = _copies(_bucket(F.col("key"), buckets), _order(), F.col("epochs"), F.col("last"), F.col("cut"))
+    return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", score: Callable[[Column], Column] = prose_weight) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them, repeated once for each epoch; columns as they were, whatever their names.
 
-    Null texts have size 0; a null source is a source of its own, last in order. Rows that repeat an id are rows
-    of their own, with one key. A null or non-positive weight counts as the least, 0.1. Reruns agree, as keys
-    depend on id and seed alone. An empty table gives no rows.
+    Nulls, ties, repeated rows and empty tables as in ``mixed``.
     """
+    found = cuts(_keyed(docs, id_col, text_col, source_col, score))
+    buckets = (found.select("buckets").first() or [1])[0]
+    names = free_name(docs, "mix_source", "mix_score", "mix_key", "mix_epochs", "mix_last", "mix_cut", "mix_copies")
+    source, rated, key, epochs, last, cut, n = names
     text = text_of(text_col)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), text.alias("t"), *([weight.alias("given")] if weight is not None else []))
-    w = F.greatest(F.lit(0.1), F.coalesce(F.col("given"), F.lit(0.1))) if weight is not None else quality_weight(F.col("t"), F.col("size"))
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("doc_id")), 11) + 0.5) / float(2**53)
-    keyed = written(base.select("doc_id", "source", "size", (-F.ln(uniform) / w).alias("key")), "keys")
-    sources = targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")))
-    budget = written(sources.withColumns({
-        "epochs": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"),
-        "buckets": F.greatest(F.lit(8), F.ceil(F.col("n_docs") / PER_BUCKET)).cast("long"),
-    }).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "budgets")
-    # keys are near exponential: 1 - exp(-key) spreads them evenly and keeps their order
-    bucket = F.least(F.col("buckets") - 1, F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")))
-    with_source = keyed.withColumnRenamed("source", "s").join(budget, F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn("bucket", bucket)
-    sums = with_source.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy("source").orderBy("bucket")
-    ends = sums.withColumn("until", F.sum("words").over(upto)).where("until >= rest").groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("until") - F.col("words")).alias("before")), "bucket").alias("end"))
-    ends = ends.select(F.col("source").alias("s"), F.col("end.bucket").alias("last"), F.col("end.before").alias("before"))
-    marked = with_source.join(ends, F.col("s").eqNullSafe(F.col("source")), "left").drop("s")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = marked.where("bucket = last").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    edge = edge.withColumn("more", (F.col("ahead") + F.col("size") / 2.0 < F.col("rest")).cast("long"))
-    other = marked.where("last is null or bucket != last").withColumn("more", F.coalesce(F.col("bucket") < F.col("last"), F.lit(False)).cast("long"))
-    cols = ["doc_id", "source", "size", "source_size", "target", "epochs", "more"]
-    both = edge.select(*cols).unionByName(other.select(*cols))
-    copies = F.least(F.lit(MOST_EPOCHS), F.col("epochs") + F.col("more")).cast("long")
-    return both.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
-
-
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` as the mix takes them, repeated once for each epoch; columns as they were."""
-    key, n = free_name(docs, "mix_id", "mix_copies")
-    taken = mixed(docs, id_col, text_col, source_col)
-    per_id = taken.groupBy(F.col("doc_id").alias(key), F.col("source").alias("__s"), F.col("size").alias("__n")).agg(F.max("copies").alias(n)).where(F.col(n) > 0)
-    named = docs.withColumn("__size", word_count(text_of(text_col)))
-    on = F.col(id_col).eqNullSafe(F.col(key)) & F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n"))
-    return named.join(per_id, on).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
+    named = docs.withColumns({source: F.col(source_col), rated: score(text)}).withColumn(key, _key(F.col(id_col), text, F.col(rated)))
+    small = found.select(F.col("source").alias(source), F.col("epochs").alias(epochs), F.col("last").alias(last), F.col("cut").alias(cut))
+    order = F.struct(F.col(key).alias("key"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tie"))
+    copies = _copies(_bucket(F.col(key), buckets), order, F.col(epochs), F.col(last), F.col(cut))
+    taken = looked_up(named, small, source, "inner").withColumn(n, copies).where(F.col(n) > 0)
+    return taken.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)

@@ -8,10 +8,11 @@ rows are, over all of them; what the driver gets is one row of sums per class.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,19 +122,24 @@ def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     return {k: (v[0], v[1 : 1 + n_vars], v[1 + n_vars :].reshape(n_vars, n_vars)) for k, v in out.items() if v[0]}
 
 
+def _learnt(x: DataFrame, labels: DataFrame, learn: Column | None, id_col: str, label_col: str) -> Discriminant:
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")).where("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    if learn is not None:
+        known = known.where(learn)
+    return fit(moments(x.join(known, "doc_id")))
+
+
 def scored(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 if the score reaches the threshold) of every row.
 
     ``learn``: which ids may be learnt from. Null and empty texts have statistics of zero and a score like others.
-    Rows that repeat an id are scored each; null labels and labels of no document teach nothing. Without any
-    labelled row every score is 0.5. An empty table gives no rows. Statistics are taken from whole texts once
-    and written; learning then joins small rows only.
+    Rows that repeat an id are scored each; null labels and labels of no document teach nothing, and of several
+    labels of an id the largest holds. Without any labelled row every score is 0.5. Ids are whole numbers (others
+    raise); a null id is scored and never learnt from. An empty table gives no rows. Statistics are taken from
+    whole texts once and written; learning then joins small rows only.
     """
     x = written(measured(docs, id_col, text_col), "statistics")
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")).where("label in (0, 1)").dropDuplicates(["doc_id"])
-    if learn is not None:
-        known = known.where(learn)
-    model = fit(moments(x.join(known, "doc_id")))
+    model = _learnt(x, labels, learn, id_col, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,6 +150,19 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_c
     return x.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def scorer(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Callable[[Column], Column]:
+    """The classifier as a function of a text's column, learnt from the labelled rows of ``docs``; null texts count as empty."""
+    known = labels.select(F.col(id_col).cast("long").alias("known_id")).distinct()
+    labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(known, F.col("doc_id") == F.col("known_id"), "left_semi")
+    model = _learnt(measured(labelled, "doc_id", "text"), labels, learn, id_col, label_col)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t or b"") for t in texts]).reshape(-1, len(NAMES))))
+
+    return lambda text: score(text.cast("binary"))
+
+
 def held_out(doc_id: Column) -> Column:
     return remainder(doc_id) == 0
 
