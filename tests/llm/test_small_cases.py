@@ -91,10 +91,11 @@ def test_water_level(spark):
 def test_licences(spark, docs, none):
     assert all(not r.licences for r in licences.scanned(docs).collect()) and licences.scanned(none).count() == 0
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    df = spark.createDataFrame([(1, mit.replace(":\n", ".\n")), (2, "Licensed under the Apache License, Version 2.0."), (3, "All rights reserved. Released under the MIT License.\nMore. ALL RIGHTS RESERVED!"), (4, "Copyright (c) 2019 Ann Other. All rights reserved.")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, mit), (2, "Licensed under the Apache License, Version 2.0."), (3, "All rights reserved. Released under the MIT License.\nMore. ALL RIGHTS RESERVED!"), (4, "Copyright (c) 2019 Ann Other. All rights reserved.")], "doc_id long, text string")
     got = {r.doc_id: r.licences for r in licences.scanned(df).collect()}
     assert got[1] == ["MIT"] and got[2] == ["Apache-2.0"] and got[3] == ["MIT", "Proprietary"] and got[4] == ["Proprietary"]
-    assert all(re.search(licences.ANCHOR, s) for s in licences.known())
+    assert all(re.search(licences.ANCHOR, s) for s in licences.known()) and len({i for i in licences.known().values()}) == len(licences.SENTENCES) + len(licences.SPDX)
+    assert {i for _, run in licences.rules() for i in run} == set(licences.known().values())
 
 
 def test_wrapped_licences(spark):
@@ -114,7 +115,33 @@ def test_wrapped_licences(spark):
     got = {r.doc_id: r for r in licences.scanned(df).collect()}
     want = ["MIT", "BSD-3-Clause", "BSD-2-Clause", "GPL-3.0-or-later", "Apache-2.0"] * 2
     assert [got[i].licences for i in range(10)] == [[w] for w in want]
-    assert [len(got[i].sentences) for i in (0, 1, 2, 4)] == [4, 4, 3, 5]
+    assert [len(got[i].sentences) for i in (0, 1, 2, 3, 4)] == [4, 4, 3, 3, 5]
+
+
+def test_licences_of_several_cuts_and_tags(spark):
+    gpl2 = textwrap.fill("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", 76)
+    rows = [
+        (1, "Released under the MIT License\n\n" + gpl2),
+        (2, "/* SPDX-License-Identifier: MIT */\nint x;\n// SPDX-License-Identifier: GPL-2.0-or-later"),
+        (3, "\n".join("# " + x for x in gpl2.split("\n"))),
+        (4, "Copyright (c) 2001, 2002 Some Body\n" + gpl2 + "\n\nAll rights reserved."),
+        (5, "SPDX-License-Identifier: Apache-2.0\x01 licensed under the mit license. " + "a. " * 20000),
+        (6, None),
+    ]
+    got = {r.doc_id: r for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got[1].licences) == {"MIT", "GPL-2.0-or-later"} and got[1].sentences == ["mit-ref", "gpl2-free"]
+    assert set(got[2].licences) == {"MIT", "GPL-2.0-or-later"} and got[3].licences == ["GPL-2.0-or-later"] and set(got[4].licences) == {"GPL-2.0-or-later", "Proprietary"}
+    assert set(got[5].licences) == {"Apache-2.0", "MIT"} and got[6].licences == []
+
+
+def test_licence_sql_says_the_same(spark, sf, tmp_path):
+    import duckdb
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {(r.doc_id, ",".join(r.sentences), ",".join(r.licences), r.has_licence) for r in licences.scanned(docs).collect()}
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    assert set(con.sql(licences.oracle()).select("doc_id, sentences, licences, has_licence").fetchall()) == want and any(w[3] for w in want)
 
 
 def test_simhash_masks_cover():
