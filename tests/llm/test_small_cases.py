@@ -392,3 +392,11 @@ def test_language_model_scoring(spark, docs, none, monkeypatch):
         assert r.n_tokens == len(words) and r.n_known == sum(w in counts for w in words) and r.train_tokens == n
         assert r.base_score == pytest.approx(sum(np.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in words)) and r.score < 0
     assert lm_scoring.scored(none, learn, *args).count() == 0
+
+
+def test_words_cut_together_equal_words_cut_alone():
+    words = lm.Subwords(tokenizer_path("byte_bpe_50k.tiktoken"), pretoken_pattern())
+    texts = [w.encode() for w in ["hello", "it's", "'s", " ", " x", "x ", "12,345", "%%%", "\u0085", "日本語", "a\x1cb", "don't", "--", "é", " y", "<|endoftext|>"]] + [b"\xff\xfe", b"z"]
+    ids, begins = words.many(texts)
+    cut = np.split(ids, np.flatnonzero(begins)[1:])
+    assert [c.tolist() for c in cut] == [words.ids(t) for t in texts]
