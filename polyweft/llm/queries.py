@@ -81,7 +81,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketches.fingerprints(documents(spark, sf_dir)).drop("diff_edited", "diff_next")
+    return sketches.fingerprints(documents(spark, sf_dir)).drop("own", "changed")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -308,12 +308,16 @@ def test_fingerprints(spark, docs, none):
 def test_sketch_differences(spark):
     rng = random.Random(5)
     rows = []
-    for i, n in enumerate((0, 1, 2, 5, 9, 40, 300)):
+    for i, n in enumerate((0, 1, 2, 5, 9, 40, 300, *[rng.randrange(1, 30) for _ in range(150)])):
         a = [rng.getrandbits(63) for _ in range(n)]
         b = a[: n // 2] + [rng.getrandbits(63) for _ in range(rng.randrange(0, n + 1))]
         rows.append((i, a, b))
     df = spark.createDataFrame(rows, "i long, a array<long>, b array<long>")
-    for r, (_, a, b) in zip(df.select("i", sketches.difference("a", "b").alias("d")).orderBy("i").collect(), rows):
+    made = df.select("i", sketches.table("a").alias("a"), sketches.table("b").alias("b")).select("i", "a", "b", sketches.as_text("a").alias("ta"), sketches.as_text("b").alias("tb"))
+    read = made.select("*", sketches.from_text("ta").alias("ra"), sketches.from_text("tb").alias("rb"))
+    out = read.select("i", (F.col("ra") == F.col("a")).alias("same"), sketches.difference("ra", "rb").alias("d")).orderBy("i").collect()
+    for r, (_, a, b) in zip(out, rows):
+        assert r.same and len(r.d) == len({(x.d, x.n) for x in r.d})
         assert {(x.d, x.n) for x in r.d} == {(x, 1) for x in set(a) - set(b)} | {(x, -1) for x in set(b) - set(a)}
 
 
