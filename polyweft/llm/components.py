@@ -5,21 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyweft.llm.common import written
+from polyweft.llm.common import looked_up, written
+
+#: Neighbours from which a node is a hub; there are at most twice the links over this many hubs.
+HUB = 256
+
+
+def _with_least(links: DataFrame) -> DataFrame:
+    """``links`` (u, v) with m, the least v of each u. Minima are summed map-side; a hub's links stay where they are and its minimum is looked up."""
+    least = written(links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    marked = looked_up(links, least.where(F.col("n") > HUB).select("u", F.col("m").alias("hub")), "u")
+    few = marked.where("hub is null").select("u", "v").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
+    return marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionByName(few)
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Each node hands its larger neighbours to the least of its neighbourhood. A hub is a skewed join key, which AQE splits."""
+    """Each node hands its larger neighbours to the least of its neighbourhood."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node hands itself and its smaller neighbours to the least of them. ``links`` have u > v."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    led = _with_least(links)
+    return led.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(led.where("v = m").select("u", F.col("m").alias("v")))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -31,7 +40,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     now = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     mark = None
     for _ in range(most_rounds):
-        now = written(_small_star(_large_star(now)).where("u != v").distinct(), "links")
+        now = written(_small_star(written(_large_star(now).where("u != v").distinct(), "stars")).where("u != v").distinct(), "links")
         was, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if was == mark:
             break

@@ -11,6 +11,10 @@ Rows of a key are sorted into one run. Small runs are compared with themselves v
 In large ones a search takes one fingerprint after another and compares it with those not yet reached only,
 so that a tight group of n costs about n comparisons; what it returns is a spanning forest of the links,
 n - 1 rows at most, and never all pairs.
+
+A key that many rows share is split: its rows agree in the masked bits, so the same covering is laid over the
+other bits. Of 64 bits and radius 3 a key then fixes about 48, and a run has 2**16 distinct fingerprints at most,
+whatever the input.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyweft.llm.common import WORD, written
+from polyweft.llm.common import WORD, free_name, looked_up, written
 from polyweft.llm.components import components
 
 SEED = 42
 #: Runs up to this length are compared by shifts over the whole batch.
 SMALL_RUN = 48
+#: Rows from which a key is split.
+LARGE_RUN = 4096
 
 
 def shingles(text: bytes, n: int) -> list[bytes]:
@@ -132,39 +138,48 @@ def _linked(batches: Iterator[pa.RecordBatch], close, n_words: int, seen=None) -
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    kept = None
+    kept: list[list[np.ndarray]] = []  # pieces of the last run; put together once, when it ends
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        new = [cols[0], cols[1], np.stack(cols[2 : 2 + n_words], 1).view(np.uint64)]
-        if kept is not None:
-            new = [np.concatenate(x) for x in zip(kept, new)]
-        if not len(new[0]):
+        if not len(cols[0]):
             continue
+        new = [cols[0], cols[1], np.stack(cols[2 : 2 + n_words], 1).view(np.uint64)]
         cut = int(np.searchsorted(new[0], new[0][-1], "left"))
-        if cut:
-            yield from done(*(x[:cut] for x in new))
-        kept = [x[cut:] for x in new]
-    if kept is not None and len(kept[0]):
-        yield from done(*kept)
-
-
-def links(prints: DataFrame, words: list[str], radius: int, parts: int = 1, checks: tuple[list[str], int] | None = None) -> DataFrame:
+        if cut or (kept and kept[-1][0][-1] != new[0][-1]):
+            kept.append([x[:cut] for x in new])
+            yield from done(*(np.concatenate(x) for x in zip(*kept)))
+            kept = []
+        kept.append([x[cut:] for x in new])
+    if kept:
+        yield from done(*(np.concatenate(x) for x in zip(*kept)))
+
+
+def _split_keys(words: list[Column], radius: int, parts: int, table: Column, key: Column) -> Column:
+    """Keys of the rows of a large run: the covering of the bits that the key's table leaves free."""
+    r, by_table = radius // parts, []
+    for m in masks(64 * len(words), radius, parts):
+        free = [i for i in range(64 * len(words)) if not m >> i & 1]
+        by_table.append([sum(1 << b for n, b in enumerate(free) if ((n % (2 ** (r + 1) - 1) + 1) & v).bit_count() % 2) for v in range(1, 2 ** (r + 1))])
+    of = lambda k: F.array(*[F.array(*[F.lit(_as_signed(m >> (64 * k) & (2**64 - 1))).cast("long") for m in row]) for row in by_table])
+    rows = [F.element_at(of(k), table + 1) for k in range(len(words))]
+    numbers = F.sequence(F.lit(1), F.lit(len(by_table[0])))
+    return F.transform(numbers, lambda v: F.xxhash64(key, v, *[w.bitwiseAND(F.element_at(row, v)) for w, row in zip(words, rows)]))
+
+
+def links(prints: DataFrame, words: list[str], radius: int, parts: int = 1) -> DataFrame:
     """(a, b) of ids whose ``words`` differ in ``radius`` bits at most: a set of links with the same components as all such pairs.
 
-    ``prints`` has a unique ``id`` and long columns. ``checks``: more word columns and a radius that must hold as well.
+    ``prints`` is a written table with a unique ``id`` and long columns.
     """
-    more, most = checks or ([], 64)
-    k, n = len(words), len(words) + len(more)
-
-    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        ok = _near(x[..., :k], y[..., :k], radius)
-        return ok & _near(x[..., k:], y[..., k:], most) if n > k else ok
-
-    spark = prints.sparkSession
-    keyed = prints.select(F.explode(table_keys([F.col(w) for w in words], radius, parts)).alias("key"), "id", *words, *more)
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(count, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(lambda it: _linked(it, close, n), "a long, b long").distinct()
+    n = len(words)
+    columns = [F.col(w) for w in words]
+    keyed = prints.select("id", *words, F.posexplode(table_keys(columns, radius, parts)).alias("table", "key"))
+    many = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > LARGE_RUN), "large-runs")
+    marked = looked_up(keyed, many, "key")
+    split = F.when(F.col("many").isNull(), F.array("key")).otherwise(_split_keys(columns, radius, parts, F.col("table"), F.col("key")))
+    count = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = marked.select(F.explode(split).alias("key"), "id", *words).repartition(count, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(lambda it: _linked(it, lambda x, y: _near(x, y, radius), n), "a long, b long").distinct()
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, makers: list[tuple[int, bool, int]]) -> DataFrame:
@@ -186,13 +201,17 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, makers: list[tuple[int,
     return rows.mapInArrow(run, "id long, " + ", ".join(f"w{j} long" for j in range(total)))
 
 
-def grouped(prints: DataFrame, words: list[str], radius: int, parts: int = 1, checks: tuple[list[str], int] | None = None) -> DataFrame:
+def grouped(prints: DataFrame, words: list[str], radius: int, parts: int = 1) -> DataFrame:
     """``prints`` with component_id, the least id reachable. Equal fingerprints are one class and are compared once."""
-    more = checks[0] if checks else []
-    classes = written(prints.groupBy(*words, *more).agg(F.min("id").alias("id")), "classes")
-    found = components(links(classes.where("id is not null"), words, radius, parts, checks))
-    roots = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*words, *more, F.coalesce("root", "id").alias("component_id"))
-    return prints.join(roots, [*words, *more])
+    sums = prints.groupBy(*words).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    classes = written(sums, "classes")
+    found = components(links(classes.where("id is not null").select("id", *words), words, radius, parts))
+    roots = written(classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*words, "n", F.coalesce("root", "id").alias("component_id")), "roots")
+    # a fingerprint that many rows share is looked up where they are; there are at most rows / LARGE_RUN of them
+    key, large = F.struct(*words), roots.where(F.col("n") > LARGE_RUN)
+    marked = looked_up(prints.withColumn("print", key), large.select(key.alias("print"), F.col("component_id").alias("of_many")), "print").drop("print")
+    rest = marked.where("of_many is null").drop("of_many").join(roots.where(F.col("n") <= LARGE_RUN).drop("n"), words)
+    return rest.unionByName(marked.where("of_many is not null").withColumnRenamed("of_many", "component_id"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 3) -> DataFrame:
@@ -234,8 +253,13 @@ def _set_print(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).where("id is not null")
+def _nodes(docs: DataFrame, id_col: str, text_col: str, node: str) -> DataFrame:
+    """``docs`` with the number of each row in the graph: its id, or, where rows repeat that, a hash of id and text. Rows without an id have one of the text alone."""
+    repeated = written(docs.groupBy(F.col(id_col).cast("long").alias("id")).count().where("count > 1 or id is null").select("id", F.lit(True).alias("again")), "repeated")
+    flag, key = free_name(docs, "repeated_id", "long_id")
+    marked = looked_up(docs.withColumn(key, F.col(id_col).cast("long")), repeated.select(F.col("id").alias(key), F.col("again").alias(flag)), key)
+    hashed = F.shiftrightunsigned(F.xxhash64(key, text_col), 2).bitwiseOR(1 << 62)  # after all usual ids
+    return marked.withColumn(node, F.when(F.col(flag), hashed).otherwise(F.col(key))).drop(flag, key)
 
 
 def _hashes(text: bytes | None) -> np.ndarray:
@@ -385,12 +409,16 @@ def _across(large: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the least id of each group of near-duplicates; columns as they were.
+    """The rows of ``docs`` that stay, one of each group of near-duplicates; columns as they were, whatever their names.
 
-    Groups are the components of all pairs that share 0.8 or more of their distinct five-word shingles. Texts
-    without a word are one group. Rows that repeat an id are one node of the graph. Rows without an id stay.
+    Groups are the components of all pairs that share 0.8 or more of their distinct five-word shingles. Null texts are
+    empty and texts without a word are one group. The least id of a group stays. Ids are whole numbers (others raise).
+    Rows that repeat an id, and rows without one, stand each for their own text, after other rows and in the order of a hash;
+    of rows that repeat id and text one stays. An empty table gives no rows.
     """
-    texts = _texts(docs, id_col, text_col)
+    node = free_name(docs, "near_node")[0]
+    rows = _nodes(docs, id_col, text_col, node)
+    texts = rows.select(F.col(node).alias("id"), F.col(text_col).cast("binary").alias("t"))
     candidates = written(_candidates(_keyed(texts, _bucket_sums(texts))), "candidates")
     pairs = candidates.where("key is null and a != b").select("a", "b").distinct()
     large = candidates.where("key is not null").select("key", F.col("a").alias("id"), "n", *_PRINT)
@@ -400,10 +428,10 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not across.isEmpty():
         near = near.unionByName(_verified(across, texts))
         found = components(near)
-    # texts without a word have no shingle; a text with words is never one of their group, an id can have both
+    # texts without a word have no shingle
     blank = texts.where(~F.coalesce(F.col("t").cast("string"), F.lit("")).rlike(WORD)).select("id")
     least, last = blank.agg(F.min("id"), F.max("id")).first()
     if least != last:
         found = components(near.unionByName(blank.select(F.lit(least).cast("long").alias("a"), F.col("id").alias("b")).where("a != b")))
-    drop = found.where("node != root").select(F.col("node").alias(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    drop = found.where("node != root").select(F.col("node").alias(node)).distinct()
+    return rows.join(drop, node, "left_anti").dropDuplicates([node]).select(*docs.columns)

@@ -153,7 +153,7 @@ def test_simhash_masks_cover():
             assert any(m & differ == 0 for m in masks)
 
 
-def test_simhash_against_brute_force(spark, docs, none):
+def test_simhash_against_brute_force(spark, docs, none, monkeypatch):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(40)]
     prints = base + [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 5))) for b in base for _ in range(6)] + [base[0] ^ (1 << i) for i in range(60)]
@@ -170,8 +170,11 @@ def test_simhash_against_brute_force(spark, docs, none):
         if (prints[i] ^ prints[j]).bit_count() <= 3:
             a, b = sorted((find(i), find(j)))
             root[b] = a
-    got = {r.id: r.component_id for r in simhash.grouped(df, ["w0"], 3).collect()}
-    assert got == {i: find(i) for i in range(len(prints))}
+    want = {i: find(i) for i in range(len(prints))}
+    assert {r.id: r.component_id for r in simhash.grouped(df, ["w0"], 3).collect()} == want
+    monkeypatch.setattr(simhash, "LARGE_RUN", 3)  # most keys are split, most classes looked up
+    monkeypatch.setattr(components, "HUB", 2)
+    assert {r.id: r.component_id for r in simhash.grouped(df, ["w0"], 3).collect()} == want
     out = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.simhash_groups(docs).collect()}
     assert out[(3, "0" * 16)] == out[(4, "0" * 16)] == out[(9, "0" * 16)] == 3 and out[(5, next(f for d, f in out if d == 5))] == 1
     assert simhash.simhash_groups(none).count() == 0
@@ -188,9 +191,14 @@ def test_near_dedup_keeps_clean_documents(spark):
     base = words(300)
     near = list(base)
     near[100] = "changed"
-    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(words(300))), (4, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.near_deduplicated(df).collect()) == [1, 3, 4]
+    other, clean = " ".join(words(300)), " ".join(words(40))
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, other), (4, None), (5, "alone"), (2, clean), (2, clean), (None, "no id"), (6, " \n")]
+    df = spark.createDataFrame([(*r, 0, "x", 7) for r in rows], "doc_id long, text string, id int, t string, near_node int")
+    out = simhash.near_deduplicated(df)
+    assert out.columns == df.columns and {(r.id, r.t, r.near_node) for r in out.collect()} == {(0, "x", 7)}
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, rows[0][1]), (3, other), (4, None), (5, "alone"), (2, clean), (None, "no id")], key=str)
+    assert simhash.near_deduplicated(df.limit(0)).count() == 0
 
 
 def test_near_dedup_equals_brute_force(spark):
