@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyweft.llm.common import free_name, looked_up, text_of, word_count, written
+from polyweft.llm.quality import Rating
 
 SEED = 20
 WEIGHTS = (1, 2, 3)
@@ -31,11 +32,14 @@ FAN, PER_BUCKET, LEAST_LN, MOST_LN = 64, 256, -45.0, 6.0
 PROSE = 6.2
 
 
-def prose_weight(text: Column) -> Column:
-    """Between 0 and 1: how near the mean length of a word is to that of prose."""
+def _prose(text: Column) -> Column:
     return F.exp(-F.abs(F.ln((F.char_length(text) + 1.0) / (word_count(text) + 1.0) / F.lit(PROSE))))
 
 
+#: Between 0 and 1: how near the mean length of a word is to that of prose.
+PROSE_RATING = Rating(_prose, lambda rows: lambda measure: measure)
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """``sources`` (source, source_size, n_docs) with target: shares by weight, capped, the excess given again by weight.
 
@@ -57,9 +61,12 @@ def targets(sources: DataFrame) -> DataFrame:
     return shared.select("source", "source_size", "n_docs", F.when(F.col("common").isNull() | full, F.col("cap")).otherwise(F.col("common") * F.col("weight")).alias("target"))
 
 
-def _key(doc_id: Column, text: Column, score: Column) -> Column:
+def _uniform(doc_id: Column, text: Column) -> Column:
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), doc_id, text), 11) + 0.5) / float(2**53)
+
+
+def _key(uniform: Column, score: Column) -> Column:
     """The sampling key. Scores are rounded, lest the last bits of a sum decide; they weigh from 0.1 to 1."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), doc_id, text), 11) + 0.5) / float(2**53)
     weight = F.lit(0.1) + 0.9 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(F.coalesce(score, F.lit(0.0)), 6)))
     return -F.ln(uniform) / weight
 
@@ -105,20 +112,24 @@ def _copies(bucket: Column, order: Column, epochs: Column, last: Column, cut: Co
     return F.least(F.lit(MOST_EPOCHS), epochs + more).cast("long")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, score: Callable[[Column], Column]) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, rating: Rating) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """(doc_id, source, size, tie, key) of every row, small rows that are written, and the function that scores a measure."""
     text = text_of(text_col)
-    scored = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text.alias("t"), score(text).alias("score"))
-    return written(scored.select("doc_id", "source", word_count(F.col("t")).alias("size"), _key(F.col("doc_id"), F.col("t"), F.col("score")).alias("key"), F.xxhash64("t").alias("tie")), "keys")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text.alias("t"))
+    measured = base.select("doc_id", "source", word_count(F.col("t")).alias("size"), F.xxhash64("t").alias("tie"), _uniform(F.col("doc_id"), F.col("t")).alias("u"), rating.measure(F.col("t")).alias("measure"))
+    rows = written(measured, "measured")
+    score = rating.learnt(rows.select("doc_id", "measure"))
+    return written(rows.withColumn("score", score(F.col("measure"))).select("doc_id", "source", "size", "tie", _key(F.col("u"), F.col("score")).alias("key")), "keys"), score
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", score: Callable[[Column], Column] = prose_weight) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, source of every row. ``score``: from a text's column its quality, 0 to 1.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rating: Rating = PROSE_RATING) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, source of every row. ``rating``: the quality of a text, 0 to 1.
 
     Null texts have size 0; a null source is a source of its own, last in order. A null score is the least.
     Rows that repeat an id are rows of their own; whole repeated rows are taken alike, all or none at a cut.
     Reruns agree, as keys depend on id, text and seed alone. An empty table gives no rows.
     """
-    keyed = _keyed(docs, id_col, text_col, source_col, score)
+    keyed, _ = _keyed(docs, id_col, text_col, source_col, rating)
     found = cuts(keyed)
     buckets = (found.select("buckets").first() or [1])[0]
     rows = looked_up(keyed, found.drop("buckets"), "source", "inner")
@@ -126,17 +137,17 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", score: Callable[[Column], Column] = prose_weight) -> DataFrame:
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rating: Rating = PROSE_RATING) -> DataFrame:
     """The rows of ``docs`` as the mix takes them, repeated once for each epoch; columns as they were, whatever their names.
 
-    Nulls, ties, repeated rows and empty tables as in ``mixed``.
+    Nulls, ties, repeated rows and empty tables as in ``mixed``. Texts are measured a second time and stay where they are.
     """
-    found = cuts(_keyed(docs, id_col, text_col, source_col, score))
+    keyed, score = _keyed(docs, id_col, text_col, source_col, rating)
+    found = cuts(keyed)
     buckets = (found.select("buckets").first() or [1])[0]
-    names = free_name(docs, "mix_source", "mix_score", "mix_key", "mix_epochs", "mix_last", "mix_cut", "mix_copies")
-    source, rated, key, epochs, last, cut, n = names
+    source, rated, key, epochs, last, cut, n = free_name(docs, "mix_source", "mix_score", "mix_key", "mix_epochs", "mix_last", "mix_cut", "mix_copies")
     text = text_of(text_col)
-    named = docs.withColumns({source: F.col(source_col), rated: score(text)}).withColumn(key, _key(F.col(id_col), text, F.col(rated)))
+    named = docs.withColumns({source: F.col(source_col), rated: score(rating.measure(text))}).withColumn(key, _key(_uniform(F.col(id_col), text), F.col(rated)))
     small = found.select(F.col("source").alias(source), F.col("epochs").alias(epochs), F.col("last").alias(last), F.col("cut").alias(cut))
     order = F.struct(F.col(key).alias("key"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tie"))
     copies = _copies(_bucket(F.col(key), buckets), order, F.col(epochs), F.col(last), F.col(cut))

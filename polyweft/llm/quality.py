@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -150,17 +151,30 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_c
     return x.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def scorer(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Callable[[Column], Column]:
-    """The classifier as a function of a text's column, learnt from the labelled rows of ``docs``; null texts count as empty."""
-    known = labels.select(F.col(id_col).cast("long").alias("known_id")).distinct()
-    labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(known, F.col("doc_id") == F.col("known_id"), "left_semi")
-    model = _learnt(measured(labelled, "doc_id", "text"), labels, learn, id_col, label_col)
+class Rating(NamedTuple):
+    """A score of texts in two steps: what is measured in a text, and from rows (doc_id, measure) the function that scores a measure."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t or b"") for t in texts]).reshape(-1, len(NAMES))))
+    measure: Callable[[Column], Column]
+    learnt: Callable[[DataFrame], Callable[[Column], Column]]
 
-    return lambda text: score(text.cast("binary"))
+
+def rating(labels: DataFrame, learn: Column | None = None, label_col: str = "quality") -> Rating:
+    """The classifier as a ``Rating``: texts are measured where they are, and only their statistics meet the labels. Null texts count as empty."""
+
+    @F.pandas_udf("array<double>")
+    def measure(texts: pd.Series) -> pd.Series:
+        return pd.Series([statistics(t or b"") for t in texts])
+
+    def learnt(rows: DataFrame) -> Callable[[Column], Column]:
+        model = _learnt(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("measure").alias("x")), labels, learn, "doc_id", label_col)
+
+        @F.pandas_udf("double")
+        def score(x: pd.Series) -> pd.Series:
+            return pd.Series(model.score(np.array(list(x), np.float64).reshape(-1, len(NAMES))))
+
+        return score
+
+    return Rating(lambda text: measure(text.cast("binary")), learnt)
 
 
 def held_out(doc_id: Column) -> Column:

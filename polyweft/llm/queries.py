@@ -45,7 +45,7 @@ from d window w as (partition by text_sha256)
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return mixing.mixed(docs, score=quality.scorer(docs, labels, ~quality.held_out(F.col("doc_id")))).drop("source")
+    return mixing.mixed(docs, rating=quality.rating(labels, ~quality.held_out(F.col("doc_id")))).drop("source")
 
 
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,30 @@ def test_mixing(docs, none):
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
     assert sorted(map(key, got)) == sorted(map(key, again))
     assert mixing.mixed(none).count() == 0
-    assert mixing.mixture(docs).columns == docs.columns
+    named = docs.withColumns({c: F.lit(99) for c in ("__s", "__n", "__size", "size", "key", "tie", "mix_key", "looked_up_key")})
+    out = mixing.mixture(named)
+    assert out.columns == named.columns and {r["__size"] for r in out.collect()} == {99}
+
+
+def test_mixing_equals_plain_prefixes(spark, sf, monkeypatch):
+    monkeypatch.setattr(mixing, "PER_BUCKET", 2)  # some levels of the tree
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0").withColumns({"source": F.lit(None).cast("string"), "doc_id": F.col("doc_id") + 10**6}))
+    rating = quality.rating(labels)
+    got = {r.doc_id: r for r in mixing.mixed(docs, rating=rating).collect()}
+    by_source = {}
+    for r in mixing._keyed(docs, "doc_id", "text", "source", rating)[0].collect():
+        by_source.setdefault(r.source, []).append(r)
+    for rows in by_source.values():
+        total = sum(r.size for r in rows)
+        target = got[rows[0].doc_id].target
+        epochs, ahead = int(target // total), 0
+        for r in sorted(rows, key=lambda r: (r.key, r.doc_id, r.tie)):
+            more = ahead + r.size / 2 < target - epochs * total
+            assert got[r.doc_id].taken == min(3, epochs + more) * r.size, r
+            ahead += r.size
+    taken = mixing.mixture(docs, rating=rating).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in taken} == {k: r.copies for k, r in got.items() if r.copies}
 
 
 def test_water_level(spark):
