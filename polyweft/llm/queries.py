@@ -80,6 +80,20 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ESCAPED = r"replace(replace(replace(replace(replace({0}, '\', '\b'), '### ', '\h'), '</turn>', '\e'), '<more/>', '\m'), '<none/>', '\n')"
+OP8_SQL = rf"""
+with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e as (select *, coalesce(replace({_ESCAPED.format("role")}, ':', '\c'), '<none/>') as head, {_ESCAPED.format("text")} as body from t),
+o as (select *, row_number() over w as n, coalesce(head = lag(head) over w, false) as merged, coalesce(head = lead(head) over w, false) as goes_on from e
+  window w as (partition by conv_id order by turn nulls first, head, body)),
+l as (select *, case when merged then length(chr(10) || '<more/>' || chr(10)) else length('### ') + length(head) + length(':' || chr(10)) end + length(body) + case when goes_on then 0 else length('</turn>' || chr(10)) end as chars from o)
+select conv_id, count(*) as n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+  sum(case when head = 'assistant' then length(text) else 0 end)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by n) filter (head = 'assistant'), '')) as loss_sha256, sum(chars)::bigint as formatted_chars
+from l group by conv_id
+"""
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(documents(spark, sf_dir)).drop("own", "changed")
 
@@ -92,4 +106,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_mixing, op4_licences, op5_simhash, op6_packing, op7_quality, op8_chat_format, op9_fingerprints, op10_pii)}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_licences": licences.oracle()}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_licences": licences.oracle(), "op8_chat_format": OP8_SQL}
