@@ -2,13 +2,14 @@
 
 Encoding decomposes canonically; a printable ASCII character, a tab, a line break and six letters without a
 decomposition are words of their own, and each longest run of anything else is its UTF-8 bytes, two to an escape
-word. Decoding turns runs of escape words back into text and composes.
+word. Decoding turns runs of escape words back into text and composes. Words are made and read by built-in
+expressions; the normal forms alone, which no built-in has, come from an Arrow function, and only for texts that are
+not all ASCII.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import unicodedata
 
 import pandas as pd
@@ -17,82 +18,34 @@ from pyspark.sql import functions as F
 
 from polyweft.functions import words as W
 
-#: Letters of Latin text with a canonical decomposition, for the native path.
-LATIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 # fixed values: characters that are words by themselves; the precomposed letters can only come in when decoding
 _OWN_LETTERS = "ßøØæÆœŒ"
 MAPPED = r"\x20-\x7E\t\n\r" + _OWN_LETTERS
 DECODED_ONLY = "áéíóúàèìòùâêîôûäëïöüñçÁÉÍÓÚÑÇ"
 
 
-def nfd_latin(text: Column) -> Column:
-    """Canonical decomposition where the only composed characters are in ``LATIN``."""
-    for c in LATIN:
-        text = F.replace(text, F.lit(c), F.lit(unicodedata.normalize("NFD", c)))
-    return text
-
-
-def nfc_latin(text: Column) -> Column:
-    for c in LATIN:
-        text = F.replace(text, F.lit(unicodedata.normalize("NFD", c)), F.lit(c))
-    return text
-
-
-_OWN = {9, 10, 13, *range(0x20, 0x7F), *map(ord, _OWN_LETTERS)}
-_DECODED = _OWN | set(map(ord, DECODED_ONLY))
-
-
-def _encode_one(text: str | None, escape_only: bool) -> list[int] | None:
-    """Words of any text: runs of characters with and without a word of their own in turn."""
-    if text is None:
-        return None
-    out: list[int] = []
-    for own, chars in itertools.groupby(unicodedata.normalize("NFD", text), lambda c: not escape_only and ord(c) in _OWN):
-        run = "".join(chars)
-        if own:
-            out += map(ord, run)
-        else:
-            code = run.encode("utf-8", "surrogatepass")
-            out += [W.ESCAPE << 18 | int.from_bytes(code[i : i + 2].ljust(2, b"\0"), "big") for i in range(0, len(code), 2)]
-    return out
-
-
-def _decode_one(words: list[int] | None) -> str | None:
-    """Text of words that are all ``decodable``, else null."""
-    if words is None:
-        return None
-    code = b""
-    for w in map(int, words):
-        if w >> 16 == 4:
-            code += (w & 0xFFFF).to_bytes(2, "big") if w & 0xFF else bytes([w >> 8 & 0xFF])
-        elif w in _DECODED:
-            code += chr(w).encode()
-        else:
-            return None
-    try:
-        return unicodedata.normalize("NFC", code.decode("utf-8"))
-    except UnicodeDecodeError:
-        return None
-
-
 @functools.cache
-def _arrow(name: str, kind: str):
-    """The Arrow functions for text of any alphabet; made when first asked for, as they need a session."""
-    one = {"nfd": lambda t: None if t is None else unicodedata.normalize("NFD", t), "nfc": lambda t: None if t is None else unicodedata.normalize("NFC", t), "encode": lambda t: _encode_one(t, False), "escape": lambda t: _encode_one(t, True), "decode": _decode_one}[name]
+def _normal(form: str):
+    """A normal form of any text, through Arrow; made when first asked for, as it needs a session."""
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(one)
+        return s.map(lambda t: None if t is None else unicodedata.normalize(form, t))
+
+    return F.pandas_udf(run, "string")
+
 
-    return F.pandas_udf(run, kind)
+def _as(form: str, text: Column) -> Column:
+    return F.coalesce(_normal(form)(F.when(~text.rlike(r"^[\x00-\x7F]*$"), text)), text)
 
 
-def nfd(text: Column, general: bool = False) -> Column:
-    """Canonical decomposition; ``general``: of any text, through Arrow."""
-    return _arrow("nfd", "string")(text) if general else nfd_latin(text)
+def nfd(text: Column) -> Column:
+    """Canonical decomposition. Text that is all ASCII is its own and stays in the JVM."""
+    return _as("NFD", text)
 
 
-def nfc(text: Column, general: bool = False) -> Column:
-    return _arrow("nfc", "string")(text) if general else nfc_latin(text)
+def nfc(text: Column) -> Column:
+    """Canonical composition."""
+    return _as("NFC", text)
 
 
 def _pairs(run: Column) -> Column:
@@ -102,20 +55,16 @@ def _pairs(run: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.conv(F.rpad(F.substr(code, 1 + 4 * i, F.lit(4)), 4, "0"), 16, 10).cast("int") + (W.ESCAPE << 18))
 
 
-def encode(text: Column, general: bool = False) -> Column:
-    """The words of a text, in one projection without a shuffle. ``general``: of any alphabet, through Arrow."""
-    if general:
-        return _arrow("encode", "array<int>")(text)
-    units = F.regexp_extract_all(nfd(text), F.lit(f"([{MAPPED}]|[^{MAPPED}]+)"))
-    return F.flatten(F.transform(units, lambda u: F.when(u.rlike(f"^[{MAPPED}]$"), F.array(F.ascii(u))).otherwise(_pairs(u))))
+def encode(text: Column) -> Column:
+    """The words of a text of any alphabet, in one projection without a shuffle: runs with and without words of their own in turn."""
+    runs = F.regexp_extract_all(nfd(text), F.lit(f"([{MAPPED}]+|[^{MAPPED}]+)"))
+    return F.flatten(F.transform(runs, lambda u: F.when(u.rlike(f"^[{MAPPED}]"), F.transform(F.split(u, ""), lambda c: F.ascii(c))).otherwise(_pairs(u))))
 
 
-def encode_escape_only(text: Column, general: bool = False) -> Column:
+def encode_escape_only(text: Column) -> Column:
     """The variant in which all bytes are escape words."""
-    if general:
-        return _arrow("escape", "array<int>")(text)
-    decomposed = nfd(text)
-    return F.when(decomposed == "", F.expr("cast(array() as array<int>)")).otherwise(_pairs(decomposed))
+    # the filter leaves an empty text without words; the array gives the decomposed text a name inside the lambda
+    return F.coalesce(F.flatten(F.transform(F.filter(F.array(nfd(text)), lambda u: u != ""), _pairs)), F.when(text == "", F.expr("cast(array() as array<int>)")))
 
 
 def _is_own(w: Column) -> Column:
@@ -128,14 +77,13 @@ def decodable(w: Column) -> Column:
     return _is_own(w) | ((W.mode(w) == W.ESCAPE) & (W.version(w) == 0))
 
 
-def decode(words: Column, general: bool = False) -> Column:
+def decode(words: Column) -> Column:
     """The text of words. Words that are none of ``decodable`` make it null, as does a byte run that is no UTF-8.
 
     Each word becomes the hex of its bytes; the whole is decoded once, as a run of escapes holds whole characters.
-    A zero low byte is dropped.
+    A zero low byte is dropped. ``words`` must be a stored column: Spark does not plan ``decode`` right over ``encode``, an
+    Arrow function over a lambda over another.
     """
-    if general:
-        return _arrow("decode", "string")(words)
     own = lambda w: F.hex(F.encode(F.chr(W.payload(w)), "UTF-8"))
     low = lambda w: W.payload(w, 8)
     pair = lambda w: F.concat(F.lpad(F.hex(F.shiftright(W.payload(w), 8).cast("long")), 2, "0"), F.when(low(w) != 0, F.lpad(F.hex(low(w).cast("long")), 2, "0")).otherwise(""))
@@ -143,7 +91,7 @@ def decode(words: Column, general: bool = False) -> Column:
     wide = lambda w: F.when(W.payload(w) == 0x152, "C592").when(W.payload(w) == 0x153, "C593").otherwise(own(w))
     code = F.array_join(F.transform(words, lambda w: F.when(W.mode(w) == W.ESCAPE, pair(w)).otherwise(wide(w))), "")
     content = F.when(F.forall(words, decodable), F.unhex(code))
-    return nfc(F.try_validate_utf8(content.cast("string")))
+    return _normal("NFC")(F.try_validate_utf8(content.cast("string")))
 
 
 def split_text(text: Column, size: int = 64) -> Column:

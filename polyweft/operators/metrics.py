@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyweft.storage import written
+
 
 def distribution(shares: DataFrame, key: str | None, share: str, label: str) -> DataFrame:
     """Per key: coverage, entropy (bits), concentration, effective number, balance and the two largest shares with their product measure.
@@ -60,12 +62,35 @@ def unpivoted(df: DataFrame, ids: list[str], digits: int = 6) -> DataFrame:
     return wide.unpivot(ids, values, "metric", "value")
 
 
-def nearest_mean(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Mean distance of each key's points (x, y) of ``a`` to the nearest of ``b``. Points of a key meet in its partition only."""
-    other = b.select(key, F.col("x").alias("_x"), F.col("y").alias("_y"))
-    d = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
-    tagged = a.withColumn("_i", F.monotonically_increasing_id())
-    return tagged.join(other, key).groupBy(key, "_i").agg(F.min(d).alias("d")).groupBy(key).agg(F.avg("d").alias("mean_distance"))
+def nearest_mean(a: DataFrame, b: DataFrame, key: str, cell: float = 8.0, doublings: int = 20) -> DataFrame:
+    """Mean distance of each key's points (x, y) of ``a`` to the nearest of ``b``; a key without points in ``b`` has no row.
+
+    Equal points are asked once. Points lie in square cells; a point meets the distinct points of its cell and the
+    eight around it, which settles it if the nearest is within a cell's width. What is not settled goes on with cells
+    twice as wide, in which far points are few: no point meets all points of its key unless they lie within its reach.
+    """
+    asked = written(a.groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("n")), "asked")
+    other = written(b.select(key, "x", "y").distinct(), "points")
+    asked = asked.join(other.select(key).distinct(), key, "left_semi")
+    at = lambda c, w: F.floor(F.col(c) / w).cast("long")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    done = []
+    for _ in range(doublings):
+        tiles = other.select(key, F.col("x").alias("_x"), F.col("y").alias("_y"), at("x", cell).alias("_i"), at("y", cell).alias("_j"))
+        spread = asked.withColumn("_o", F.explode(around)).withColumns({"_i": at("x", cell) + F.col("_o.i"), "_j": at("y", cell) + F.col("_o.j")})
+        d = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
+        near = written(spread.join(tiles, [key, "_i", "_j"], "left").groupBy(key, "x", "y", "n").agg(F.min(d).alias("d")), "near")
+        done.append(near.where(F.col("d") <= cell))
+        asked = near.where("d is null or d > %r" % cell).drop("d")
+        if asked.isEmpty():
+            break
+        cell *= 2
+    else:
+        raise ValueError("points lie too far apart for the cells")
+    settled = done[0]
+    for more in done[1:]:
+        settled = settled.unionByName(more)
+    return settled.groupBy(key).agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("mean_distance"))
 
 
 def descriptor_distance(a: list[Column], b: list[Column]) -> Column:

@@ -38,10 +38,9 @@ def from_json(df: DataFrame, column: str = "json") -> DataFrame:
 
     What is no integer in range has a null word and its type in kind; what is no JSON array gives no row.
     """
-    parsed = df.select("stream_id", F.try_parse_json(column).alias("v"))
-    parsed.createOrReplaceTempView("_polyweft_json")
-    spark = df.sparkSession
-    rows = spark.sql("select s.stream_id, e.pos, schema_of_variant(e.value) as kind, try_variant_get(e.value, '$', 'bigint') as n from _polyweft_json s, lateral variant_explode(s.v) e where schema_of_variant(s.v) like 'ARRAY%'")
+    parsed = df.select("stream_id", F.try_parse_json(column).alias("v")).where(F.schema_of_variant("v").startswith("ARRAY"))
+    exploded = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    rows = exploded.select("stream_id", "pos", F.schema_of_variant("value").alias("kind"), F.try_variant_get("value", "$", "bigint").alias("n"))
     whole = F.col("kind") == "BIGINT"
     return rows.select("stream_id", "pos", F.when(whole & F.col("n").between(0, W.WORD_MAX), F.col("n")).cast("int").alias("word"), "kind", "n")
 
@@ -115,12 +114,12 @@ def validation(stream: DataFrame) -> DataFrame:
     return told.join(read, "stream_id", "left").select("stream_id", errors.alias("errors")).select("stream_id", (F.size("errors") == 0).alias("valid"), "errors")
 
 
-def texts(classified: DataFrame, general: bool = False) -> DataFrame:
+def texts(classified: DataFrame) -> DataFrame:
     """(stream_id, text, tokens): text words joined across other blocks and cut at bpe words, each cut decoded alone; null if one cannot be."""
     own = classified.where("modality in ('text', 'bpe')").withColumn("cut", F.sum((F.col("modality") == "bpe").cast("int")).over(_upto()))
     plain = F.transform(F.array_sort(F.collect_list(F.when(F.col("modality") == "text", F.struct("pos", "word")))), lambda p: p["word"])
     token = F.max(F.when(F.col("modality") == "bpe", W.payload("word", 12)))
-    cuts = own.groupBy("stream_id", "cut").agg(T.decode(plain, general).alias("text"), token.alias("token"))
+    cuts = own.groupBy("stream_id", "cut").agg(plain.alias("plain"), token.alias("token")).select("stream_id", "cut", T.decode(F.col("plain")).alias("text"), "token")
     ordered = F.array_sort(F.collect_list(F.struct("cut", "text", "token")))
     parts = cuts.groupBy("stream_id").agg(ordered.alias("parts"))
     whole = F.when(F.forall("parts", lambda p: p["text"].isNotNull()), F.array_join(F.transform("parts", lambda p: p["text"]), ""))

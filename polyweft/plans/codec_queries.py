@@ -60,11 +60,13 @@ def augmented_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def odor_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 5), lambda v: F.abs(v.cast("double"))).alias("q"))
+    """All values of a vector as twelve profiles of five and one of four."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.floor((F.size("embedding") - 1) / 5))).alias("part"), "embedding")
+    e = e.select("vec_id", "part", F.transform(F.slice("embedding", 5 * F.col("part") + 1, 5), lambda v: F.abs(v.cast("double"))).alias("q"))
     p = C.odor_place(F.col("q"))
     q = lambda i: F.get("q", F.lit(i))
     p3 = C.odor_place3(q(0), q(1), q(2))
-    return e.select("vec_id", p["pleasantness"].alias("pleasantness"), p["intensity"].alias("intensity"), p3["pleasantness"].alias("pleasantness3"), p3["intensity"].alias("intensity3"))
+    return e.select("vec_id", "part", p["pleasantness"].alias("pleasantness"), p["intensity"].alias("intensity"), p3["pleasantness"].alias("pleasantness3"), p3["intensity"].alias("intensity3"))
 
 
 def odor_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +247,7 @@ def quantise_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quadtree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _pixels(spark, sf_dir).where("y < 6").select("image_id", "x", "y", *[I.quantised(F.col(c)).alias(c) for c in "rgb"])
+    q = _pixels(spark, sf_dir).select("image_id", "x", "y", *[I.quantised(F.col(c)).alias(c) for c in "rgb"])
     return I.leaves(I.padded(q), 2500.0).select("image_id", "path", "r", "g", "b")
 
 
@@ -256,11 +258,11 @@ def quadtree_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images split down to pixels come back as they were quantised: 99 decibels."""
+    """Images split down to pixels come back as they were quantised."""
     p = _pixels(spark, sf_dir)
     back = I.decoded(I.encoded(p, 0.0)).where("error is null")
-    q = p.select("image_id", "x", "y", *[I.quantised(F.col(c)).alias(c) for c in "rgb"])
-    return I.psnr(q, back).groupBy("psnr").agg(F.count(F.lit(1)).alias("n"))
+    placed = lambda c: F.sum(F.col(c) * (1 + F.col("x") + 8 * F.col("y"))).alias(c)
+    return back.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), *[placed(c) for c in "rgb"])
 
 
 def image_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +272,10 @@ def image_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.grammar(I.encoded(_pixels(spark, sf_dir), 2500.0))
+    """Images as they are, with a step back too many, with a second header, with a word of another family."""
+    e = I.encoded(_pixels(spark, sf_dir), 2500.0)
+    more = F.when(F.col("image_id") % 4 == 1, F.array(F.lit(524288 + 0x0400 + 384 + 1))).when(F.col("image_id") % 4 == 2, F.array(F.lit(524288 + 0x0400 + 448))).when(F.col("image_id") % 4 == 3, F.array(F.lit(524288 + 0x0800 + 256)))
+    return I.grammar(e.select("image_id", F.concat("words", F.coalesce(more, F.expr("cast(array() as array<int>)"))).alias("words")))
 
 
 def _w(version: int, payload: str) -> str:
@@ -302,7 +307,7 @@ ORACLES = {
     "smell_pack": "select s_suppkey, " + _list(_w(0, "512 + 192 + 9"), _w(0, "512 + s_suppkey % 8 * 8 + s_nationkey % 8"), _w(0, "512 + 64 + s_suppkey // 8 % 8 * 8 + 1 + s_suppkey % 7"), _SMELL_STEPS) + " as words from supplier",
     "smell_unpack": f"select s_suppkey, (s_suppkey % 8)::int as category, s_nationkey % 8 as pleasantness, (s_suppkey // 8 % 8)::int as intensity, array_to_string({_SMELL_D}, ',') as directions from supplier",
     "augmented_pack": "select s_suppkey, " + _list(_w(0, "512 + s_suppkey % 8 * 8 + 3"), _w(0, "512 + 64 + 34"), _w(0, "512 + 128 + 16"), _w(0, "512 + 128 + s_suppkey % 8 * 8 + 1"), _w(0, "512 + 192 + s_suppkey % 4 + s_nationkey % 4 * 4 + s_suppkey // 4 % 4 * 16"), _w(0, "512 + 192 + s_suppkey % 2 * 16 + s_suppkey % 16")) + " as words from supplier",
-    "odor_projection": f"""with e as (select vec_id, list_transform(embedding[1:5], lambda v: abs(v::double)) as q from embeddings) select vec_id, {_AX(C.PLEASANT_WEIGHTS)} as pleasantness, {_AX(C.INTENSE_WEIGHTS)} as intensity,
+    "odor_projection": f"""with x as (select vec_id, unnest(range(0, (len(embedding) - 1) // 5 + 1)) as part, embedding from embeddings), e as (select vec_id, part, list_transform(embedding[5 * part + 1:5 * part + 5], lambda v: abs(v::double)) as q from x) select vec_id, part, {_AX(C.PLEASANT_WEIGHTS)} as pleasantness, {_AX(C.INTENSE_WEIGHTS)} as intensity,
 least(7, greatest(0, round_even(({_UNIT('q[1]')} - 0.15::double * {_UNIT('q[3]')}) * 7.0, 0)))::int as pleasantness3, least(7, greatest(0, round_even(({_UNIT('q[2]')} + 0.1::double * {_UNIT('q[3]')}) * 7.0, 0)))::int as intensity3 from e""",
     "odor_walks": "with s as (select s_suppkey, (s_suppkey % 8)::int as p0, s_nationkey % 8 as i0, case when s_suppkey % 8 >= 5 then [2, 1, 0, 6] when s_suppkey % 8 <= 2 then [2, 3, 4, 6] else [2, 2, 4, 6] end as d from supplier)"
     + "".join(f", s{k} as (select s_suppkey, d, least(7, greatest(0, p{k - 1} + ({[x for x, _ in C.STEPS]})[d[{k}] + 1])) as p{k}, least(7, greatest(0, i{k - 1} - ({[y for _, y in C.STEPS]})[d[{k}] + 1])) as i{k} from s{k - 1 if k > 1 else ''})" for k in range(1, 5))
@@ -337,13 +342,13 @@ u as (select p_partkey, case when k <= abs(dx) then sign(dx) else 0 end as ux, c
 select user_id, count(*) as notes, sum((greatest(1, duration_ms // 50) + 30) // 31)::bigint as durations, count(*) filter (was is distinct from program) as programs, sum(delta // 50)::bigint as frames from g group by user_id""",
     "temporal_decode": f"with {_EV} select user_id, count(*) as n, sum(start_ms)::bigint as starts, sum(pitch)::bigint as pitches, sum(program)::bigint as programs, sum(velocity)::bigint as velocities, sum(greatest(50, duration_ms))::bigint as durations from t group by user_id",
     "quantise_rgb": f"with {_PIX} select image_id, sum({_Q('r')})::bigint as r, sum({_Q('g', 2)})::bigint as g, sum((b >> 5) << 5)::bigint as b, sum((r < 128)::int)::bigint as dark from pix group by image_id",
-    "quadtree_leaves": f"with {_PIX}, {_SQ('where y < 6')}, {_TREE} select image_id, path, r, g, b from lf",
+    "quadtree_leaves": f"with {_PIX}, {_SQ('')}, {_TREE} select image_id, path, r, g, b from lf",
     "quadtree_words": f"""with {_PIX}, {_SQ('')}, {_TREE}, o as (select *, lag(path) over (partition by image_id order by path) as was from lf),
 s as (select image_id, path, was, coalesce(len(list_filter(range(1, least(length(path), length(was)) + 1), lambda k: path[1:k] = was[1:k])), 0) as shared from o)
 select image_id, count(*) as paints, sum(length(path) - shared)::bigint as backtracks, sum(length(path) - shared)::bigint as descents, concat_ws(',', 524288 + 1024 + 448, 524288 + 1536, 524288 + 1536 + 64 + 8, 524288 + 1536 + 128, 524288 + 1536 + 192 + 8, 524288 + 1536 + 256, 524288 + 1536 + 320 + 8, 524288 + 1536 + 384 + 3, 524288 + 1536 + 448 + (25000 & 63), 524288 + 1024 + 449) as header from s group by image_id""",
-    "image_roundtrip": "select 99.0::double as psnr, count(*) as n from embeddings",
+    "image_roundtrip": f"with {_PIX} select image_id, count(*) as n, {', '.join(f'sum({_Q(c)} * (1 + x + 8 * y))::bigint as {c}' for c in 'rgb')} from pix group by image_id",
     "image_psnr": f"with {_PIX}, m as (select image_id, avg((0.0::double + pow((r - {_Q('r', 2)})::double, 2) + pow((g - {_Q('g', 2)})::double, 2) + pow((b - {_Q('b', 2)})::double, 2)) / 3) as mse from pix group by image_id) select image_id, cast(round_even(case when mse = 0 then 99.0 else 10 * log10(65025.0::double / mse) end * 1e6, 0) as bigint) as psnr from m",
-    "image_grammar": "select vec_id as image_id, true as balanced, true as no_underflow, 1::bigint as headers, 1::bigint as families from embeddings",
+    "image_grammar": "select vec_id as image_id, vec_id % 4 != 1 as balanced, vec_id % 4 != 1 as no_underflow, 1 + (vec_id % 4 = 2)::bigint as headers, 1 + (vec_id % 4 = 3)::bigint as families from embeddings",
 }
 QUERIES = {
     f.__name__: f

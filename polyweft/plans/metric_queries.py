@@ -46,7 +46,9 @@ def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    m = F.map_from_entries(F.filter(F.array(F.when(F.col("s_suppkey") % 2 == 0, F.struct(F.lit("a").alias("k"), F.col("s_suppkey").alias("v"))), F.struct(F.lit("b").alias("k"), (-F.col("s_suppkey")).alias("v"))), lambda x: x.isNotNull()))
+    named = lambda name, value, known: F.when(known, F.struct(F.lit(name).alias("k"), value.alias("v")))
+    key = F.col("s_suppkey")
+    m = F.map_from_entries(F.filter(F.array(named("a", key, key % 2 == 0), named("b", -key, key % 3 == 0), named("c", key * 1000, key % 5 != 0)), lambda x: x.isNotNull()))
     return s.select("s_suppkey", M.first_known(m, "a", "b", "c").alias("value"))
 
 
@@ -56,13 +58,14 @@ def metric_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.bool_and(F.col("value") > -1e9).alias("all_ok"), (F.count_distinct("event_type") == 1).alias("one_kind"))
+    e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.bool_and(F.col("value") > 0.5).alias("all_ok"), (F.count_distinct(F.col("event_id") % 7) > 6).alias("many"))
     return e
 
 
 def point_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("k"), (F.col("p_partkey") % 97).cast("double").alias("x"), F.col("p_size").cast("double").alias("y"), "p_partkey")
-    return M.nearest_mean(p.where("p_partkey % 2 = 0 or p_partkey % 40 = 1").drop("p_partkey"), p.where("p_partkey <= 100").drop("p_partkey"), "k").select("k", _U("mean_distance"))
+    a = table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("k"), (F.col("p_partkey") % 97).cast("double").alias("x"), F.col("p_size").cast("double").alias("y"))
+    b = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 20).alias("k"), (F.col("s_suppkey") * 7 % 101).cast("double").alias("x"), (F.col("s_nationkey") * 2).cast("double").alias("y"))
+    return M.nearest_mean(a, b, "k").select("k", _U("mean_distance"))
 
 
 def descriptor_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,10 +178,11 @@ select user_id, coverage, first, {_R('entropy', 'entropy')}, {_R('hhi', 'hhi')},
     "transport_scores": f"with c as (select c_custkey, list_filter([c_acctbal / 10000, case when c_custkey % 3 != 0 then c_nationkey / 25.0::double end, 0.5::double], lambda x: x is not null) as ps from customer) select c_custkey, {_R('100 * list_sum(list_transform(ps, lambda x: greatest(0.0::double, least(1.0::double, x)))) / len(ps)', 'score')} from c",
     "value_percentiles": f"select event_type, {_R('quantile_cont(value, 0.5::double)', 'p50')}, {_R('quantile_cont(value, 0.95::double)', 'p95')} from events group by event_type",
     "latest_runs": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by event_id desc) <= 8",
-    "metric_fallback": "select s_suppkey, case when s_suppkey % 2 = 0 then s_suppkey else -s_suppkey end as value from supplier",
+    "metric_fallback": "select s_suppkey, case when s_suppkey % 2 = 0 then s_suppkey when s_suppkey % 3 = 0 then -s_suppkey when s_suppkey % 5 != 0 then s_suppkey * 1000 end as value from supplier",
     "metric_unpivot": "with p as (select p_brand, round_even(sum(p_size) / count(*)::double, 4) as size, round_even(max(p_retailprice), 4) as price, count(*)::double as n from part group by p_brand) select p_brand, metric, value from p unpivot (value for metric in (size, price, n))",
-    "batch_rollup": "select event_type, count(*) as n, count(distinct user_id) as users, bool_and(value > -1e9) as all_ok, true as one_kind from events group by event_type",
-    "point_distance": f"""with p as (select p_partkey, p_partkey % 20 as k, (p_partkey % 97)::double as x, p_size::double as y from part), d as (select a.k, a.p_partkey, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) as d from p a join p b on a.k = b.k and b.p_partkey <= 100 where a.p_partkey % 2 = 0 or a.p_partkey % 40 = 1 group by 1, 2) select k, {_R('avg(d)', 'mean_distance')} from d group by k""",
+    "batch_rollup": "select event_type, count(*) as n, count(distinct user_id) as users, bool_and(value > 0.5) as all_ok, count(distinct event_id % 7) > 6 as many from events group by event_type",
+    "point_distance": f"""with a as (select p_partkey, p_partkey % 20 as k, (p_partkey % 97)::double as x, p_size::double as y from part), b as (select s_suppkey % 20 as k, (s_suppkey * 7 % 101)::double as x, (s_nationkey * 2)::double as y from supplier),
+d as (select a.k, a.p_partkey, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) as d from a join b on a.k = b.k group by all) select k, {_R('avg(d)', 'mean_distance')} from d group by k""",
     "descriptor_distances": f"""with c as (select c_custkey, abs(c_custkey % 16 / 15.0::double - c_nationkey % 16 / 15.0::double) + abs(coalesce(case when c_custkey % 3 != 0 then c_nationkey % 16 / 15.0::double end, 0) - 7 / 15.0::double) + abs(least(1.0::double, c_custkey % 20 / 15.0::double) - 3 / 15.0::double) + abs(c_custkey % 8 / 7.0::double - 2 / 7.0::double) as s from customer)
 select c_custkey, {_R('s / 4', 'd')}, {_R('least(1.0::double, 0.9::double + 0.35::double * (s / 4))', 'j')} from c""",
     "pitch_trends": "with k as (select user_id, event_id, value, (row_number() over (partition by user_id order by event_id) - 1) // 5 as bucket from events where event_id % 7 != 0 and value is not null), g as (select user_id, bucket, arg_max(value, event_id) - arg_min(value, event_id) as slope, count(*) as n from k group by all) select user_id, bucket, case when slope > 5 then 'UP' when slope < -5 then 'DOWN' else 'LEVEL' end as trend from g where n > 1",

@@ -145,7 +145,7 @@ ORACLES = {
     "word_fields": f"with {WORDS_SQL} select (word >> 18) & 3 as mode, (word >> 16) & 3 as version, word & 65535 as payload, count(*) as n from w where {_VALID} group by all",
     "word_predicates": f"""with {WORDS_SQL}, m as (select *, (word >> 18) & 3 = 2 as ext, (word >> 16) & 3 = 0 as v0 from w where {_VALID})
 select stream_id, count(*) filter (word & 3072 = 1024) as image_payload, count(*) filter (ext and v0 and word & 3072 = 1024) as enhanced, count(*) filter (ext and v0 and word & 3072 = 2048) as legacy,
-count(*) filter (ext and word & 32768 != 0) as visual, count(*) filter (false) as header, count(*) filter (word between 196608 and 262143) as music_range, count(*) filter (ext and word & 1024 != 0) as taste_bit from m group by stream_id""",
+count(*) filter (ext and word & 32768 != 0) as visual, count(*) filter (ext and word & 32768 != 0 and (word >> 10) & 3 = 3 and word & 1 != 0 and word & 2048 = 0) as header, count(*) filter (word between 196608 and 262143) as music_range, count(*) filter (ext and word & 1024 != 0) as taste_bit from m group by stream_id""",
     "classify_single": f"with {WORDS_SQL} select word, {MODALITY_SQL} as modality, count(*) as n from w where {_VALID} group by all",
     "classify_counts": f"with {CLASSIFIED_SQL} select stream_id, {_LABEL_COUNTS}, count(modality) as total_words from c group by stream_id",
     "modality_ratios": f"with {CLASSIFIED_SQL} select stream_id, "
