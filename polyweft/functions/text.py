@@ -64,7 +64,7 @@ def encode(text: Column) -> Column:
 def encode_escape_only(text: Column) -> Column:
     """The variant in which all bytes are escape words."""
     # the filter leaves an empty text without words; the array gives the decomposed text a name inside the lambda
-    return F.coalesce(F.flatten(F.transform(F.filter(F.array(nfd(text)), lambda u: u != ""), _pairs)), F.when(text == "", F.expr("cast(array() as array<int>)")))
+    return F.when(text.isNotNull(), F.flatten(F.transform(F.filter(F.array(nfd(text)), lambda u: u != ""), _pairs)))
 
 
 def _is_own(w: Column) -> Column:

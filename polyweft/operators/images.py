@@ -159,6 +159,23 @@ def _painted(words: list[int]) -> np.ndarray:
     return image[:height, :width]
 
 
+def painted(words: Column) -> Column:
+    """struct(width, height, pixels) of one image's words, pixels as r, g, b by rows; null for malformed ones, through Arrow."""
+
+    def run(column: pd.Series) -> pd.DataFrame:
+        rows = []
+        for w in column:
+            try:
+                im = _painted([int(x) for x in w])
+                rows.append((im.shape[1], im.shape[0], im.ravel().tolist()))
+            except (ValueError, TypeError):
+                rows.append((None, None, None))
+        return pd.DataFrame(rows, columns=["width", "height", "pixels"])
+
+    made = F.pandas_udf(run, "width int, height int, pixels array<int>")(words)
+    return F.when(made["width"].isNotNull(), made)
+
+
 def decoded(images: DataFrame) -> DataFrame:
     """(image_id, x, y, r, g, b, error) of images (image_id, words); a malformed one gives a row with its error alone."""
 

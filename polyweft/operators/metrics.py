@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,3 +148,27 @@ def path_points(steps: DataFrame, key: str, order: str, x: str, y: str, dx: str,
     inner = Window.partitionBy(key, "_m").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = lambda p, d: F.first(p, True).over(inner) + F.sum(F.coalesce(F.col(d), F.lit(0))).over(inner)
     return part.select(key, order, F.col("_m").alias("segment"), at(x, dx).alias("x"), at(y, dy).alias("y"))
+
+
+def max_error(a: DataFrame, b: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, max_error): the largest difference of two series by place; places that only one of them has raise."""
+    other = b.select(key, order, F.col(value).alias("_other"))
+    both = a.select(key, order, value).join(other, [key, order], "full")
+    gap = F.abs(F.col(value) - F.col("_other"))
+    return both.withColumn("_gap", F.when(gap.isNotNull(), gap).otherwise(F.raise_error(F.lit("the series differ in length")).cast("double"))).groupBy(key).agg(F.max("_gap").alias("max_error"))
+
+
+def time_steps(notes: DataFrame, key: str, onset: str = "onset", duration: str = "duration", limit: int = 1024) -> DataFrame:
+    """(key, step) of scores: one over the least common multiple of the denominators of onsets and durations, ``limit`` at most each."""
+
+    @F.pandas_udf("int")
+    def denominator(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: Fraction(v).limit_denominator(limit).denominator)
+
+    @F.pandas_udf("double")
+    def step(sets: pd.Series) -> pd.Series:
+        return sets.map(lambda ds: 1.0 / math.lcm(*map(int, ds)))
+
+    both = notes.select(key, F.col(onset).cast("double").alias("v")).unionByName(notes.select(key, F.col(duration).cast("double").alias("v"))).where("v is not null")
+    # a set of at most ``limit`` numbers
+    return both.select(key, denominator("v").alias("d")).groupBy(key).agg(F.collect_set("d").alias("ds")).select(key, step("ds").alias("step"))
