@@ -53,12 +53,17 @@ def fullest(counts: dict[int, int], size: int) -> dict[int, int]:
     return found
 
 
-def patterns(counts: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
-    """Bins of equal content and how many there are of each, in the order they were found."""
+def _patterns(counts: dict[int, int], size: int, seeded: bool) -> list[tuple[dict[int, int], int]]:
     left = {k: v for k, v in counts.items() if v > 0}
     out = []
     while left:
-        bin_ = fullest(left, size)
+        if seeded:
+            seed = max(left)
+            rest = {k: v - (k == seed) for k, v in left.items() if k <= size - seed and v > (k == seed)}
+            bin_ = fullest(rest, size - seed)
+            bin_[seed] = bin_.get(seed, 0) + 1
+        else:
+            bin_ = fullest(left, size)
         times = min(left[k] // n for k, n in bin_.items())
         out.append((bin_, times))
         for k, n in bin_.items():
@@ -68,6 +73,15 @@ def patterns(counts: dict[int, int], size: int) -> list[tuple[dict[int, int], in
     return out
 
 
+def patterns(counts: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
+    """Bins of equal content and how many there are of each, in the order they were found.
+
+    Once the fullest of all combinations is taken for each bin, once the fullest that holds the longest piece left,
+    which spares the long pieces a bin of their own at the end; what needs fewer bins stays.
+    """
+    return min((_patterns(counts, size, seeded) for seeded in (False, True)), key=lambda found: sum(times for _, times in found))
+
+
 def places(packed: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     """Per length, rows (first rank, copies in a bin, first bin, offset in the bin) by rank."""
     out: dict[int, list[tuple[int, int, int, int]]] = {}
