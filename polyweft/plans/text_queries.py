@@ -65,8 +65,10 @@ def split_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_token_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations whose pieces do not encode to what the whole text encodes to."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    by_piece = F.flatten(F.transform(T.split_text(F.col("text"), 5), lambda p: T.encode(p)))
-    return c.select("conv_id", "turn", (by_piece != T.encode(F.col("text"))).alias("mismatch")).groupBy("conv_id").agg(F.count_if("mismatch").alias("mismatches"))
+    pieces = c.select("conv_id", "turn", F.posexplode(T.split_text(F.col("text"), 5)).alias("k", "piece")).select("conv_id", "turn", "k", T.encode(F.col("piece")).alias("words"))
+    by_piece = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "words"))), lambda p: p["words"]))
+    joined = pieces.groupBy("conv_id", "turn").agg(by_piece.alias("by_piece")).join(c.select("conv_id", "turn", T.encode(F.col("text")).alias("whole")), ["conv_id", "turn"])
+    return joined.groupBy("conv_id").agg(F.count_if(F.col("by_piece") != F.col("whole")).alias("mismatches"))
 
 
 def bpe_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
