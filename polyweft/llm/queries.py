@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyweft.llm import chat, exact_dedup, licences, lm_scoring, mixing, packing, pii, quality, simhash, sketches
+from polyweft.llm import bpe, chat, exact_dedup, filters, fim, licences, lm_scoring, mixing, packing, pii, quality, simhash, sketches
 from polyweft.llm.common import documents, remainder
 
 
@@ -105,5 +105,54 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[number(k) for k in pii.KINDS], F.sha2(told("base").cast("binary"), 256).alias("base_sha256"), told("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_exact_dedup, op3_mixing, op4_licences, op5_simhash, op6_packing, op7_quality, op8_chat_format, op9_fingerprints, op10_pii)}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_licences": licences.oracle(), "op8_chat_format": OP8_SQL}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"), with_output=False)
+    return out.select("doc_id", *[f"fim.{c}" for c in ("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")])
+
+
+OP11_SQL = r"""
+with u as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u from documents),
+h as (select *, len(u)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from u),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as lo, greatest(h1 % (n + 1), h2 % (n + 1)) as hi,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, array_to_string(u[1:lo], '') as p, array_to_string(u[lo + 1:hi], '') as m, array_to_string(u[hi + 1:], '') as s from c)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256 from p
+"""
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokenizer_path(bpe.VOCABULARY)
+    out = bpe.decoded(bpe.encoded(documents(spark, sf_dir).select("doc_id", "text"), vocabulary).select("doc_id", "ids"), vocabulary)
+    return out.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audited(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP13_SQL = r"""
+with l as (select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by doc_id),
+t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+  coalesce(doc_id > min(doc_id) over (partition by coalesce(text, '')), false) as later from documents),
+m as (select t.doc_id, part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, {'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words),
+  'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), 'D': regexp_matches(text, '[#$%&*|]'), 'E': later} as f from t left join l on t.doc_id = l.doc_id),
+k as (select part, (case when f.A then 'A' else '' end) || (case when f.B then 'B' else '' end) || (case when f.C then 'C' else '' end) || (case when f.D then 'D' else '' end) || (case when f.E then 'E' else '' end) as fails,
+  count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as o from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select o as filter_order, i::int as step, o[i] as f, o[:i - 1] as before, o[:i] as upto from o, range(1, 6) r(i)),
+r as (select part, filter_order, step, f, sum(case when translate(fails, upto, '') = fails then n else 0 end) as kept,
+  sum(case when contains(fails, f) and translate(fails, before, '') = fails then n else 0 end) as removed,
+  sum(case when contains(fails, f) and translate(fails, before, '') <> fails then n else 0 end) as redundant,
+  sum(case when fails = f then n else 0 end) as unique_fails,
+  sum(case when contains(fails, f) and translate(fails, before, '') = fails then good else 0 end) as good_lost,
+  sum(case when contains(fails, f) and translate(fails, before, '') = fails then toxic else 0 end) as toxic_lost from k, s group by all)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+  toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, f))::bigint as shapley from r
+"""
+
+
+_OPERATORS = (op1_lm_scoring, op2_exact_dedup, op3_mixing, op4_licences, op5_simhash, op6_packing, op7_quality, op8_chat_format, op9_fingerprints, op10_pii, op11_fim, op12_bpe, op13_filters)
+QUERIES = {f.__name__: f for f in _OPERATORS}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_licences": licences.oracle(), "op8_chat_format": OP8_SQL, "op11_fim": OP11_SQL, "op13_filters": OP13_SQL}
