@@ -17,6 +17,8 @@ import numpy as np
 _LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 _LETTERS_THEN_SIGNS = re.compile(rb"(" + _LETTERS + rb")([!-&(-/:-@\[-`{-~]*)")
 _END = "</w>"
+#: Bytes that begin a combining mark of U+0300 to U+036F; no other marks compose with ASCII letters.
+_MARK = re.compile(rb"[\xcc\xcd]")
 
 
 class WordIds(dict):
@@ -71,7 +73,9 @@ class WordIds(dict):
 
         for text in texts:
             low = text.lower()
-            group.append(text.split() if any(s in low for s in self._special) else low.split())
+            # J and a caron compose to nothing, j and a caron to one letter: what marks may follow is left to the library
+            as_it_is = any(s in low for s in self._special) or _MARK.search(text)
+            group.append(text.split() if as_it_is else low.split())
             if len(group) == self.TOGETHER:
                 yield from out()
         yield from out()
