@@ -228,14 +228,24 @@ class Decoder:
         return self.bytes[at + np.repeat(starts - ahead, lengths)].tobytes()[1:]
 
 
+#: Rows that are given back at once, so that results do not pile up in a worker.
+AT_ONCE = 128
+
+
+def _parts(batches: Iterator[pd.Series]) -> Iterator[list[bytes]]:
+    for rows in batches:
+        for at in range(0, len(rows), AT_ONCE):
+            yield [r or b"" for r in rows.iloc[at : at + AT_ONCE]]
+
+
 def encode(text: Column, vocabulary: str) -> Column:
     """Ids of each text as bytes; the vocabulary's tables are made once a task."""
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(vocabulary)
-        for texts in batches:
-            yield pd.Series([encoder.text(t or b"") for t in texts], dtype=object)
+        for texts in _parts(batches):
+            yield pd.Series([encoder.text(t) for t in texts], dtype=object)
 
     return run(text.cast("binary"))
 
@@ -246,12 +256,25 @@ def decode(ids: Column, vocabulary: str) -> Column:
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoder = Decoder(vocabulary)
-        for rows in batches:
-            yield pd.Series([decoder.text(i or b"").decode("utf-8") for i in rows], dtype=object)
+        for rows in _parts(batches):
+            yield pd.Series([decoder.text(i).decode("utf-8") for i in rows], dtype=object)
 
     return run(ids)
 
 
+def round_trip(text: Column, vocabulary: str) -> Column:
+    """struct(ids, decoded): a text's ids and what they decode to, by one worker instead of two in a row."""
+
+    @F.pandas_udf("ids binary, decoded string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        for texts in _parts(batches):
+            ids = [encoder.text(t) for t in texts]
+            yield pd.DataFrame({"ids": ids, "decoded": [decoder.text(i).decode("utf-8") for i in ids]}, dtype=object)
+
+    return run(text.cast("binary"))
+
+
 def n_tokens(ids: Column) -> Column:
     return (F.coalesce(F.octet_length(ids), F.lit(0)) / 4).cast("long")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyweft.llm import bpe, chat, exact_dedup, filters, fim, licences, lm_scoring, mixing, packing, pii, quality, simhash, sketches
-from polyweft.llm.common import documents, remainder
+from polyweft.llm.common import documents, remainder, text_of
 
 
 def tokenizer_path(name: str) -> str:
@@ -122,9 +122,8 @@ select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_c
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = tokenizer_path(bpe.VOCABULARY)
-    out = bpe.decoded(bpe.encoded(documents(spark, sf_dir).select("doc_id", "text"), vocabulary).select("doc_id", "ids"), vocabulary)
-    return out.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    out = documents(spark, sf_dir).select("doc_id", bpe.round_trip(text_of(), tokenizer_path(bpe.VOCABULARY)).alias("b"))
+    return out.select("doc_id", bpe.n_tokens(F.col("b.ids")).alias("n_tokens"), F.sha2("b.ids", 256).alias("ids_sha256"), F.sha2(F.col("b.decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

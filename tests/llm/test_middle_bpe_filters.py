@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from polyweft.llm import bpe, filters, fim
+from polyweft.llm import bpe, filters, fim, wordids
 from polyweft.llm.queries import OP11_SQL, OP13_SQL, QUERIES, tokenizer_path
 
 ROWS = [
@@ -151,6 +151,15 @@ def test_encoding_equals_the_library(library):
         assert (ids, decoder.text(ids).decode()) == plain_ids(library, t), repr(t)
 
 
+def test_the_table_of_words_equals_the_library(library):
+    """Marks that compose with a small letter alone (J and a caron) are why lower case comes after normalising."""
+    words = wordids.WordIds(tokenizer_path(bpe.VOCABULARY))
+    rng = random.Random(9)
+    texts = ["J̌ ẖ", *("".join(rng.choice(PARTS) for _ in range(rng.randrange(24))) for _ in range(4000))]
+    for t, ids in zip(texts, words.texts(t.encode() for t in texts)):
+        assert ids == plain_ids(library, t)[0], repr(t)
+
+
 def test_compatible_pairs_are_what_merges_leave(library):
     """The table of pairs against merges that are run one by one."""
     encoder = bpe.Encoder(tokenizer_path(bpe.VOCABULARY))
