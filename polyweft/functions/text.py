@@ -57,7 +57,12 @@ def _pairs(run: Column) -> Column:
 
 def encode(text: Column) -> Column:
     """The words of a text of any alphabet, in one projection without a shuffle: runs with and without words of their own in turn."""
-    runs = F.regexp_extract_all(nfd(text), F.lit(f"([{MAPPED}]+|[^{MAPPED}]+)"))
+    return encode_normal(nfd(text))
+
+
+def encode_normal(text: Column) -> Column:
+    """The words of a text that is decomposed already."""
+    runs = F.regexp_extract_all(text, F.lit(f"([{MAPPED}]+|[^{MAPPED}]+)"))
     return F.flatten(F.transform(runs, lambda u: F.when(u.rlike(f"^[{MAPPED}]"), F.transform(F.split(u, ""), lambda c: F.ascii(c))).otherwise(_pairs(u))))
 
 
@@ -84,14 +89,21 @@ def decode(words: Column) -> Column:
     A zero low byte is dropped. ``words`` must be a stored column: Spark does not plan ``decode`` right over ``encode``, an
     Arrow function over a lambda over another.
     """
+    return decoded_with(words, None)
+
+
+def decoded_with(words: Column, other) -> Column:
+    """``decode`` where ``other``, a function of a word, gives the text of words of another kind, and null for the rest."""
     own = lambda w: F.hex(F.encode(F.chr(W.payload(w)), "UTF-8"))
     low = lambda w: W.payload(w, 8)
     pair = lambda w: F.concat(F.lpad(F.hex(F.shiftright(W.payload(w), 8).cast("long")), 2, "0"), F.when(low(w) != 0, F.lpad(F.hex(low(w).cast("long")), 2, "0")).otherwise(""))
     # characters above 255 are words too (œ, Œ): chr() covers one byte only
     wide = lambda w: F.when(W.payload(w) == 0x152, "C592").when(W.payload(w) == 0x153, "C593").otherwise(own(w))
-    code = F.array_join(F.transform(words, lambda w: F.when(W.mode(w) == W.ESCAPE, pair(w)).otherwise(wide(w))), "")
-    content = F.when(F.forall(words, decodable), F.unhex(code))
-    return _normal("NFC")(F.try_validate_utf8(content.cast("string")))
+    plain = lambda w: F.when(W.mode(w) == W.ESCAPE, pair(w)).otherwise(wide(w))
+    told = plain if other is None else lambda w: F.coalesce(F.hex(F.encode(other(w), "UTF-8")), plain(w))
+    known = decodable if other is None else lambda w: decodable(w) | other(w).isNotNull()
+    content = F.when(F.forall(words, known), F.unhex(F.array_join(F.transform(words, told), "")))
+    return nfc(F.try_validate_utf8(content.cast("string")))
 
 
 def split_text(text: Column, size: int = 64) -> Column:

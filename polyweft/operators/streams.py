@@ -21,7 +21,6 @@ def _upto():
     return _stream().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-
 def from_arrays(df: DataFrame, words: str = "words") -> DataFrame:
     """One row for each word of an array column."""
     return df.select("stream_id", F.posexplode(words).alias("pos", "word"))
@@ -67,11 +66,10 @@ def dispatched(stream: DataFrame) -> DataFrame:
     marked = stream.withColumns({"_start": at(0, 0) & at(1, 1) & at(2, 2), "_more": bit & W.version("word").isin(2, 3)})
     near = lambda k: F.coalesce(F.lag("_start", k).over(_stream()), F.lit(False))
     marked = marked.withColumn("_in", F.col("_start") | near(1) | near(2))
-    # a continuation belongs to a block if nothing but continuations lies between it and one
-    run = marked.withColumn("_run", F.sum((~F.col("_more") | F.col("_in")).cast("int")).over(_upto()))
-    inside = F.first("_in").over(Window.partitionBy("stream_id", "_run").orderBy("pos"))
-    taste = F.col("_in") | (F.col("_more") & inside)
-    return run.withColumn("modality", F.when(ok, F.when(taste, "taste").otherwise(W.modality("word")))).drop("_start", "_more", "_in", "_run")
+    # a continuation belongs to a block if the word before it does
+    settled = F.when(F.col("_in") | ~F.col("_more"), F.col("_in"))
+    taste = F.coalesce(F.last(settled, ignorenulls=True).over(_upto()), F.lit(False))
+    return marked.withColumn("modality", F.when(ok, F.when(taste, "taste").otherwise(W.modality("word")))).drop("_start", "_more", "_in")
 
 
 def blocks(classified: DataFrame) -> DataFrame:

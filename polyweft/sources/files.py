@@ -8,7 +8,6 @@ from __future__ import annotations
 import gzip
 import io
 import json
-import re
 import wave
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -351,15 +350,14 @@ def read_primitives(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(F.coalesce(F.from_json("value", f"struct<primitives:array<{kind}>>")["primitives"], F.from_json("value", f"array<{kind}>"))).alias("p")).select("p.*")
 
 
-def longest_first(keys: DataFrame, column: str) -> list[str]:
-    """Keys of a small macro table, longest first, for an alternation that prefers them."""
-    return [r[0] for r in keys.select(column).orderBy(F.desc(F.length(column)), column).collect()]  # a macro table has at most 64 K ids
+MACRO = "struct<emoji:string,name:string,macro_id:int,primitives:array<string>,notes:string>"
 
 
-def macro_units(text: Column, keys: list[str]) -> Column:
-    """The text cut into macro keys and single characters."""
-    choice = "|".join(re.escape(k) for k in keys)
-    return F.regexp_extract_all(text, F.lit(f"({choice + '|' if choice else ''}(?s:.))"))
+def read_macros(spark: SparkSession, path: str) -> DataFrame:
+    """(emoji, name, macro_id, primitives, notes) of a JSON document with macros; a missing name is the key, a missing number 0, missing primitives none."""
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"struct<macros:array<{MACRO}>>")["macros"]).alias("k", "m")).orderBy("k")
+    none = F.array().cast("array<string>")
+    return raw.select("m.emoji", F.coalesce("m.name", "m.emoji").alias("name"), F.coalesce("m.macro_id", F.lit(0)).alias("macro_id"), F.coalesce("m.primitives", none).alias("primitives"), F.coalesce("m.notes", F.lit("")).alias("notes"))
 
 
 def metric_files(metrics: DataFrame, folder: str) -> None:
