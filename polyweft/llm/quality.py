@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyweft.llm.common import remainder, written
+from polyweft.llm.common import free_name, remainder, text_of, written
 
 _UPPER, _LOWER, _DIGIT = (np.arange(a, b + 1) for a, b in ((65, 90), (97, 122), (48, 57)))
 _SIGNS = np.frombuffer(b"#$%&*", np.uint8)
@@ -181,8 +181,14 @@ def held_out(doc_id: Column) -> Column:
     return remainder(doc_id) == 0
 
 
-def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is not rejected; columns as they were. Rows that share an id go only if all are rejected."""
-    out = scored(docs, labels, ~held_out(F.col("doc_id")), id_col, text_col)
-    drop = out.groupBy("doc_id").agg(F.max("predicted").alias("p")).where("p = 0").select(F.col("doc_id").alias(id_col))
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text reaches the threshold; columns as they were.
+
+    Each row is judged where it stands and by its own text, so rows without an id go as others do, and of rows that
+    share an id some may go and some stay. Null texts count as empty. Texts are measured once to learn and once to judge.
+    """
+    judge = rating(labels, ~held_out(F.col("doc_id")))
+    (x,) = free_name(docs, "quality_measure")
+    rows = docs.withColumn(x, judge.measure(text_of(text_col)))
+    score = judge.learnt(rows.select(F.col(id_col).alias("doc_id"), F.col(x).alias("measure")))
+    return rows.where(score(F.col(x)) >= threshold).select(*docs.columns)
