@@ -36,7 +36,7 @@ def main(argv: list[str] | None = None) -> int:
 
         from polyweft.functions import text as T
 
-        words = spark.createDataFrame([(1, "Café in 日本")], "stream_id long, t string").select("stream_id", T.encode(F.col("t"), True).alias("words"))
+        words = spark.createDataFrame([(1, "Café in 日本")], "stream_id long, t string").select("stream_id", T.encode(F.col("t")).alias("words"))
         stream = S.from_arrays(words)
     else:
         stream = files.read_words_json(spark, args.path)

@@ -66,20 +66,26 @@ def unpivoted(df: DataFrame, ids: list[str], digits: int = 6) -> DataFrame:
     return wide.unpivot(ids, values, "metric", "value")
 
 
-def nearest_mean(a: DataFrame, b: DataFrame, key: str, cell: float = 8.0, doublings: int = 20) -> DataFrame:
+def nearest_mean(a: DataFrame, b: DataFrame, key: str, cell: float = 8.0) -> DataFrame:
     """Mean distance of each key's points (x, y) of ``a`` to the nearest of ``b``; a key without points in ``b`` has no row.
 
     Equal points are asked once. Points lie in square cells; a point meets the distinct points of its cell and the
     eight around it, which settles it if the nearest is within a cell's width. What is not settled goes on with cells
     twice as wide, in which far points are few: no point meets all points of its key unless they lie within its reach.
+    Cells as wide as all points lie apart settle every point, so the rounds are as many as the extent has doublings of
+    a cell. Coordinates that are no finite numbers raise.
     """
     asked = written(a.groupBy(key, "x", "y").agg(F.count(F.lit(1)).alias("n")), "asked")
     other = written(b.select(key, "x", "y").distinct(), "points")
     asked = asked.join(other.select(key).distinct(), key, "left_semi")
     at = lambda c, w: F.floor(F.col(c) / w).cast("long")
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    ends = [f(c) for c in ("x", "y") for f in (F.min, F.max)]
+    x0, x1, y0, y1 = asked.select("x", "y").unionByName(other.select("x", "y")).agg(*ends).first()
+    if x0 is not None and not all(map(math.isfinite, (x0, x1, y0, y1))):
+        raise ValueError("points must have finite coordinates")
     done = []
-    for _ in range(doublings):
+    while True:
         tiles = other.select(key, F.col("x").alias("_x"), F.col("y").alias("_y"), at("x", cell).alias("_i"), at("y", cell).alias("_j"))
         spread = asked.withColumn("_o", F.explode(around)).withColumns({"_i": at("x", cell) + F.col("_o.i"), "_j": at("y", cell) + F.col("_o.j")})
         d = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
@@ -89,8 +95,6 @@ def nearest_mean(a: DataFrame, b: DataFrame, key: str, cell: float = 8.0, doubli
         if asked.isEmpty():
             break
         cell *= 2
-    else:
-        raise ValueError("points lie too far apart for the cells")
     settled = done[0]
     for more in done[1:]:
         settled = settled.unionByName(more)

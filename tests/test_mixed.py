@@ -64,6 +64,37 @@ def test_nearest_points_equal_all_pairs(spark):
     assert got == pytest.approx(want)
 
 
+def test_nearest_points_over_wide_extents(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "k int, x double, y double")
+    far = frame([(1, 0.0, 0.0), (1, 3e9, 4e9), (1, 1.0, 0.0)])
+    assert M.nearest_mean(far, frame([(1, 0.0, 0.0)]), "k").first().mean_distance == pytest.approx((5e9 + 1) / 3)
+    assert M.nearest_mean(far.limit(0), frame([(1, 0.0, 0.0)]), "k").count() == 0
+    with pytest.raises(ValueError, match="finite"):
+        M.nearest_mean(frame([(1, float("inf"), 0.0)]), frame([(1, 0.0, 0.0)]), "k")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from polyweft.__main__ import main
+
+    def run(*args):
+        code = main(list(args))
+        return code, json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+
+    assert run("info") == (0, {"labels": list(W.LABELS), "word_max": W.WORD_MAX})
+    code, told = run("demo")
+    assert code == 0 and told["valid"] and told["n_text"] == told["total_words"] == 12
+    (tmp_path / "good.json").write_text("[72, 105, 528461]")
+    (tmp_path / "bad.json").write_text("[72, 1048576]")
+    (tmp_path / "none.json").write_text("[]")
+    code, told = run("validate", str(tmp_path / "good.json"))
+    assert code == 0 and told["valid"] and told["n_bpe"] == 1
+    code, told = run("validate", str(tmp_path / "bad.json"))
+    assert code == 1 and not told["valid"] and "out of range" in told["errors"][0]
+    assert run("validate", str(tmp_path / "none.json"))[0] == 1
+    with pytest.raises(SystemExit):
+        main(["nothing"])
+
+
 def test_readers_of_scenarios_telemetry_and_words(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "a.json").write_text(json.dumps([{"scenario": "b", "text": "x"}, {"scenario": "a", "profile": "heavy", "iterations": 3}]))
