@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
         words = spark.createDataFrame([(1, "Café in 日本")], "stream_id long, t string").select("stream_id", T.encode(F.col("t")).alias("words"))
         stream = S.from_arrays(words)
     else:
-        stream = files.read_words_json(spark, args.path)
+        stream = files.read_words_json(spark, args.path, valid=False)
     row = S.summary(stream).first()
     print(json.dumps(row.asDict() if row else {"valid": False, "errors": ["no words"]}, default=str))
     return 0 if row and row["valid"] else 1

@@ -64,11 +64,11 @@ def padded(pixels: DataFrame) -> DataFrame:
     return grid.join(pixels, ["image_id", "x", "y"], "left").na.fill(0, list(CHANNELS))
 
 
-def leaves(square: DataFrame, threshold: float = 5.0) -> DataFrame:
-    """(image_id, depth, level, path, r, g, b): leaves with their rounded means; level 0 is the root."""
+def leaves(square: DataFrame, threshold: float = 5.0, told: tuple[str, ...] = CHANNELS) -> DataFrame:
+    """(image_id, depth, level, path, r, g, b): leaves with their rounded means; level 0 is the root. ``told``: the columns of the means."""
     nodes = square.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth")))).withColumn("shift", F.col("depth") - F.col("level"))
     at = nodes.groupBy("image_id", "depth", "level", F.expr("shiftright(x, shift)").alias("nx"), F.expr("shiftright(y, shift)").alias("ny"))
-    sums = at.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in CHANNELS], *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in CHANNELS])
+    sums = at.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in CHANNELS], *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in CHANNELS], *[F.sum(c).alias(f"t_{k}") for k, c in zip(CHANNELS, told)])
     variance = sum((F.col(f"q_{c}") / F.col("n") - F.pow(F.col(f"s_{c}") / F.col("n"), 2) for c in CHANNELS), F.lit(0.0)) / 3
     digits = F.transform(F.sequence(F.lit(1), F.col("level")), lambda k: (F.call_function("shiftright", F.col("ny"), F.col("level") - k).bitwiseAND(1) * 2 + F.call_function("shiftright", F.col("nx"), F.col("level") - k).bitwiseAND(1)).cast("string"))
     path = F.when(F.col("level") == 0, "").otherwise(F.array_join(digits, ""))
@@ -78,23 +78,28 @@ def leaves(square: DataFrame, threshold: float = 5.0) -> DataFrame:
     way = passing.withColumn("above", F.explode(F.when(F.col("level") > 0, F.transform(F.sequence(F.lit(0), F.col("level") - 1), lambda k: F.substr("path", F.lit(1), k))).otherwise(F.expr("cast(array() as array<string>)"))))
     covered = way.join(above, ["image_id", "above"], "left_semi").select("image_id", "path").distinct()
     found = passing.join(covered, ["image_id", "path"], "left_anti")
-    return found.select("image_id", "depth", "level", "path", *[F.rint(F.col(f"s_{c}") / F.col("n")).cast("int").alias(c) for c in CHANNELS])
+    return found.select("image_id", "depth", "level", "path", *[F.rint(F.col(f"t_{c}") / F.col("n")).cast("int").alias(c) for c in CHANNELS])
 
 
-def leaf_words(found: DataFrame, bit_depth: int = 3) -> DataFrame:
-    """``found`` with the words of each leaf, in Morton order; the last of an image climbs back to the root."""
+def leaf_words(found: DataFrame, bit_depth: int = 3, level=None, command=_command, colour_words=None) -> DataFrame:
+    """``found`` with the words of each leaf, in Morton order; the last of an image climbs back to the root.
+
+    ``level``, ``command`` and ``colour_words`` are what another layout says with: a mean's level, a command's word, and a colour's words.
+    """
     order = Window.partitionBy("image_id").orderBy("path")
-    levels = F.struct(*[level_of(F.col(c), bit_depth).alias(c) for c in CHANNELS])
+    level = level or (lambda c: level_of(c, bit_depth))
+    colour_words = colour_words or (lambda levels: [command(SET_COLOUR), *[_datum(k, levels[c]) for k, c in enumerate(CHANNELS)]])
+    levels = F.struct(*[level(F.col(c)).alias(c) for c in CHANNELS])
     seen = found.withColumns({"levels": levels}).withColumns({"before": F.lag("path").over(order), "colour_before": F.lag("levels").over(order), "is_last": F.lead("path").over(order).isNull()})
     shorter = F.least(F.length("path"), F.length("before"))
     shared = F.coalesce(F.size(F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda k: (k <= shorter) & (F.substr("path", F.lit(1), k) == F.substr("before", F.lit(1), k)))), F.lit(0))
     seen = seen.withColumn("shared", F.when(F.col("before").isNull(), 0).otherwise(shared))
     none = F.expr("cast(array() as array<int>)")
-    back = F.array_repeat(_command(BACKTRACK), F.coalesce(F.length("before") - F.col("shared"), F.lit(0)))
-    down = F.transform(F.filter(F.split(F.substr(F.col("path"), F.col("shared") + 1), ""), lambda d: d != ""), lambda d: _command(d.cast("int")))
-    colour = F.when(F.col("levels").eqNullSafe(F.col("colour_before")), none).otherwise(F.array(_command(SET_COLOUR), *[_datum(k, F.col("levels")[c]) for k, c in enumerate(CHANNELS)]))
-    home = F.when(F.col("is_last"), F.array_repeat(_command(BACKTRACK), F.length("path"))).otherwise(none)
-    return seen.withColumn("words", F.concat(back, down, colour, F.array(_command(PAINT)), home))
+    back = F.array_repeat(command(BACKTRACK), F.coalesce(F.length("before") - F.col("shared"), F.lit(0)))
+    down = F.transform(F.filter(F.split(F.substr(F.col("path"), F.col("shared") + 1), ""), lambda d: d != ""), lambda d: command(d.cast("int")))
+    colour = F.when(F.col("levels").eqNullSafe(F.col("colour_before")), none).otherwise(F.array(*colour_words(F.col("levels"))))
+    home = F.when(F.col("is_last"), F.array_repeat(command(BACKTRACK), F.length("path"))).otherwise(none)
+    return seen.withColumn("words", F.concat(back, down, colour, F.array(command(PAINT)), home))
 
 
 def header_words(width: Column, height: Column, depth: Column, bit_depth: int, threshold: float) -> Column:

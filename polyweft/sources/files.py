@@ -8,6 +8,7 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import re
 import wave
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -35,10 +36,16 @@ def read_words_binary(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path).select("path", F.posexplode(W.from_transport_bytes(F.col("content"))).alias("pos", "word"))
 
 
-def read_words_json(spark: SparkSession, path: str) -> DataFrame:
-    """(stream_id, pos, word) of JSON arrays, a file each; stream_id is the path."""
+def read_words_json(spark: SparkSession, path: str, valid: bool = True) -> DataFrame:
+    """(stream_id, pos, word) of JSON arrays, a file each; stream_id is the path.
+
+    ``valid`` false keeps elements that are no words, for ``streams.validation``: integers as they are, all else as null.
+    """
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("stream_id"), F.col("value").alias("json"))
-    return S.from_json(whole).where("word is not null").select("stream_id", "pos", "word")
+    rows = S.from_json(whole)
+    if valid:
+        return rows.where("word is not null").select("stream_id", "pos", "word")
+    return rows.select("stream_id", "pos", F.coalesce("word", F.when((F.col("kind") == "BIGINT") & F.col("n").between(-(2**31), 2**31 - 1), F.col("n")).cast("int")).alias("word"))
 
 
 def write_words_json(streams: DataFrame, path: str) -> None:
