@@ -11,8 +11,9 @@ import json
 import re
 import wave
 import xml.etree.ElementTree as ET
+import zlib
 from collections.abc import Iterator
-from math import cos, pi, sin, sqrt
+from math import atan2, cos, pi, sin, sqrt, tan
 
 import numpy as np
 import pandas as pd
@@ -124,6 +125,10 @@ def _matrix(text: str | None) -> list[float]:
         elif name == "rotate":
             a = v[0] * pi / 180
             n = [cos(a), sin(a), -sin(a), cos(a), 0, 0]
+            if len(v) > 2:  # about a point
+                n[4:] = [v[1] - n[0] * v[1] - n[2] * v[2], v[2] - n[1] * v[1] - n[3] * v[2]]
+        elif name in ("skewX", "skewY") and v:
+            n = [1, 0, tan(v[0] * pi / 180), 1, 0, 0] if name == "skewX" else [1, tan(v[0] * pi / 180), 0, 1, 0, 0]
         else:
             continue
         m = [m[0] * n[0] + m[2] * n[1], m[1] * n[0] + m[3] * n[1], m[0] * n[2] + m[2] * n[3], m[1] * n[2] + m[3] * n[3], m[0] * n[4] + m[2] * n[5] + m[4], m[1] * n[4] + m[3] * n[5] + m[5]]
@@ -147,18 +152,56 @@ def _curve(points: list[tuple[float, float]], step: float) -> list[tuple[float,
     return out
 
 
+def arc(a: tuple[float, float], b: tuple[float, float], rx: float, ry: float, turn: float, large: bool, sweep: bool, step: float) -> list[tuple[float, float]]:
+    """Points of an elliptical arc from ``a`` to ``b``, at most ``step`` apart; ``turn`` in degrees.
+
+    The centre follows from both ends. Radii that are too short to reach are scaled up; one of no length makes a line.
+    """
+    rx, ry, phi = abs(rx), abs(ry), turn * pi / 180
+    if not rx or not ry or a == b:
+        return [a, b] if a != b else [a]
+    # half the chord in the ellipse's own axes, as a circle of radius 1 sees it
+    hx, hy = (a[0] - b[0]) / 2, (a[1] - b[1]) / 2
+    ux, uy = (cos(phi) * hx + sin(phi) * hy) / rx, (-sin(phi) * hx + cos(phi) * hy) / ry
+    reach = ux * ux + uy * uy
+    if reach > 1:
+        rx, ry, ux, uy, reach = rx * sqrt(reach), ry * sqrt(reach), ux / sqrt(reach), uy / sqrt(reach), 1.0
+    off = sqrt(max(0.0, 1 / reach - 1)) * (1 if large != sweep else -1)
+    cx, cy = off * uy, -off * ux  # the centre in that circle, seen from the chord's middle
+    begin, end = atan2(uy - cy, ux - cx), atan2(-uy - cy, -ux - cx)
+    turned = (end - begin) % (2 * pi)
+    if not sweep:
+        turned -= 2 * pi
+    n = max(1, int(np.ceil(abs(turned) * max(rx, ry) / step)))
+    place = lambda t: (rx * (cos(t) + cx), ry * (sin(t) + cy))
+    middle = ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2)
+    points = [place(begin + turned * i / n) for i in range(n + 1)]
+    points = [(cos(phi) * x - sin(phi) * y + middle[0], sin(phi) * x + cos(phi) * y + middle[1]) for x, y in points]
+    return [a, *points[1:-1], b]
+
+
+_NUMBER = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
+_ARC = re.compile(r"[\s,]*".join([f"({_NUMBER})"] * 3 + ["([01])"] * 2 + [f"({_NUMBER})"] * 2))  # flags may stand without a space
+
+
 def _path(d: str, step: float) -> list[list[tuple[float, float]]]:
     lines: list[list[tuple[float, float]]] = []
     at, begin = (0.0, 0.0), (0.0, 0.0)
-    need = {"M": 2, "L": 2, "H": 1, "V": 1, "C": 6, "Q": 4, "Z": 0}
-    for op, args in re.findall(r"([MmLlHhVvCcQqZz])([^A-Za-z]*)", d):
-        v, up, rel = _numbers(args), op.upper(), op.islower()
+    handle = {"C": None, "Q": None}  # the last control point, if the command before was a curve of its kind
+    need = {"M": 2, "L": 2, "H": 1, "V": 1, "C": 6, "S": 4, "Q": 4, "T": 2, "A": 7, "Z": 0}
+    for op, args in re.findall(r"([MmLlHhVvCcSsQqTtAaZz])((?:[eE](?=[-+0-9])|[^A-Za-z])*)", d):
+        up, rel = op.upper(), op.islower()
+        v = [float(x) for row in _ARC.findall(args) for x in row] if up == "A" else _numbers(args)
         k = need[up]
         for i in range(0, max(1, len(v)), k or 1):
             a = v[i : i + k]
             if len(a) < k:
                 break
-            pts = [(a[j] + at[0] * rel, a[j + 1] + at[1] * rel) for j in range(0, k - 1, 2)] if k > 1 else []
+            kind = {"C": "C", "S": "C", "Q": "Q", "T": "Q"}.get(up)
+            pts = [(a[j] + at[0] * rel, a[j + 1] + at[1] * rel) for j in range(0, k - 1, 2)] if k > 1 and up != "A" else []
+            if up in "ST":  # the control point that mirrors the last one
+                last = handle[kind] or at
+                pts.insert(0, (2 * at[0] - last[0], 2 * at[1] - last[1]))
             if up == "M" and i == 0:
                 begin = pts[0]
                 lines.append([begin])
@@ -168,8 +211,12 @@ def _path(d: str, step: float) -> list[list[tuple[float, float]]]:
                 pts = [(a[0] + at[0] * rel, at[1])]
             elif up == "V":
                 pts = [(at[0], a[0] + at[1] * rel)]
-            if not (up == "M" and i == 0):
+            elif up == "A":
+                pts = [(a[5] + at[0] * rel, a[6] + at[1] * rel)]
+                lines[-1] += arc(at, pts[0], *a[:3], bool(a[3]), bool(a[4]), step)[1:]
+            if up != "A" and not (up == "M" and i == 0):
                 lines[-1] += _curve([at, *pts], step)[1:]
+            handle = {c: pts[-2] if c == kind else None for c in handle}
             at = pts[-1]
     return lines
 
@@ -345,6 +392,83 @@ def alignment_segments(documents: DataFrame, key: str, column: str) -> DataFrame
     return out.where("start is not null and stop is not null and label not in ('', 'SIL', 'SP', 'PAU')").withColumn("stop", F.greatest(F.col("stop"), F.col("start") + 0.001))
 
 
+# --- images
+
+
+def _png_rows(data: bytes) -> np.ndarray:
+    """(height, width, channels) of a PNG of 8 bits a channel, without interlace."""
+    at, parts, palette, head = 8, [], None, None
+    while at + 8 <= len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            head = body
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            parts.append(body)
+        at += 12 + n
+    width, height = (int.from_bytes(head[k : k + 4], "big") for k in (0, 4))
+    depth, colour, interlace = head[8], head[9], head[12]
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    if depth != 8 or interlace:
+        raise ValueError("only 8 bits a channel without interlace")
+    raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(height, 1 + width * channels)
+    out = np.zeros((height + 1, width * channels + channels), np.int64)  # a row above and a pixel to the left, of zeros
+    for y in range(height):
+        rule, line, above = raw[y, 0], raw[y, 1:].astype(np.int64), out[y]
+        if rule == 2:
+            line = line + above[channels:]
+        elif rule:  # these look at the pixel to the left, one after another
+            own = np.zeros(width * channels + channels, np.int64)
+            for x in range(channels, len(own)):
+                left, up, corner = int(own[x - channels]), int(above[x]), int(above[x - channels])
+                guess = left + up - corner
+                near = min((abs(guess - left), 0, left), (abs(guess - up), 1, up), (abs(guess - corner), 2, corner))[2]
+                own[x] = (int(line[x - channels]) + {1: left, 3: (left + up) // 2, 4: near}[int(rule)]) & 255
+            line = own[channels:]
+        out[y + 1, channels:] = line & 255
+    image = out[1:, channels:].reshape(height, width, channels)
+    return palette[image[..., 0]].astype(np.int64) if colour == 3 else image
+
+
+def _netpbm(data: bytes) -> np.ndarray:
+    """(height, width, channels) of a portable grey or colour map, plain or raw, of a byte a channel."""
+    head = re.match(rb"P([2356])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s", data)
+    kind, width, height, most = (int(g) for g in head.groups())
+    if not 0 < most < 256:
+        raise ValueError("only a byte a channel")
+    channels = 3 if kind in (3, 6) else 1
+    n, rest = width * height * channels, data[head.end() :]
+    values = np.array(rest.split()[:n], np.int64) if kind < 4 else np.frombuffer(rest[:n], np.uint8).astype(np.int64)
+    return (values.reshape(height, width, channels) * 255 + most // 2) // most
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, x, y, v, error) of image files, PNG or portable maps: grey values by luma; a file that is none, or of another kind, is one row with its error, and one of no bytes no row.
+
+    Files are read by Spark and decoded where they lie, one image at a time; see ``operators.rasters`` for sizes and thresholds.
+    """
+
+    def run(contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data in contents:
+            try:
+                image = _png_rows(data) if data[:8] == b"\x89PNG\r\n\x1a\n" else _netpbm(data)
+                if image.shape[2] > 2:
+                    grey = (image[..., 0] * 19595 + image[..., 1] * 38470 + image[..., 2] * 7471 + 0x8000) >> 16
+                else:
+                    grey = image[..., 0]
+                rows.append((image.shape[1], grey.ravel().tolist(), None))
+            except Exception as e:  # whatever a broken file makes of a decoder
+                rows.append((None, None, f"no image that can be read: {type(e).__name__}"))
+        return pd.DataFrame(rows, columns=["width", "values", "error"]).astype({"width": "Int32"})
+
+    made = _binary(spark, path).select("path", F.pandas_udf(run, "width int, values array<int>, error string")("content").alias("i"))
+    at = made.select("path", "i.error", "i.width", F.posexplode_outer("i.values").alias("k", "v"))
+    return at.select("path", F.expr("cast(k % width as int)").alias("x"), F.expr("cast(k div width as int)").alias("y"), "v", "error")
+
+
 # --- emoji primitives and maps
 
 PRIMITIVE = T.StructType([T.StructField("name", T.StringType()), T.StructField("description", T.StringType()), T.StructField("style_bits", T.IntegerType()), T.StructField("strokes", T.ArrayType(T.ArrayType(T.IntegerType())))])
