@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyweft.storage import written
 
-__all__ = ["documents", "free_name", "looked_up", "remainder", "text_of", "word_count", "written"]
+__all__ = ["documents", "free_name", "kept_in_worker", "looked_up", "remainder", "text_of", "word_count", "written"]
 
 #: The white space that ends a word; every other code point belongs to one.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -51,6 +55,19 @@ def remainder(doc_id: Column, n: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def kept_in_worker(kind: Callable, *args):
+    """``kind(*args)``, made once in a Python worker and met again by its next tasks.
+
+    Functions travel by value, so a module's own globals are new in each task; a module of this name is not.
+    What is kept must bound its size itself, as workers live as long as their executor.
+    """
+    kept = sys.modules.setdefault("_kept_by_polyweft", types.ModuleType("_kept_by_polyweft")).__dict__
+    key = f"{kind.__qualname__}{args}"
+    if key not in kept:
+        kept[key] = kind(*args)
+    return kept[key]
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that ``df`` has not."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ import pyspark
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyweft.llm.common import written
+from polyweft.llm.common import kept_in_worker, written
 from polyweft.llm.wordids import WordIds
 
 SIZE = 2048
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, size: i
     """doc_id, piece, start, length, ids_crc32, task, rank: the last is the piece's number among those of its length in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(vocabulary)
+        ids_of = kept_in_worker(WordIds, vocabulary)
         task = pyspark.TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
