@@ -94,6 +94,11 @@ def decode(words: Column) -> Column:
 
 def decoded_with(words: Column, other) -> Column:
     """``decode`` where ``other``, a function of a word, gives the text of words of another kind, and null for the rest."""
+    return nfc(as_written(words, other))
+
+
+def as_written(words: Column, other=None) -> Column:
+    """The text of words before it is composed, by built-in expressions alone."""
     own = lambda w: F.hex(F.encode(F.chr(W.payload(w)), "UTF-8"))
     low = lambda w: W.payload(w, 8)
     pair = lambda w: F.concat(F.lpad(F.hex(F.shiftright(W.payload(w), 8).cast("long")), 2, "0"), F.when(low(w) != 0, F.lpad(F.hex(low(w).cast("long")), 2, "0")).otherwise(""))
@@ -103,7 +108,7 @@ def decoded_with(words: Column, other) -> Column:
     told = plain if other is None else lambda w: F.coalesce(F.hex(F.encode(other(w), "UTF-8")), plain(w))
     known = decodable if other is None else lambda w: decodable(w) | other(w).isNotNull()
     content = F.when(F.forall(words, known), F.unhex(F.array_join(F.transform(words, told), "")))
-    return nfc(F.try_validate_utf8(content.cast("string")))
+    return F.try_validate_utf8(content.cast("string"))
 
 
 def split_text(text: Column, size: int = 64) -> Column:

@@ -170,6 +170,9 @@ def painted(words: Column) -> Column:
     def run(column: pd.Series) -> pd.DataFrame:
         rows = []
         for w in column:
+            if w is None:  # another modality's block
+                rows.append((None, None, None))
+                continue
             try:
                 im = _painted([int(x) for x in w])
                 rows.append((im.shape[1], im.shape[0], im.ravel().tolist()))

@@ -64,15 +64,43 @@ def decoded(stream: DataFrame) -> DataFrame:
 
     word_count is the raw number of words, invalid ones too. Text that cannot be decoded is decoded again without its
     malformed words, and the stream is not valid then. A stream of no words gives no row.
+
+    Words are dealt by stream once; dispatch, the parts of a stream and the stream itself all stand on that one order. A
+    part is a block of one modality, or the text up to the next token.
     """
-    classified = S.dispatched(stream)
-    blocks = S.blocks(classified)
-    value = lambda m, read: F.when(F.col("modality") == m, read(F.col("words")))
-    read = blocks.select("stream_id", "modality", "block", *[value(m, r).alias(m) for m, r in READERS.items()])
-    gathered = lambda m: F.array_sort(F.collect_list(F.when((F.col("modality") == m) & (F.col(m).isNotNull() if m == "image" else F.lit(True)), F.struct("block", F.col(m).alias("value"))))).alias(f"{m}_blocks")
-    by_stream = read.groupBy("stream_id").agg(*[gathered(m) for m in READERS])
-    told = stream.groupBy("stream_id").agg(F.count(F.lit(1)).alias("word_count")).join(S.counts(classified).drop("total_words"), "stream_id").join(S.validation(stream), "stream_id")
-    text = S.texts_safe(classified)
-    out = told.join(text, "stream_id", "left").join(by_stream, "stream_id", "left")
-    arrays = {f"{m}_blocks": F.coalesce(f"{m}_blocks", F.from_json(F.lit("[]"), by_stream.schema[f"{m}_blocks"].dataType.json())) for m in READERS}
-    return out.withColumns({"text": F.coalesce("text", F.lit("")), "tokens": F.coalesce("tokens", F.expr(C.NONE)), **arrays}).drop("dropped")
+    c = F.col
+    told = F.coalesce("modality", F.lit(""))
+    order, upto = S._stream(), S._upto()
+    spoken = c("modality").isin("text", "bpe") & c("modality").isNotNull()
+    change = F.coalesce((told != F.lag(told).over(order)).cast("int"), F.lit(1))
+    rows = S.dispatched(stream.select("stream_id", "pos", "word")).withColumn("spoken", F.coalesce(spoken, F.lit(False)))
+    rows = rows.withColumns({"island": F.sum(change).over(upto), "cut": F.sum((c("spoken") & (c("modality") == "bpe")).cast("int")).over(upto)})
+    message = F.when(c("word").isNull(), F.concat(F.lit("index "), c("pos"), F.lit(": non-int word"))).when(~W.in_range("word"), F.concat(F.lit("index "), c("pos"), F.lit(": word out of range "), c("word")))
+    in_order = lambda what: F.transform(F.array_sort(F.collect_list(what)), lambda p: p["word"])
+    parts = rows.groupBy("stream_id", "spoken", F.when(c("spoken"), c("cut")).otherwise(c("island")).alias("part")).agg(
+        F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"), F.max(F.when(~c("spoken"), told)).alias("modality"), in_order(F.when(told != "bpe", F.struct("pos", "word"))).alias("words"), F.max(F.when(c("modality") == "bpe", W.payload("word", 12))).alias("token"),
+        F.count_if(told == "text").alias("n_text"), F.collect_list(F.when(message.isNotNull(), F.struct("pos", message.alias("m")))).alias("errors"),
+    )
+    # a part's text and, where that fails, its text without malformed words; one of the two is composed
+    parts = parts.withColumn("strict", T.as_written(F.when(c("spoken"), c("words"))))
+    parts = parts.withColumn("fails", c("spoken") & c("strict").isNull())
+    parts = parts.withColumn("text", T.nfc(F.coalesce("strict", T.as_written(F.when(c("fails"), F.filter("words", T.decodable))))))
+    value = lambda m, read: F.when(c("modality") == m, read(F.when(c("modality") == m, c("words")))).alias(m)
+    read = parts.select("stream_id", "spoken", "part", "start", "n", "modality", "token", "n_text", "errors", "text", "fails", *[value(m, r) for m, r in READERS.items()])
+    of = lambda m: c("modality") == m
+    n_of = {"text": F.sum("n_text"), "bpe": F.count("token")}
+    counts = [n_of.get(m, F.sum(F.when(of(m), c("n")).otherwise(0))).alias(f"n_{m}") for m in W.LABELS]
+    gathered = [F.array_sort(F.collect_list(F.when(of(m), F.struct("start", c(m).alias("value"))))).alias(m) for m in READERS]
+    by_stream = read.groupBy("stream_id").agg(
+        F.sum("n").alias("word_count"), *counts, F.array_sort(F.flatten(F.collect_list("errors"))).alias("found"), F.array_sort(F.collect_list(F.when(c("spoken"), F.struct("part", "text", "fails", "token")))).alias("said"), *gathered,
+    )
+    failed = F.exists("said", lambda p: p["fails"])
+    # a part that cannot be read even without its malformed words leaves the stream without text
+    text = F.when(F.exists("said", lambda p: p["text"].isNull()), "").otherwise(F.array_join(F.transform("said", lambda p: p["text"]), ""))
+    errors = F.concat(F.transform("found", lambda e: e["m"]), F.when(failed, F.array(F.lit("text: malformed words"))).otherwise(F.expr("cast(array() as array<string>)")))
+    numbered = lambda m: F.transform(m, lambda b, i: F.struct(i.cast("long").alias("block"), b["value"].alias("value")))
+    blocks = [(F.filter(numbered(m), lambda b: b["value"].isNotNull()) if m == "image" else numbered(m)).alias(f"{m}_blocks") for m in READERS]
+    out = by_stream.withColumn("errors", errors)
+    return out.select(
+        "stream_id", "word_count", *[f"n_{m}" for m in W.LABELS], (F.size("errors") == 0).alias("valid"), "errors", text.alias("text"), F.filter(F.transform("said", lambda p: p["token"]), lambda t: t.isNotNull()).alias("tokens"), *blocks,
+    )
