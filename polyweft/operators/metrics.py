@@ -144,6 +144,25 @@ def grid_notes(notes: DataFrame, step: float) -> DataFrame:
     return notes.select("doc_id", tick("onset").alias("start_tick"), F.greatest(tick("duration"), F.lit(1)).alias("duration_ticks"), "pitch", (F.col("pitch") - origin).alias("row"))
 
 
+def grid_strokes(grid: DataFrame, origin: str = "origin", anchors: bool = False) -> DataFrame:
+    """(doc_id, n, x, y, directions, anchor, pitch) of grid notes (doc_id, start_tick, duration_ticks, pitch, origin): a move and a step right for each tick.
+
+    Strokes of a document are numbered by start and pitch, rests, which have no pitch and lie at 0, first. ``anchors``: a
+    start of at most 127 is told as an anchor too.
+    """
+    order = Window.partitionBy("doc_id").orderBy("start_tick", F.coalesce("pitch", F.lit(-1)))
+    y = F.coalesce(F.col("pitch") - F.col(origin), F.lit(0))
+    anchor = F.when(F.col("start_tick").between(0, 127), F.col("start_tick")) if anchors else F.lit(None).cast("int")
+    right = F.array_repeat(F.lit(0), F.greatest(F.lit(1), F.col("duration_ticks").cast("int")))
+    return grid.select("doc_id", (F.row_number().over(order) - 1).alias("n"), F.col("start_tick").alias("x"), y.cast("int").alias("y"), right.alias("directions"), anchor.cast("int").alias("anchor"), "pitch")
+
+
+def strokes_grid(strokes: DataFrame, origin: int = 0) -> DataFrame:
+    """(doc_id, n, start_tick, duration_ticks, pitch) of strokes (doc_id, n, x, y, directions, rest): a note lasts as many ticks as its steps go right, one at least."""
+    ticks = F.size(F.filter("directions", lambda d: d.isin(0, 1, 7)))
+    return strokes.where("x is not null").select("doc_id", "n", F.col("x").alias("start_tick"), F.greatest(F.lit(1), ticks).alias("duration_ticks"), F.when(~F.col("rest"), F.col("y") + origin).alias("pitch"))
+
+
 def path_points(steps: DataFrame, key: str, order: str, x: str, y: str, dx: str, dy: str) -> DataFrame:
     """Positions of a pen: each move (x, y known) starts anew, each step adds."""
     w = Window.partitionBy(key).orderBy(order)
