@@ -24,7 +24,7 @@ _MARK = re.compile(rb"[\xcc\xcd]")
 class WordIds(dict):
     """Words, as UTF-8 bytes, to their ids as little-endian unsigned 32-bit integers."""
 
-    MOST, TOGETHER = 800_000, 64
+    MOST, TOGETHER = 500_000, 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
