@@ -29,17 +29,39 @@ class Builder:
         return self.words(F.transform(tokens, W.bpe_word))
 
     def drawing(self, points: Column, style: Column | None = None) -> Builder:
-        return self.words(C.diagram_words(points, style))
+        return self.words(F.when(points.isNotNull(), C.diagram_words(points, style)))
 
     def taste(self, events: Column) -> Builder:
         return self.words(F.flatten(F.transform(events, C.taste_words)))
 
     def smell(self, category: Column, pleasantness: Column, intensity: Column, directions: Column) -> Builder:
-        return self.words(C.smell_words(category, pleasantness, intensity, directions))
+        return self.words(F.when(directions.isNotNull(), C.smell_words(category, pleasantness, intensity, directions)))
 
     def touch(self, receptor: Column, region: Column, directions: Column, pressures: Column) -> Builder:
         return self.words(C.touch_words(receptor, region, directions, pressures))
 
+    def image(self, words: Column, family: str | None = None) -> Builder:
+        """Words of an image, as ``images.encoded`` or ``families.legacy_encoded`` make them and a join brings them; a word of no image raises."""
+        fits = lambda w: (W.mode(w) == W.EXTENSION) & (W.is_image_payload(w) if family is None else W.is_image_family(w, {"enhanced": W.IMAGE_ENHANCED, "legacy": W.IMAGE_LEGACY}[family]))
+        return self.words(F.when(F.forall(words, fits), words).when(words.isNotNull(), F.raise_error(F.lit("a word of no image")).cast("array<int>")))
+
+    def music(self, strokes: Column, numerator: Column | None = None, denominator: Column | None = None, key: Column | None = None, tempo: Column | None = None) -> Builder:
+        """Strokes (x, y, directions, anchor) under the words of what is known of metre, key and tempo; a null anchor tells none."""
+        known = [F.lit(None).cast("int") if v is None else v for v in (numerator, denominator, key, tempo)]
+        stroke = lambda s: C.sound_stroke(W.MUSIC, s["x"], s["y"], s["directions"], anchor=s["anchor"])
+        return self.words(F.when(strokes.isNotNull(), F.concat(C.music_meta(*known), F.flatten(F.transform(strokes, stroke)))))
+
+    def voice(self, strokes: Column, step_seconds: Column, levels: Column) -> Builder:
+        """Strokes (x, y, directions, anchor) under the words of the language, the step and the pitch levels."""
+        stroke = lambda s: C.sound_stroke(W.VOICE, s["x"], s["y"], s["directions"], anchor=s["anchor"])
+        return self.words(F.when(strokes.isNotNull(), F.concat(C.voice_meta(step_seconds, levels), F.flatten(F.transform(strokes, stroke)))))
+
+    def mental(self, strokes: Column, modulus: int = 8, rle: bool = True) -> Builder:
+        """Strokes (form, symmetry, frequency, speed, x, y, directions, frame, delta) of one set of directions."""
+        names = ("form", "symmetry", "frequency", "speed")
+        stroke = lambda s: C.mental_words(*[s[n] for n in names], F.lit(modulus), s["x"], s["y"], s["directions"], s["frame"], s["delta"], rle)
+        return self.words(F.flatten(F.transform(strokes, stroke)))
+
     def build(self) -> Column:
         """The whole stream; a word out of range raises."""
         whole = F.concat(*self._parts) if self._parts else F.expr(C.NONE)

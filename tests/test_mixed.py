@@ -12,6 +12,7 @@ from polyweft.operators import images as I
 from polyweft.operators import metrics as M
 from polyweft.operators import mixed, streams
 from polyweft.sources import files
+from polyweft.storage import written
 
 
 def test_images_of_a_stream_paint_or_vanish(spark):
@@ -41,6 +42,36 @@ def test_builder(spark):
         df.select(mixed.Builder().words(F.array(F.lit(1 << 20))).build()).collect()
 
 
+def test_a_stream_of_all_modalities(spark):
+    """Built in one expression, stored, and read back block by block."""
+    pixels = spark.createDataFrame([(1, x, y, 255 * (x % 2), 40 * y, 7) for x in range(4) for y in range(4)], "image_id long, x int, y int, r int, g int, b int")
+    sound, steps = "array<struct<x:int,y:int,directions:array<int>,anchor:int>>", "array<struct<form:int,symmetry:int,frequency:int,speed:int,x:int,y:int,directions:array<int>,frame:int,delta:int>>"
+    tunes, lines = [(4, 60, [0, 0], None), (130, 62, [0], 100)], [(4, 1, [0, 0, 1], 4)]
+    forms = [(2, 1, 3, 1, 10, 200, [0, 0, 0, 7, 1], 9, 12)]
+    event = [(1, 2, 3, 4, [9, 8], [7])]
+    df = spark.createDataFrame([(1, "Café 🙂", [100, 300], [(2.0, 2.0), (9.0, 2.0), (9.0, 5.0)], tunes, lines, forms, event), (2, None, None, None, None, None, None, None)],
+        f"id long, t string, k array<int>, line array<struct<x:double,y:double>>, tunes {sound}, lines {sound}, forms {steps}, events array<struct<dominant:int,secondary:int,intensity:int,direction:int,temporal:array<int>,flavor:array<int>>>")
+    df = df.join(I.encoded(pixels, 0.0).withColumnRenamed("image_id", "id"), "id", "left")
+    c = F.col
+    b = mixed.Builder().text(c("t")).drawing(c("line")).music(c("tunes"), F.lit(4), F.lit(4), F.lit(0), F.lit(120.0)).voice(c("lines"), F.lit(0.05), F.lit(8)).image(c("words")).tokens(c("k")).mental(c("forms"))
+    has = c("t").isNotNull()
+    ints = lambda *xs: F.when(has, F.array(*[F.lit(x) for x in xs]))
+    b = b.touch(F.when(has, 1), F.when(has, 3), ints(0, 1), ints(2, 3)).smell(F.when(has, 2), F.when(has, 5), F.when(has, 4), ints(1, 0, 6)).taste(c("events"))
+    made = written(df.select(c("id").alias("stream_id"), b.build().alias("words")), "all-modalities")
+    assert {r.stream_id: len(r.words) for r in made.collect()}[2] == 0
+    r = mixed.decoded(streams.from_arrays(made)).first()
+    assert (r.stream_id, r.text, r.tokens, r.valid) == (1, "Café 🙂", [100, 300], True)
+    assert all(r[f"n_{m}"] > 0 for m in W.LABELS) and all(len(r[f"{m}_blocks"]) == 1 for m in mixed.READERS)
+    assert [(s.x, s.y, s.steps) for s in r.music_blocks[0].value] == [(4, 60, 2), (130, 62, 1)]
+    assert [(s.x, s.y, s.steps) for s in r.voice_blocks[0].value] == [(4, 1, 3)]
+    (m,) = r.mental_blocks[0].value
+    assert (m.form, m.symmetry, m.frequency, m.speed, m.x, m.y, m.directions, m.frame, m.delta) == forms[0]
+    assert (r.image_blocks[0].value.width, r.image_blocks[0].value.height) == (4, 4)
+    assert r.touch_blocks[0].value[0].pressures == [2, 3] and r.smell_blocks[0].value[0].directions == [1, 0, 6] and r.taste_blocks[0].value[0].temporal == [9, 8]
+    with pytest.raises(Exception, match="no image"):
+        df.where("id = 1").select(mixed.Builder().image(F.array(F.lit(65))).build()).collect()
+
+
 def test_batches_and_series(spark):
     df = spark.createDataFrame([("abc",), ("",)], "text string")
     got = [(r.input_ids, r.attention_mask) for r in WordBatches(max_length=2, pad_to=3, pad=9).transform(df).collect()]
