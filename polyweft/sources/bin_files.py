@@ -5,7 +5,8 @@
 
 Tasks write under names of their own in a folder of the write; the files of the attempts that Spark commits are then
 moved to ``<stream_id>.bin``, so that a task that fails or is run twice leaves nothing that readers see. Readers of
-``*.bin`` do not look into that folder, and it goes when the write ends, well or not.
+``*.bin`` do not look into that folder. It goes when the write ends, well or not; a task that still runs when a write is
+given up may make it again, of no use to anyone.
 
 Rows have stream_id and words. Words that are none are left out, a null of words is an empty stream. Ids are written as
 text, with signs that file names must not have as percent codes; a null id, and an id that has two rows, fail the write.
