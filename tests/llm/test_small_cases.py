@@ -314,7 +314,7 @@ def test_quality(spark, docs, none):
     assert quality.scored(none, labels).count() == 0
     assert quality.accepted(df, labels).count() == 60
     # rows without an id, and rows that share one, are judged by their own texts
-    odd = df.unionByName(df.select(F.lit(None).cast("long").alias("doc_id"), "text")).unionByName(df.select(F.lit(7).cast("long").alias("doc_id"), "text")).withColumns({"x": F.lit(1), "quality_measure": F.lit("own")})
+    odd = df.unionByName(df.select(F.lit(None).cast("long").alias("doc_id"), "text")).unionByName(df.select(F.lit(9999).cast("long").alias("doc_id"), "text")).withColumns({"x": F.lit(1), "quality_measure": F.lit("own")})
     kept = quality.accepted(odd, labels)
     assert kept.columns == odd.columns and Counter(r.doc_id is None for r in kept.collect()) == {False: 120, True: 60}
     assert {r.quality_measure for r in kept.collect()} == {"own"} and all(r.text.startswith("The plain") for r in kept.collect())
