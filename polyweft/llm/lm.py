@@ -10,8 +10,8 @@ counted from the table of their counts, which covers the whole corpus and grows
 Texts are scored in windows of ``KEYS`` ids of which the last ``SCORED`` are predicted; a window begins where
 the one before predicted first, so that each token is predicted once and sees at least ``KEYS - SCORED`` before it.
 
-Gradients come first from a bounded start sample on the driver, then from a fixed share of all training
-documents: each task goes on from the same start and the parameters are averaged, weighted by windows.
+Gradients come from all training documents: each task goes on from the same start over its own texts, and the
+parameters are averaged, weighted by windows. Some texts on the driver only set where all of them start.
 """
 
 from __future__ import annotations
@@ -229,64 +229,80 @@ def log_probs(p: Params, fixed: dict[str, np.ndarray], x: np.ndarray, y: np.ndar
     return out.reshape(y.shape)
 
 
-def _scatter(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of rows by index."""
-    out = np.zeros((n, values.shape[1]), np.float32)
-    order = np.argsort(at, kind="stable")
+def _grouping(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that puts equal classes side by side, where each begins in it, and which they are."""
+    order = np.argsort(at.astype(np.int16), kind="stable")
     s = at[order]
     edge = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    out[s[edge]] = np.add.reduceat(values[order], edge, axis=0)
+    return order, edge, s[edge]
+
+
+def _scatter(n: int, grouping: tuple[np.ndarray, np.ndarray, np.ndarray], values: np.ndarray) -> np.ndarray:
+    """Sums of rows by class."""
+    order, edge, which = grouping
+    out = np.zeros((n, values.shape[1]), np.float32)
+    out[which] = np.add.reduceat(values.take(order, 0), edge, axis=0)
     return out
 
 
+def _shares(z: np.ndarray, at: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+    """Summed negative log share of the entries ``at``, and the gradient by the logits of the mean over ``n``."""
+    np.exp(np.minimum(z, 60, out=z), out=z)
+    z /= (z @ _ONE_EACH[: z.shape[1]] + np.float32(1e-30))[:, None]
+    rows = np.arange(len(z))
+    loss = -float(np.log(z[rows, at] + np.float32(1e-30)).sum(dtype=np.float64))
+    z[rows, at] -= 1
+    z *= np.float32(1 / n)
+    return loss, z
+
+
 def gradients(p: Params, fixed: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, Params]:
     """Mean negative log probability per target and its gradient."""
-    use = np.flatnonzero(y.ravel() >= 0)
+    to = y.ravel()
+    use = np.flatnonzero(to >= 0)
     n = max(1, len(use))
     heads = [_attend(p, h, x, keep=True) for h in range(HEADS)]
     o, u_all = _hidden(p, x, heads)
-    u = u_all[use]
     lasts = x[:, KEYS - SCORED :].ravel().astype(np.int64)
-    last = lasts[use]
-    place = fixed["place"][y.ravel()[use]]
+    # the rows of a cluster side by side
+    order = use[np.argsort(fixed["place"][to[use]].astype(np.int16), kind="stable")]
+    place, last, u = fixed["place"][to[order]], lasts[order], u_all.take(order, 0)
     c, i = place // WITHIN, place % WITHIN
-    rows = np.arange(len(use))
-    z = u @ p["cluster"] + p["up"][last]
-    e = np.exp(z - z.max(1, keepdims=True))
-    e /= e.sum(1, keepdims=True)
-    loss = -np.log(e[rows, c] + 1e-30).sum()
-    e[rows, c] -= 1
-    e /= n
-    g: Params = {"cluster": u.T @ e, "up": _scatter(SIZE, last, e), "inside": np.zeros_like(p["inside"])}
+    ends = np.searchsorted(c, np.arange(CLUSTERS + 1))
+    loss, e = _shares(u @ p["cluster"] + p["up"].take(last, 0), c, n)
+    g: Params = {"cluster": u.T @ e, "up": _scatter(SIZE, _grouping(last), e), "inside": np.zeros_like(p["inside"])}
     du = e @ p["cluster"].T
-    for k in range(CLUSTERS):
-        r = np.flatnonzero(c == k)
-        if len(r):
-            w = u[r] @ p["inside"][k] + fixed["inside"][last[r] * CLUSTERS + k]
-            w = np.exp(w - w.max(1, keepdims=True))
-            w /= w.sum(1, keepdims=True)
-            loss -= np.log(w[np.arange(len(r)), i[r]] + 1e-30).sum()
-            w[np.arange(len(r)), i[r]] -= 1
-            w /= n
-            g["inside"][k] = u[r].T @ w
-            du[r] += w @ p["inside"][k].T
+    w = fixed["inside"].take(last * CLUSTERS + c, 0)
+    parts = [(k, slice(ends[k], ends[k + 1])) for k in range(CLUSTERS) if ends[k] < ends[k + 1]]
+    for k, r in parts:
+        w[r] += u[r] @ p["inside"][k]
+    more, w = _shares(w, i, n)
+    for k, r in parts:
+        np.matmul(u[r].T, w[r], out=g["inside"][k])
+        du[r] += w[r] @ p["inside"][k].T
     full = np.zeros_like(u_all)
-    full[use] = du
+    full[order] = du
     full[u_all <= 0] = 0
-    g["own"] = _scatter(SIZE, lasts, full)
     g["mix"] = o.T @ full
     do = (full @ p["mix"].T).reshape(len(x), SCORED, HEADS, WIDTH)
     g["bias"] = np.zeros_like(p["bias"])
-    flat = x.ravel().astype(np.int64)
+    by_key, by_last = [], [full]
     for h, (q, k, v, w, _) in enumerate(heads):
         d = np.ascontiguousarray(do[:, :, h])
-        g[f"v{h}"] = _scatter(SIZE, flat, (w.transpose(0, 2, 1) @ d).reshape(-1, WIDTH))
-        dw = d @ v.transpose(0, 2, 1)
-        ds = w * (dw - (dw * w).sum(-1, keepdims=True))
-        g[f"q{h}"] = _scatter(SIZE, lasts, (ds @ k).reshape(-1, WIDTH))
-        g[f"k{h}"] = _scatter(SIZE, flat, (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH))
+        by_key.append((w.transpose(0, 2, 1) @ d).reshape(-1, WIDTH))
+        ds = d @ v.transpose(0, 2, 1)
+        ds -= ((ds * w).reshape(-1, KEYS) @ _ONES).reshape(len(x), SCORED, 1)
+        ds *= w
+        by_last.append((ds @ k).reshape(-1, WIDTH))
+        by_key.append((ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH))
         g["bias"][h] = np.bincount(_AWAY.ravel(), ds.sum(0).ravel() * ~_HIDDEN_KEYS.ravel(), KEYS)
-    return float(loss) / n, g
+    keys = _scatter(SIZE, _grouping(x.ravel().astype(np.int64)), np.concatenate(by_key, 1))
+    asked = _scatter(SIZE, _grouping(lasts), np.concatenate(by_last, 1))
+    g["own"] = asked[:, :HIDDEN]
+    for h in range(HEADS):
+        g[f"v{h}"], g[f"k{h}"] = keys[:, 2 * h * WIDTH :][:, :WIDTH], keys[:, (2 * h + 1) * WIDTH :][:, :WIDTH]
+        g[f"q{h}"] = asked[:, HIDDEN + h * WIDTH :][:, :WIDTH]
+    return (loss + more) / n, g
 
 
 def train(p: Params, fixed: dict[str, np.ndarray], texts: list[np.ndarray], steps: int, rate: float, batch: int = 256, seed: int = 5) -> tuple[Params, float]:

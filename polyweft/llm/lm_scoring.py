@@ -3,8 +3,8 @@
 1. Words of all texts are counted per task and summed by word, those of training texts apart: (word, n, seen),
    written. Its size follows the corpus. Numbers of words and distinct words come from it.
 2. The model: ids of words weighted by their counts give the vocabulary and the transitions (two sums of fixed
-   size); gradients start from ``START_DOCS`` training texts on the driver and go on where the texts are, over
-   one of ``SHARE`` training texts whatever the corpus holds; parameters are averaged by weight.
+   size); gradients go over all training texts, where the texts are, and the parameters of the tasks are averaged
+   by weight. ``START_DOCS`` training texts on the driver give the parameters that all tasks begin with.
 3. One pass scores every text. The counts of at most ``HOT`` words, those that all texts, held-out ones too, hold
    more often than a number found from a histogram, are sent to the tasks; words beyond them stay with their
    document, are exploded, joined with the counts by word and summed by document. A frequent word is therefore
@@ -30,7 +30,8 @@ HOT = 131_072
 START_DOCS, STEPS, RATE = 600, 500, 0.02
 #: Times that the start may see a window, lest a small corpus be learnt by heart.
 PASSES, START_WINDOWS = 5, 256
-SHARE, SHARE_STEP_WINDOWS, SHARE_RATE = 64, 128, 0.003
+#: One of so many training texts gives gradients: all of them.
+SHARE, SHARE_STEP_WINDOWS, SHARE_RATE = 1, 128, 0.003
 #: White space is no word, so this cannot be one: the end of a text.
 END = b"\n"
 #: Distinct words that a task counts before it passes them on.
@@ -152,7 +153,7 @@ class _Classes(dict):
 
 
 def learnt(texts: DataFrame, counts: DataFrame, ranks: str, pattern: str) -> dict:
-    """The model: classes, shares, fixed terms and parameters."""
+    """The model: classes, shares, fixed terms and parameters. Every text gives gradients; ``windows`` is the number of windows that did."""
     spark = texts.sparkSession
     pairs = written(pair_counts(counts, ranks, pattern), "pairs")
     cls, share = lm.vocabulary(_id_sums(pairs, lm.Subwords(ranks, pattern).n_ids))
@@ -184,14 +185,15 @@ def learnt(texts: DataFrame, counts: DataFrame, ranks: str, pattern: str) -> dic
             v = (lm.flat(now).astype(np.float64) - lm.flat(params)) * weight
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v) + 1)), pa.array(np.append(v, weight))], names=["at", "v"])
 
-    share_of = texts.where(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(SHARE)) == 0).select("t")
-    moved = share_of.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # a row per parameter
+    moved = texts.select("t").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # a row per parameter
+    windows = 0
     if len(moved):
         v = np.zeros(int(moved["at"].max()) + 1)
         v[moved["at"].to_numpy()] = moved["v"].to_numpy()
+        windows = int(v[-1])
         params = lm.unflat(lm.flat(params) + v[:-1] / v[-1], params)
     sent.unpersist()
-    return {"cls": cls, "share": share, "fixed": fixed, "params": params}
+    return {"cls": cls, "share": share, "fixed": fixed, "params": params, "windows": windows}
 
 
 def _hot(counts: DataFrame) -> dict[bytes, int]:

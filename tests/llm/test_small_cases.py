@@ -436,6 +436,39 @@ def test_language_model_scoring(spark, docs, none, monkeypatch):
     assert lm_scoring.scored(none, learn, *args).count() == 0
 
 
+def test_language_model_learns_from_every_training_text(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lm_scoring, "START_DOCS", 0)
+    args = (tokenizer_path("byte_bpe_50k.tiktoken"), pretoken_pattern())
+    texts = [" ".join([w] * (20 + k)) for k, w in enumerate("river stone cloud paper green seven north music table house glass horse".split())]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = lm_scoring._texts(df, F.lit(True), "doc_id", "text")
+    model = lm_scoring.learnt(rows, lm_scoring.word_counts(rows), *args)
+    assert lm_scoring.SHARE == 1
+    words = lm.Subwords(*args)
+    classes = [model["cls"][[i for w in t.split() for i in words.ids(w.encode())]] for t in texts]
+    moved = (model["params"]["own"] != lm.start(np.full((lm.SIZE, lm.SIZE), 1.0 / lm.SIZE))[0]["own"]).any(1)
+    assert all(moved[c].all() for c in classes)
+    assert model["windows"] == sum(-(-(len(c) + 1) // lm.SCORED) for c in classes)
+
+
+def test_language_model_gradients():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    table = rng.random((lm.SIZE, lm.SIZE)) + 0.1
+    p, fixed = lm.start(table / table.sum(1, keepdims=True))
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    x, y, _ = lm.windows([rng.integers(3, 40, n).astype(np.uint16) for n in (30, 5, 17)])
+    for k, d in lm.gradients(p, fixed, x, y)[1].items():
+        i = np.unravel_index(np.abs(d).argmax(), d.shape)
+        up, down = ({**p, k: p[k].copy()} for _ in range(2))
+        up[k][i] += 1e-2
+        down[k][i] -= 1e-2
+        assert d[i] == pytest.approx((lm.gradients(up, fixed, x, y)[0] - lm.gradients(down, fixed, x, y)[0]) / 2e-2, rel=3e-2, abs=2e-5), k
+
+
 def test_words_cut_together_equal_words_cut_alone():
     words = lm.Subwords(tokenizer_path("byte_bpe_50k.tiktoken"), pretoken_pattern())
     texts = [w.encode() for w in ["hello", "it's", "'s", " ", " x", "x ", "12,345", "%%%", "\u0085", "日本語", "a\x1cb", "don't", "--", "é", " y", "<|endoftext|>"]] + [b"\xff\xfe", b"z"]
