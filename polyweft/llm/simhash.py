@@ -231,6 +231,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 STAGE_WORDS, STAGE_SHARE, STAGE_BITS, STAGE_PRINTS = 5, (4, 5), 46, 2
 #: Shingles are counted in so many buckets.
 BUCKETS = 1 << 17
+#: Large runs are counted in parts of so many shingles, by tiles of so many rows and columns.
+BLOCK, TILE, COLUMNS = 1 << 21, 1024, 4096
 _PRINT = [f"w{k}" for k in range(STAGE_PRINTS)]
 
 
@@ -377,35 +379,99 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").where(both * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b").distinct()
 
 
-def _across(large: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b) of ids in different components that share a key of a large run and may be near-duplicates.
+def _shared(row: np.ndarray, shingle: np.ndarray, n_rows: int, row_b: np.ndarray, shingle_b: np.ndarray, n_rows_b: int) -> np.ndarray:
+    """How many shingles each row of one side has in common with each of the other, counted exactly: products of memberships, ``COLUMNS`` shingles at a time."""
+    common = np.intersect1d(shingle, shingle_b)
+    out = np.zeros((n_rows, n_rows_b), np.float32)  # whole numbers far below 2**24
+    for at in range(0, len(common), COLUMNS):
+        some = common[at : at + COLUMNS]
+        sides = []
+        for rows, shingles_, n in ((row, shingle, n_rows), (row_b, shingle_b, n_rows_b)):
+            place = np.minimum(np.searchsorted(some, shingles_), len(some) - 1)
+            use = some[place] == shingles_
+            sides.append(np.zeros((n, len(some)), np.float32))
+            sides[-1][rows[use], place[use]] = 1
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _joining(ids: np.ndarray, root: np.ndarray, part: np.ndarray, words: np.ndarray, hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    """Near-duplicates of one run that join different roots: as many links as join all that can be joined, never all pairs.
 
-    A forest's link may fail where another pair of its run would hold: these are all the pairs left to ask.
+    Rows of the same ``part`` are met elsewhere if there is more than one. Pairs that sizes and fingerprints let pass
+    are counted exactly, in tiles.
+    """
+    num, den = STAGE_SHARE
+    n, root = words[:, 0].astype(np.int64), root.copy()
+    _, shingle, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(ids)), n)
+    keep = times[shingle] > 1  # others no pair can share
+    row, shingle = row[keep], shingle[keep]
+    begin = np.searchsorted(row, np.arange(len(ids) + 1))
+    mixed = part.min() != part.max()
+    a, b = [], []
+    for i, j in itertools.combinations_with_replacement(range(0, len(ids), TILE), 2):
+        x, y = slice(i, min(i + TILE, len(ids))), slice(j, min(j + TILE, len(ids)))
+        may = (root[x, None] != root[y]) & _may_share(words[x, None], words[None, y])
+        if mixed:
+            may &= part[x, None] != part[y]
+        if i == j:
+            may = np.triu(may, 1)
+        if not may.any():
+            continue
+        of_x, of_y = slice(begin[x.start], begin[x.stop]), slice(begin[y.start], begin[y.stop])
+        both = _shared(row[of_x] - i, shingle[of_x], x.stop - i, row[of_y] - j, shingle[of_y], y.stop - j)
+        r, s = np.nonzero(may & (both * (num + den) >= (n[x, None] + n[y]) * num))
+        _, first = np.unique(np.stack((root[i + r], root[j + s])), axis=1, return_index=True)
+        for k in first.tolist():
+            u, v = i + r[k], j + s[k]
+            if root[u] != root[v]:
+                a.append(int(ids[u]))
+                b.append(int(ids[v]))
+                root[root == root[v]] = root[u]
+    return a, b
+
+
+def _across(large: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of near-duplicates in different components that share a key of a large run, counted where the run is.
+
+    A forest's link may fail where another pair of its run would hold: all pairs left are asked here, by their whole sets, and only
+    links that hold and join components come out. A run of more than ``BLOCK`` shingles is dealt in parts, each two of them to a task.
     """
     rows = large.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"), "n", *_PRINT)
     rows = written(rows, "large-runs")
-    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    sums = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("held")).where("low < high")
+    mixed = written(sums.select("key", F.ceil(F.col("held") / BLOCK).alias("parts")), "mixed-runs")
+    asked = written(looked_up(rows, mixed, "key", "inner").withColumn("part", F.pmod(F.xxhash64("id"), "parts")), "asked")
+    sets = written(_shingle_sets(texts.join(asked.select("id").distinct(), "id", "left_semi")), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4 + STAGE_PRINTS), np.int64)
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                held = np.concatenate((held, np.column_stack([c.to_numpy() for c in batch.columns])))
-            if not len(held):
-                continue
-            cut = len(held) if batch is None else int(np.searchsorted(held[:, 0], held[-1, 0], "left"))
-            edge = np.flatnonzero(np.concatenate(([True], held[1:cut, 0] != held[: cut - 1, 0], [True]))) if cut else []
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            cols = [np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(3, 7 + STAGE_PRINTS)]
+            hashes = np.concatenate([x.column(7 + STAGE_PRINTS).flatten().to_numpy() for x in held])
+            a, b = _joining(cols[0], cols[1], cols[2], np.stack(cols[3:], 1).view(np.uint64), hashes)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        last = None
+        for batch in batches:
+            run_of = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+            edge = np.flatnonzero(np.concatenate(([True], (run_of[1:] != run_of[:-1]).any(1), [True]))) if len(run_of) else []
             for lo, hi in itertools.pairwise(edge):
-                ids, root, words = held[lo:hi, 1], held[lo:hi, 2], held[lo:hi, 3:].copy().view(np.uint64)
-                for i in range(len(ids) - 1):
-                    hit = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & _may_share(words[i], words[i + 1 :]))
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[hit], ids[i])), pa.array(np.maximum(ids[hit], ids[i]))], names=["a", "b"])
-            held = held[cut:]
+                if held and last != run_of[lo].tolist():
+                    yield done()
+                held.append(batch.slice(lo, hi - lo))
+                last = run_of[lo].tolist()
+        if held:
+            yield done()
 
     count = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.join(mixed, "key").repartition(count, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    met = asked.join(sets.select("id", "hashes"), "id").select("*", others).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    dealt = met.select("key", "low", "high", "id", "root", "part", "n", *_PRINT, "hashes").repartition(count, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,9 +490,9 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     large = candidates.where("key is not null").select("key", F.col("a").alias("id"), "n", *_PRINT)
     near = written(_verified(pairs, texts), "near")
     found = components(near)
-    across = written(_across(large, found), "across")
+    across = written(_across(large, found, texts), "across")
     if not across.isEmpty():
-        near = near.unionByName(_verified(across, texts))
+        near = near.unionByName(across)
         found = components(near)
     # texts without a word have no shingle
     blank = texts.where(~F.coalesce(F.col("t").cast("string"), F.lit("")).rlike(WORD)).select("id")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polyweft.llm import chat, components, exact_dedup, licences, lm, lm_scoring, mixing, packing, pii, quality, simhash, sketches
+from polyweft.llm import chat, common, components, exact_dedup, licences, lm, lm_scoring, mixing, packing, pii, quality, simhash, sketches
 from polyweft.llm.queries import pretoken_pattern, tokenizer_path
 
 LONG = "lorem ipsum dolor sit amet " * 8000
@@ -258,6 +258,35 @@ def test_near_dedup_equals_brute_force(spark):
     assert got == {i for i in range(len(texts)) if find(i) == i}
 
 
+def test_large_runs_are_asked_without_rows_for_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(150)]
+    texts = []
+    for i in range(300):  # alike, most pairs below the share, some at it
+        t = list(rng.choice(texts)) if i % 4 == 3 else list(base)
+        for at in rng.sample(range(150), 1 if i % 4 == 3 else 3):
+            t[at] = f"x{i}_{at}"
+        texts.append(t)
+    sets = [frozenset(simhash.shingles(" ".join(t).encode(), 5)) for t in texts]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    alike = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) * 9 >= (len(sets[i]) + len(sets[j])) * 4]
+    want = {r.node for r in components.components(spark.createDataFrame(alike, "a long, b long")).collect() if r.node != r.root}
+    made = {}
+
+    def written(rows, name):
+        out = common.written(rows, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", written)
+    for sizes in ({}, {"TILE": 16, "COLUMNS": 8, "BLOCK": 3000}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(simhash, name, value)
+        kept = {r.doc_id for r in simhash.near_deduplicated(df).collect()}
+        assert kept == set(range(len(texts))) - want
+        assert made["across"] <= len(texts) * (1 if not sizes else 20)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 160)] + [(5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
