@@ -226,13 +226,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 #: The stage: texts are near-duplicates if they share ``STAGE_SHARE`` (as a fraction) or more of their distinct
-#: five-word shingles, counted exactly. 128-bit SimHash fingerprints pass over pairs that are far below that: at 0.8,
-#: with any lengths, 24 bits differ in the mean at most (19.4 for long texts), and ``STAGE_BITS`` is five deviations more.
+#: five-word shingles, counted exactly. Links come first from the covering of 128-bit SimHash fingerprints, cut into
+#: ``STAGE_PARTS``, at ``STAGE_RADIUS`` bits. At 0.8, with any lengths, 24 bits differ in the mean at most (19.4 for long
+#: texts), for which keys would have a few bits; pairs of texts that the covering leaves in different components share a
+#: shingle of their prefixes, and fingerprints pass over those beyond ``STAGE_BITS``, five deviations above that mean.
 STAGE_WORDS, STAGE_SHARE, STAGE_BITS, STAGE_PRINTS = 5, (4, 5), 46, 2
+STAGE_RADIUS, STAGE_PARTS = 11, 4
 #: Shingles are counted in so many buckets.
 BUCKETS = 1 << 17
 #: Large runs are counted in parts of so many shingles, by tiles of so many rows and columns.
-BLOCK, TILE, COLUMNS = 1 << 21, 1024, 4096
+BLOCK, TILE, COLUMNS = 1 << 19, 256, 1024
 _PRINT = [f"w{k}" for k in range(STAGE_PRINTS)]
 
 
@@ -285,25 +288,45 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def _bucket_sums(texts: DataFrame) -> np.ndarray:
-    """How many texts' shingles fall into each bucket."""
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(id, n, fingerprint) of each text that has a shingle; rows with a bucket ``at`` follow: ``n`` texts' shingles fell into it in a task."""
+    columns = ["id", "n", *_PRINT, "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                np.add.at(sums, _bucket(_hashes(t)), 1)
+            n, prints = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, STAGE_PRINTS), np.uint64)
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                h = _hashes(t)
+                np.add.at(sums, _bucket(h), 1)
+                n[i], prints[i] = len(h), _set_print(h)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(n[some]), *[pa.array(prints[some, k].view(np.int64)) for k in range(STAGE_PRINTS)], pa.nulls(len(some), pa.int64())], names=columns)
         at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(sums[at]), *[pa.nulls(len(at), pa.int64())] * STAGE_PRINTS, pa.array(at)], names=columns)
+
+    return texts.select("id", "t").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+
 
+def _bucket_sums(sketches: DataFrame) -> np.ndarray:
+    """How many texts' shingles fall into each bucket."""
     out = np.zeros(BUCKETS, np.int64)
-    summed = texts.select("t").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
+    summed = sketches.where("at is not null").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
     out[summed["at"].to_numpy()] = summed["n"].to_numpy()
     return out
 
 
+def _covered(sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of near-duplicates found by the covering of their fingerprints. Texts of one fingerprint are met as one class and linked with its least id."""
+    prints = sketches.where("at is null").select("id", *_PRINT)
+    classes = written(prints.groupBy(*_PRINT).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+    many = classes.where("n > 1").select(*_PRINT, F.col("id").alias("a"))
+    within = prints.withColumnRenamed("id", "b").join(many, _PRINT).where("a != b").select("a", "b").distinct()
+    return _verified(links(classes.select("id", *_PRINT), _PRINT, STAGE_RADIUS, STAGE_PARTS).unionByName(within), texts)
+
+
 def _keyed(texts: DataFrame, sums: np.ndarray) -> DataFrame:
-    """(key, id, n, fingerprint) of each text for every shingle of its prefix.
+    """(key, id, root, n, fingerprint) of each text (id, t, root) for every shingle of its prefix.
 
     All texts order their shingles alike, rare buckets first. Two sets of which one holds at most n shingles and
     that share 0.8 of their union share at least ceil(0.8 n): one of the first n - ceil(0.8 n) + 1 is common to both
@@ -315,7 +338,7 @@ def _keyed(texts: DataFrame, sums: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sent.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, roots = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             keys, prints = [np.zeros(0, np.uint64)], np.zeros((len(ids), STAGE_PRINTS), np.uint64)
             n, count = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             for i, t in enumerate(batch.column(1).to_pylist()):
@@ -325,9 +348,9 @@ def _keyed(texts: DataFrame, sums: np.ndarray) -> DataFrame:
                     keys.append(h[np.lexsort((h, rank[_bucket(h)]))[: count[i]]])
                     prints[i] = _set_print(h)
             row = np.repeat(np.arange(len(ids)), count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[row]), pa.array(n[row]), *[pa.array(prints[row, k].view(np.int64)) for k in range(STAGE_PRINTS)]], names=["key", "id", "n", *_PRINT])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[row]), pa.array(roots[row]), pa.array(n[row]), *[pa.array(prints[row, k].view(np.int64)) for k in range(STAGE_PRINTS)]], names=["key", "id", "root", "n", *_PRINT])
 
-    return texts.mapInArrow(run, "key long, id long, n long, " + ", ".join(f"{w} long" for w in _PRINT))
+    return texts.select("id", "t", "root").mapInArrow(run, "key long, id long, root long, n long, " + ", ".join(f"{w} long" for w in _PRINT))
 
 
 def _may_share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -337,8 +360,13 @@ def _may_share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (np.minimum(a, b) * den >= np.maximum(a, b) * num) & _near(x[..., 1:], y[..., 1:], STAGE_BITS)
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows (root, n, fingerprint) of different roots can be near-duplicates."""
+    return (x[..., 0] != y[..., 0]) & _may_share(x[..., 1:], y[..., 1:])
+
+
 def _candidates(keyed: DataFrame) -> DataFrame:
-    """Ids that share a key and may be near-duplicates, as (a, b): all pairs of small runs, of large ones a spanning forest.
+    """Ids of different roots that share a key and may be near-duplicates, as (a, b): all pairs of small runs, of large ones a spanning forest.
 
     The members of large runs follow as rows with a key, the id as ``a``, the size and the fingerprint.
     """
@@ -352,9 +380,9 @@ def _candidates(keyed: DataFrame) -> DataFrame:
             length = np.diff(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))))
             of = np.repeat(length > SMALL_RUN, length)
             if of.any():
-                large.append(np.column_stack((ids[of], key[of], words[of].view(np.int64))))
+                large.append(np.column_stack((ids[of], key[of], words[of, 1:].view(np.int64))))
 
-        for found in _linked(batches, _may_share, 1 + STAGE_PRINTS, seen):
+        for found in _linked(batches, _apart, 2 + STAGE_PRINTS, seen):
             none = pa.nulls(found.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*found.columns, *[none] * (2 + STAGE_PRINTS)], names=names)
             while large:
@@ -477,7 +505,9 @@ def _across(large: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of near-duplicates; columns as they were, whatever their names.
 
-    Groups are the components of all pairs that share 0.8 or more of their distinct five-word shingles. Null texts are
+    Groups are the components of all pairs that share 0.8 or more of their distinct five-word shingles: links come from
+    the covering of the fingerprints, are counted exactly, and a prefix join asks the pairs of texts that are then still in
+    different components. Null texts are
     empty and texts without a word are one group. The least id of a group stays. Ids are whole numbers (others raise).
     Rows that repeat an id, and rows without one, stand each for their own text, after other rows and in the order of a hash;
     of rows that repeat id and text one stays. An empty table gives no rows.
@@ -485,10 +515,14 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     node = free_name(docs, "near_node")[0]
     rows = _nodes(docs, id_col, text_col, node)
     texts = rows.select(F.col(node).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    candidates = written(_candidates(_keyed(texts, _bucket_sums(texts))), "candidates")
+    sketches = written(_sketches(texts), "sketches")
+    near = written(_covered(sketches, texts), "covered")
+    found = written(components(near), "covered-roots")
+    rooted = texts.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    candidates = written(_candidates(_keyed(rooted, _bucket_sums(sketches))), "candidates")
     pairs = candidates.where("key is null and a != b").select("a", "b").distinct()
     large = candidates.where("key is not null").select("key", F.col("a").alias("id"), "n", *_PRINT)
-    near = written(_verified(pairs, texts), "near")
+    near = near.unionByName(written(_verified(pairs, texts), "near"))
     found = components(near)
     across = written(_across(large, found, texts), "across")
     if not across.isEmpty():

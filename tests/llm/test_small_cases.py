@@ -287,6 +287,28 @@ def test_large_runs_are_asked_without_rows_for_all_pairs(spark, monkeypatch):
         assert made["across"] <= len(texts) * (1 if not sizes else 20)
 
 
+def test_near_dedup_links_by_covered_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "STAGE_BITS", -1)  # the finish by shared shingles lets nothing pass
+    rng = random.Random(11)
+    texts = []
+    for g in range(25):
+        base = [f"g{g}w{k}" for k in range(rng.randrange(60, 400))]
+        texts += [base, base + ["more"] * rng.randrange(1, 20), base[rng.randrange(1, 12) :], base + ["last"], [*base[:30], "in", *base[30:]]]
+    texts = [" ".join(t).encode() for t in texts]
+    texts += [t.replace(b" ", b"\n ") for t in texts[:10]]
+    sets = [simhash._hashes(t) for t in texts]
+    prints = [simhash._set_print(h) for h in sets]
+    alike = []
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        bits = sum(int(x).bit_count() for x in prints[i] ^ prints[j])
+        if bits <= simhash.STAGE_RADIUS and len(set(sets[i]) & set(sets[j])) * 9 >= (len(sets[i]) + len(sets[j])) * 4:
+            alike.append((i, j))
+    drop = {r.node for r in components.components(spark.createDataFrame(alike, "a long, b long")).collect() if r.node != r.root}
+    assert len(drop) > 50
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.near_deduplicated(df).collect()} == set(range(len(texts))) - drop
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 160)] + [(5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
