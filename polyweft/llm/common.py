@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from polyweft.storage import written
 
-__all__ = ["documents", "free_name", "kept_in_worker", "looked_up", "remainder", "text_of", "word_count", "written"]
+__all__ = ["documents", "free_name", "kept_in_worker", "let_go", "looked_up", "remainder", "text_of", "word_count", "written"]
 
 #: The white space that ends a word; every other code point belongs to one.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -68,6 +68,13 @@ def kept_in_worker(kind: Callable, *args):
     return kept[key]
 
 
+def let_go() -> None:
+    """Drops what other operators have kept in this worker: their tables would stand beside the memory of this one."""
+    kept = sys.modules.get("_kept_by_polyweft")
+    for key in [k for k in vars(kept) if not k.startswith("__")] if kept else []:
+        delattr(kept, key)
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that ``df`` has not."""
     taken = {c.lower() for c in df.columns}

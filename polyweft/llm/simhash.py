@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyweft.llm.common import WORD, free_name, looked_up, written
+from polyweft.llm.common import WORD, free_name, let_go, looked_up, written
 from polyweft.llm.components import components
 
 SEED = 42
@@ -293,6 +293,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
     columns = ["id", "n", *_PRINT, "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         sums = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             n, prints = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, STAGE_PRINTS), np.uint64)
@@ -336,6 +337,7 @@ def _keyed(texts: DataFrame, sums: np.ndarray) -> DataFrame:
     num, den = STAGE_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         rank = sent.value
         for batch in batches:
             ids, roots = batch.column(0).to_numpy(), batch.column(2).to_numpy()

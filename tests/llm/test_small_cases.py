@@ -287,6 +287,13 @@ def test_large_runs_are_asked_without_rows_for_all_pairs(spark, monkeypatch):
         assert made["across"] <= len(texts) * (1 if not sizes else 20)
 
 
+def test_workers_let_go_of_what_they_kept():
+    first = common.kept_in_worker(dict)
+    assert common.kept_in_worker(dict) is first
+    common.let_go()
+    assert common.kept_in_worker(dict) is not first
+
+
 def test_near_dedup_links_by_covered_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "STAGE_BITS", -1)  # the finish by shared shingles lets nothing pass
     rng = random.Random(11)
