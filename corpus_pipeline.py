@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyweft.llm import exact_dedup, mixing, packing, quality, simhash
-from polyweft.llm.common import documents, written
+from polyweft.llm.common import documents, small_batches, written
 from polyweft.llm.queries import tokenizer_path
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -22,17 +23,20 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the one with the least id stays."""
+    small_batches(spark)
     return simhash.near_deduplicated(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, weighted by the classifier's scores."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixing.mixture(docs, rating=quality.rating(labels, ~quality.held_out(F.col("doc_id"))))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their places in sequences."""
+    small_batches(spark)
     return packing.packed(docs, tokenizer_path(packing.VOCABULARY))
 
 

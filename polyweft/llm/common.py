@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyweft.storage import written
 
-__all__ = ["documents", "free_name", "kept_in_worker", "let_go", "looked_up", "remainder", "text_of", "word_count", "written"]
+__all__ = ["documents", "free_name", "give_back", "kept_in_worker", "let_go", "looked_up", "remainder", "small_batches", "text_of", "word_count", "written"]
 
 #: The white space that ends a word; every other code point belongs to one.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: A lookup table of so many rows at most is broadcast; a larger one is met by a salted join.
 MOST_SENT, SALTS = 100_000, 32
+#: What a batch of rows for Python may hold, besides Spark's limit of rows: 10000 whole texts can be any size.
+BATCH_BYTES = "4m"
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
@@ -73,6 +77,21 @@ def let_go() -> None:
     kept = sys.modules.get("_kept_by_polyweft")
     for key in [k for k in vars(kept) if not k.startswith("__")] if kept else []:
         delattr(kept, key)
+    give_back()
+
+
+def give_back() -> None:
+    """Hands the memory that this process has freed to the system. Texts are too small for the C library to do so itself, and an
+    executor's workers, busy or not, would each hold on to that of their largest batch."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches for Python hold ``BATCH_BYTES`` at most. Rows and results are the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def free_name(df: DataFrame, *wanted: str) -> list[str]:

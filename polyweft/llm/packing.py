@@ -19,7 +19,7 @@ import pyspark
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyweft.llm.common import kept_in_worker, written
+from polyweft.llm.common import give_back, kept_in_worker, written
 from polyweft.llm.wordids import WordIds
 
 SIZE = 2048
@@ -116,6 +116,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, size: i
                     rows.append((doc_id, k, start, length, zlib.crc32(part), task, int(seen[length])))
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, (pa.int64(), pa.int32(), *[pa.int64()] * 5))], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task long, rank long")

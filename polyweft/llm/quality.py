@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyweft.llm.common import free_name, remainder, text_of, written
+from polyweft.llm.common import free_name, let_go, remainder, text_of, written
 
 _UPPER, _LOWER, _DIGIT = (np.arange(a, b + 1) for a, b in ((65, 90), (97, 122), (48, 57)))
 _SIGNS = np.frombuffer(b"#$%&*", np.uint8)
@@ -163,7 +163,9 @@ def rating(labels: DataFrame, learn: Column | None = None, label_col: str = "qua
 
     @F.pandas_udf("array<double>")
     def measure(texts: pd.Series) -> pd.Series:
-        return pd.Series([statistics(t or b"") for t in texts])
+        found = pd.Series([statistics(t or b"") for t in texts])
+        let_go()
+        return found
 
     def learnt(rows: DataFrame) -> Callable[[Column], Column]:
         model = _learnt(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("measure").alias("x")), labels, learn, "doc_id", label_col)

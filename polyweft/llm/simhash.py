@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyweft.llm.common import WORD, free_name, let_go, looked_up, written
+from polyweft.llm.common import WORD, free_name, give_back, let_go, looked_up, written
 from polyweft.llm.components import components
 
 SEED = 42
@@ -280,6 +280,8 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [_hashes(t).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "n", "hashes"])
+            del sets
+            give_back()
 
     return texts.mapInArrow(run, "id long, n long, hashes array<long>")
 
@@ -301,6 +303,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
                 h = _hashes(t)
                 np.add.at(sums, _bucket(h), 1)
                 n[i], prints[i] = len(h), _set_print(h)
+            give_back()
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(n[some]), *[pa.array(prints[some, k].view(np.int64)) for k in range(STAGE_PRINTS)], pa.nulls(len(some), pa.int64())], names=columns)
         at = np.flatnonzero(sums)
@@ -349,6 +352,7 @@ def _keyed(texts: DataFrame, sums: np.ndarray) -> DataFrame:
                     n[i], count[i] = len(h), len(h) - -(-len(h) * num // den) + 1
                     keys.append(h[np.lexsort((h, rank[_bucket(h)]))[: count[i]]])
                     prints[i] = _set_print(h)
+            give_back()
             row = np.repeat(np.arange(len(ids)), count)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[row]), pa.array(roots[row]), pa.array(n[row]), *[pa.array(prints[row, k].view(np.int64)) for k in range(STAGE_PRINTS)]], names=["key", "id", "root", "n", *_PRINT])
 
@@ -483,6 +487,8 @@ def _across(large: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
             hashes = np.concatenate([x.column(7 + STAGE_PRINTS).flatten().to_numpy() for x in held])
             a, b = _joining(cols[0], cols[1], cols[2], np.stack(cols[3:], 1).view(np.uint64), hashes)
             held.clear()
+            del cols, hashes
+            give_back()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         last = None

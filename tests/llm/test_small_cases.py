@@ -4,14 +4,19 @@ import hashlib
 import itertools
 import random
 import re
+import subprocess
+import sys
 import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from polyweft.llm import chat, common, components, exact_dedup, licences, lm, lm_scoring, mixing, packing, pii, quality, simhash, sketches
 from polyweft.llm.queries import pretoken_pattern, tokenizer_path
 
@@ -294,6 +299,30 @@ def test_workers_let_go_of_what_they_kept():
     assert common.kept_in_worker(dict) is not first
 
 
+def test_workers_give_back_the_memory_of_texts():
+    held = """
+import re, sys
+def mb(): return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+([0-9]+)", open("/proc/self/smaps_rollup").read()))) // 1024
+from polyweft.llm import common
+before, texts = mb(), [bytes(2500) for _ in range(60_000)]
+last = bytes(2500)
+full = mb()
+del texts
+common.let_go()
+print(before, full, mb())
+"""
+    done = subprocess.run([sys.executable, "-c", held], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    before, full, after = map(int, done.stdout.split())
+    assert full - before > 100 and after - before < 20
+
+
+def test_pipeline_bounds_what_python_gets_at_once(spark, sf):
+    corpus_pipeline.quality_filter(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    long = spark.range(12, numPartitions=1).select(F.repeat(F.lit("ab "), 1_000_000).alias("t"))
+    sizes = [r["n"] for r in long.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in it), "n long").collect()]
+    assert sum(sizes) >= 36_000_000 and max(sizes) < 8_000_000
+
+
 def test_near_dedup_links_by_covered_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "STAGE_BITS", -1)  # the finish by shared shingles lets nothing pass
     rng = random.Random(11)
