@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from polyweft.storage import written
 
-__all__ = ["documents", "free_name", "give_back", "kept_in_worker", "let_go", "looked_up", "remainder", "small_batches", "text_of", "word_count", "written"]
+__all__ = ["documents", "free_name", "give_back", "keep_memory", "kept_in_worker", "let_go", "looked_up", "remainder", "small_batches", "text_of", "word_count", "written"]
 
 #: The white space that ends a word; every other code point belongs to one.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_SENT, SALTS = 100_000, 32
 #: What a batch of rows for Python may hold, besides Spark's limit of rows: 10000 whole texts can be any size.
 BATCH_BYTES = "4m"
+#: What a worker that works in steps keeps of freed memory; what is larger by itself than the second goes back at once.
+KEPT_BYTES, MAPPED_BYTES = 64 << 20, 4 << 20
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
@@ -89,6 +91,15 @@ def give_back() -> None:
         trim(0)
 
 
+def keep_memory() -> None:
+    """From now on this process keeps up to ``KEPT_BYTES`` that it has freed, until ``give_back``. Arrays that come and go in each step
+    would otherwise get pages from the system, which clears them, again and again."""
+    option = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc has it
+    if option:
+        option(-1, KEPT_BYTES)  # M_TRIM_THRESHOLD
+        option(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD
+
+
 def small_batches(spark: SparkSession) -> None:
     """From now on the session's batches for Python hold ``BATCH_BYTES`` at most. Rows and results are the same."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -170,8 +170,11 @@ def _attend(p: Params, h: int, x: np.ndarray, keep: bool = False) -> tuple[np.nd
     w += np.where(_HIDDEN_KEYS, np.float32(-1e9), p["bias"][h][_AWAY]).astype(np.float32)
     np.exp(np.minimum(w, 40, out=w), out=w)
     total = w @ _ONES + np.float32(1e-30)
-    o = (w @ v) / total
-    return q, k, v, w / total if keep else w, o
+    o = w @ v
+    o /= total
+    if keep:
+        w /= total
+    return q, k, v, w, o
 
 
 def _hidden(p: Params, x: np.ndarray, heads: list) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +285,7 @@ def gradients(p: Params, fixed: dict[str, np.ndarray], x: np.ndarray, y: np.ndar
         du[r] += w[r] @ p["inside"][k].T
     full = np.zeros_like(u_all)
     full[order] = du
-    full[u_all <= 0] = 0
+    full *= u_all > 0
     g["mix"] = o.T @ full
     do = (full @ p["mix"].T).reshape(len(x), SCORED, HEADS, WIDTH)
     g["bias"] = np.zeros_like(p["bias"])
@@ -307,13 +310,14 @@ def gradients(p: Params, fixed: dict[str, np.ndarray], x: np.ndarray, y: np.ndar
 
 def train(p: Params, fixed: dict[str, np.ndarray], texts: list[np.ndarray], steps: int, rate: float, batch: int = 256, seed: int = 5) -> tuple[Params, float]:
     """Adam with a falling rate over shuffled windows; returns new parameters and the last steps' mean loss."""
-    p = {k: v.copy() for k, v in p.items()}
     x, y, _ = windows(texts)
     if not len(x) or not steps:
-        return p, float("nan")
+        return {k: v.copy() for k, v in p.items()}, float("nan")
     rng = np.random.default_rng(seed)
-    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     order, losses = np.empty(0, np.int64), []
+    at = flat(p)
+    p = views(at, p)
+    m, s, t = np.zeros((3, at.size), np.float32)
     for step in range(1, steps + 1):
         if len(order) < batch:
             order = np.concatenate([order, rng.permutation(len(x))])
@@ -321,10 +325,13 @@ def train(p: Params, fixed: dict[str, np.ndarray], texts: list[np.ndarray], step
         loss, g = gradients(p, fixed, x[pick], y[pick])
         losses.append(loss)
         now = rate * min(1.0, step / 20) * (1 - step / (steps + 1))
-        for k, d in g.items():
-            m[k] += 0.1 * (d - m[k])
-            s[k] += 0.01 * (d * d - s[k])
-            p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        d = flat(g)
+        m += np.multiply(np.subtract(d, m, out=t), 0.1, out=t)
+        np.multiply(d, d, out=d)
+        s += np.multiply(np.subtract(d, s, out=t), 0.01, out=t)
+        np.sqrt(np.multiply(s, 1 / (1 - 0.99**step), out=t), out=t)
+        np.divide(m, np.add(t, 1e-8, out=t), out=t)
+        at -= np.multiply(t, now / (1 - 0.9**step), out=t)
     return p, float(np.mean(losses[-20:]))
 
 
@@ -332,14 +339,19 @@ def flat(p: Params) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
-def unflat(v: np.ndarray, like: Params) -> Params:
+def views(v: np.ndarray, like: Params) -> Params:
+    """The parameters that lie in ``v``, not copied."""
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = v[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = v[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return out
 
 
+def unflat(v: np.ndarray, like: Params) -> Params:
+    return views(v.astype(np.float32), like)
+
+
 def text_scores(p: Params, fixed: dict[str, np.ndarray], texts: list[np.ndarray], batch: int = 512) -> np.ndarray:
     """Natural log probability of each class sequence with its end; windows of many texts share a batch."""
     x, y, text = windows(texts)

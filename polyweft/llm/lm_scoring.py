@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyweft.llm import lm
-from polyweft.llm.common import written
+from polyweft.llm.common import give_back, keep_memory, small_batches, written
 
 HOT = 131_072
 START_DOCS, STEPS, RATE = 600, 500, 0.02
@@ -171,6 +171,7 @@ def learnt(texts: DataFrame, counts: DataFrame, ranks: str, pattern: str) -> dic
     sent = spark.sparkContext.broadcast((cls, share, fixed, params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         cls, share, fixed, params = sent.value
         classes = _Classes(lm.Subwords(ranks, pattern), cls, share)
         now, weight = params, 0
@@ -181,6 +182,8 @@ def learnt(texts: DataFrame, counts: DataFrame, ranks: str, pattern: str) -> dic
                 steps = max(1, sum(-(-(len(t) + 1) // lm.SCORED) for t in group) // SHARE_STEP_WINDOWS)
                 now = lm.train(now, fixed, group, steps, SHARE_RATE, SHARE_STEP_WINDOWS)[0]
             weight += n
+        del classes
+        give_back()
         if weight:
             v = (lm.flat(now).astype(np.float64) - lm.flat(params)) * weight
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v) + 1)), pa.array(np.append(v, weight))], names=["at", "v"])
@@ -217,6 +220,7 @@ def scored(docs: DataFrame, learn: Column, ranks: str, pattern: str, id_col: str
     the base gives every token the probability 1 and the model its start. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = _texts(docs, learn, id_col, text_col)
     counts = written(word_counts(texts), "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
@@ -227,6 +231,7 @@ def scored(docs: DataFrame, learn: Column, ranks: str, pattern: str, id_col: str
     sent = spark.sparkContext.broadcast((learnt(texts.where("learn"), counts, ranks, pattern), hot, strange))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         model, hot, strange = sent.value
         classes = _Classes(lm.Subwords(ranks, pattern), model["cls"], model["share"])
         for batch in batches:
@@ -249,6 +254,8 @@ def scored(docs: DataFrame, learn: Column, ranks: str, pattern: str, id_col: str
                     [pa.array(ids, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_strange, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(cold, pa.list_(pa.binary()))],
                     names=["doc_id", "n_tokens", "n_strange", "base", "score", "cold"],
                 )
+        del classes
+        give_back()
 
     rows = texts.select("doc_id", "t").mapInArrow(run, "doc_id long, n_tokens long, n_strange long, base double, score double, cold array<binary>")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scores")

@@ -556,6 +556,40 @@ def test_language_model_gradients():
         assert d[i] == pytest.approx((lm.gradients(up, fixed, x, y)[0] - lm.gradients(down, fixed, x, y)[0]) / 2e-2, rel=3e-2, abs=2e-5), k
 
 
+def test_training_is_adam_and_leaves_its_start():
+    rng = np.random.default_rng(4)
+    p, fixed = lm.start(np.full((lm.SIZE, lm.SIZE), 1.0 / lm.SIZE))
+    before = {k: v.copy() for k, v in p.items()}
+    texts = [rng.integers(3, 60, 40).astype(np.uint16)]
+    x, y, _ = lm.windows(texts)
+    got, _ = lm.train(p, fixed, texts, 3, 0.01, batch=len(x))
+    want, m, s = ({k: f(v.astype(np.float64)) for k, v in p.items()} for f in (np.copy, np.zeros_like, np.zeros_like))
+    for step in (1, 2, 3):
+        for k, d in lm.gradients({k: v.astype(np.float32) for k, v in want.items()}, fixed, x, y)[1].items():
+            m[k] = 0.9 * m[k] + 0.1 * d
+            s[k] = 0.99 * s[k] + 0.01 * d.astype(np.float64) ** 2
+            want[k] -= 0.01 * step / 20 * (1 - step / 4) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
+    assert all((p[k] == before[k]).all() and np.allclose(got[k], want[k], atol=1e-5) for k in p)
+
+
+def test_steps_of_training_get_no_new_memory():
+    code = """
+import resource
+import numpy as np
+from polyweft.llm import common, lm
+common.keep_memory()
+p, fixed = lm.start(np.full((lm.SIZE, lm.SIZE), 1.0 / lm.SIZE))
+x, y, _ = lm.windows([np.arange(2000).astype(np.uint16) % 1000 + 3])
+faults = []
+for _ in range(30):
+    lm.gradients(p, fixed, x, y)
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+print(faults[-1] - faults[9])
+"""
+    root = str(Path(lm.__file__).parents[2])
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=root).stdout) < 1000  # 20 steps
+
+
 def test_words_cut_together_equal_words_cut_alone():
     words = lm.Subwords(tokenizer_path("byte_bpe_50k.tiktoken"), pretoken_pattern())
     texts = [w.encode() for w in ["hello", "it's", "'s", " ", " x", "x ", "12,345", "%%%", "\u0085", "日本語", "a\x1cb", "don't", "--", "é", " y", "<|endoftext|>"]] + [b"\xff\xfe", b"z"]
