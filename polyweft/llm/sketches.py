@@ -120,8 +120,10 @@ def difference(a: str, b: str) -> Column:
 
 def likeness(a: str, b: str) -> Column:
     """Shared by all paragraphs of two ``table`` columns; two without any are alike."""
-    both, differing = F.col(f"{a}.n") + F.col(f"{b}.n"), F.size(difference(a, b))
-    return F.when(both == 0, 1.0).otherwise((both - differing) / F.greatest(both + differing, F.lit(1)))
+    both = F.col(f"{a}.n") + F.col(f"{b}.n")
+    # the difference stands in the expression once: Spark computes it anew at each place of a branch
+    share = lambda differing: F.when(both == 0, 1.0).otherwise((both - differing) / F.greatest(both + differing, F.lit(1)))
+    return F.element_at(F.transform(F.array(F.size(difference(a, b))), share), 1)
 
 
 def as_text(column: str) -> Column:

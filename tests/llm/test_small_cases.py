@@ -556,6 +556,14 @@ def test_language_model_gradients():
         assert d[i] == pytest.approx((lm.gradients(up, fixed, x, y)[0] - lm.gradients(down, fixed, x, y)[0]) / 2e-2, rel=3e-2, abs=2e-5), k
 
 
+def test_likeness_computes_one_difference(spark):
+    sets = spark.sql("select array(1L, 2L, 3L) as x, array(2L, 3L, 4L) as y union all select array(), array()")
+    made = sets.select(sketches.table("x").alias("a"), sketches.table("y").alias("b"))
+    reads = lambda c: made.select(c)._jdf.queryExecution().analyzed().toString().count(".leaves")
+    assert reads(sketches.likeness("a", "b")) == reads(F.size(sketches.difference("a", "b"))) > 0
+    assert sorted(r[0] for r in made.select(sketches.likeness("a", "b")).collect()) == [0.5, 1.0]
+
+
 def test_training_is_adam_and_leaves_its_start():
     rng = np.random.default_rng(4)
     p, fixed = lm.start(np.full((lm.SIZE, lm.SIZE), 1.0 / lm.SIZE))
