@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from polyweft.storage import written
 
-__all__ = ["documents", "free_name", "give_back", "keep_memory", "kept_in_worker", "let_go", "looked_up", "remainder", "small_batches", "text_of", "word_count", "written"]
+__all__ = ["documents", "free_name", "give_back", "keep_memory", "kept_in_worker", "let_go", "looked_up", "met", "remainder", "small_batches", "text_of", "word_count", "written"]
 
 #: The white space that ends a word; every other code point belongs to one.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -43,6 +43,11 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "left") ->
     return salted.join(repeated, same & (F.col(salt) == F.col(other_salt)), how).drop(other, salt, other_salt)
 
 
+def met(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with a written ``table`` that may be the larger side; up to ``MOST_SENT`` rows of it are broadcast."""
+    return rows.join(F.broadcast(table) if table.count() <= MOST_SENT else table, key, how)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

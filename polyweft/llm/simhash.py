@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyweft.llm.common import WORD, free_name, give_back, let_go, looked_up, written
-from polyweft.llm.components import components
+from polyweft.llm.common import WORD, free_name, give_back, let_go, looked_up, met, written
+from polyweft.llm.components import components, extended
 
 SEED = 42
 #: Runs up to this length are compared by shifts over the whole batch.
@@ -406,6 +406,7 @@ def _candidates(keyed: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that share enough shingles; two texts of a repeated id both count for it."""
     num, den = STAGE_SHARE
+    pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = written(_shingle_sets(texts.join(ids, "id", "left_semi")), "sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}"))
@@ -472,7 +473,7 @@ def _across(large: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     A forest's link may fail where another pair of its run would hold: all pairs left are asked here, by their whole sets, and only
     links that hold and join components come out. A run of more than ``BLOCK`` shingles is dealt in parts, each two of them to a task.
     """
-    rows = large.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"), "n", *_PRINT)
+    rows = met(large, found.withColumnRenamed("node", "id"), "id").select("key", "id", F.coalesce("root", "id").alias("root"), "n", *_PRINT)
     rows = written(rows, "large-runs")
     sums = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("held")).where("low < high")
     mixed = written(sums.select("key", F.ceil(F.col("held") / BLOCK).alias("parts")), "mixed-runs")
@@ -505,8 +506,8 @@ def _across(large: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
 
     count = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    met = asked.join(sets.select("id", "hashes"), "id").select("*", others).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-    dealt = met.select("key", "low", "high", "id", "root", "part", "n", *_PRINT, "hashes").repartition(count, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    paired = asked.join(sets.select("id", "hashes"), "id").select("*", others).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    dealt = paired.select("key", "low", "high", "id", "root", "part", "n", *_PRINT, "hashes").repartition(count, "key", "low", "high").sortWithinPartitions("key", "low", "high")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -525,21 +526,18 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = rows.select(F.col(node).alias("id"), F.col(text_col).cast("binary").alias("t"))
     sketches = written(_sketches(texts), "sketches")
     near = written(_covered(sketches, texts), "covered")
-    found = written(components(near), "covered-roots")
-    rooted = texts.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    found = components(near)
+    rooted = met(texts, found.withColumnRenamed("node", "id"), "id").withColumn("root", F.coalesce("root", "id"))
     candidates = written(_candidates(_keyed(rooted, _bucket_sums(sketches))), "candidates")
     pairs = candidates.where("key is null and a != b").select("a", "b").distinct()
     large = candidates.where("key is not null").select("key", F.col("a").alias("id"), "n", *_PRINT)
-    near = near.unionByName(written(_verified(pairs, texts), "near"))
-    found = components(near)
-    across = written(_across(large, found, texts), "across")
-    if not across.isEmpty():
-        near = near.unionByName(across)
-        found = components(near)
-    # texts without a word have no shingle
+    found = extended(found, _verified(pairs, texts))
+    found = extended(found, written(_across(large, found, texts), "across"))
+    # texts without a word have no shingle and stand in no link
     blank = texts.where(~F.coalesce(F.col("t").cast("string"), F.lit("")).rlike(WORD)).select("id")
-    least, last = blank.agg(F.min("id"), F.max("id")).first()
-    if least != last:
-        found = components(near.unionByName(blank.select(F.lit(least).cast("long").alias("a"), F.col("id").alias("b")).where("a != b")))
-    drop = found.where("node != root").select(F.col("node").alias(node)).distinct()
-    return rows.join(drop, node, "left_anti").dropDuplicates([node]).select(*docs.columns)
+    least = blank.agg(F.min("id")).first()[0]
+    drop = found.where("node != root").select("node")
+    if least is not None:
+        drop = drop.unionByName(blank.where(F.col("id") != least).select(F.col("id").alias("node")))
+    drop = written(drop.withColumnRenamed("node", node), "dropped")
+    return met(rows, drop, node, "left_anti").dropDuplicates([node]).select(*docs.columns)

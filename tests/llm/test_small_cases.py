@@ -345,6 +345,46 @@ def test_near_dedup_links_by_covered_fingerprints(spark, monkeypatch):
     assert {r.doc_id for r in simhash.near_deduplicated(df).collect()} == set(range(len(texts))) - drop
 
 
+def test_components_of_stars_go_through_no_round(spark, monkeypatch):
+    made = []
+
+    def written(rows, name):
+        made.append(name)
+        return common.written(rows, name)
+
+    monkeypatch.setattr(components, "written", written)
+    stars = [(i, i + k) for i in (0, 100, 200) for k in range(1, 30)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {i + k: i for i in (0, 100, 200) for k in range(30)} and made == ["links", "least"]
+
+
+def test_more_links_extend_components(spark, monkeypatch):
+    rng = random.Random(8)
+    first = [(rng.randrange(200), rng.randrange(200)) for _ in range(90)]
+    more = [(rng.randrange(260), rng.randrange(260)) for _ in range(40)]
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    plain = lambda df: sorted((r.node, r.root) for r in df.collect())
+    for most in (common.MOST_SENT, 3):  # tables are sent, or met by shuffles
+        for module in (common, components):
+            monkeypatch.setattr(module, "MOST_SENT", most)
+        root = list(range(260))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in first + more:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+        found = components.components(frame(first))
+        got = components.extended(found, frame(more))
+        linked = {x for p in first + more if p[0] != p[1] for x in p}
+        assert [p for p in plain(got) if p[0] != p[1]] == [(x, find(x)) for x in sorted(linked) if find(x) != x]
+        assert len({n for n, _ in plain(got)}) == got.count()
+        assert plain(components.extended(got, frame(first))) == plain(got)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 160)] + [(5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
