@@ -407,8 +407,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that share enough shingles; two texts of a repeated id both count for it."""
     num, den = STAGE_SHARE
     pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(_shingle_sets(texts.join(ids, "id", "left_semi")), "sets")
+    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    sets = written(_shingle_sets(met(texts, ids, "id", "left_semi")), "sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}"))
     both = F.size(F.array_intersect("h_a", "h_b")).cast("long")
     return pairs.join(side("b"), "b").join(side("a"), "a").where(both * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b").distinct()
@@ -478,7 +478,7 @@ def _across(large: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     sums = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("held")).where("low < high")
     mixed = written(sums.select("key", F.ceil(F.col("held") / BLOCK).alias("parts")), "mixed-runs")
     asked = written(looked_up(rows, mixed, "key", "inner").withColumn("part", F.pmod(F.xxhash64("id"), "parts")), "asked")
-    sets = written(_shingle_sets(texts.join(asked.select("id").distinct(), "id", "left_semi")), "sets")
+    sets = written(_shingle_sets(met(texts, written(asked.select("id").distinct(), "ids"), "id", "left_semi")), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
