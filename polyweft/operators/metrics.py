@@ -12,26 +12,41 @@ from pyspark.sql import functions as F
 from polyweft.storage import written
 
 
-def distribution(shares: DataFrame, key: str | None, share: str, label: str) -> DataFrame:
-    """Per key: coverage, entropy (bits), concentration, effective number, balance and the two largest shares with their product measure.
+def distribution(counts: DataFrame, key: str | None, count: str, label: str) -> DataFrame:
+    """Per key of whole counts by label: coverage, entropy (bits), evenness, the first label and what ``RATIOS`` are made of: total, sum of squares, least count and the two largest.
 
-    Zero shares do not count; equal shares stand in label order.
+    Zero counts do not count; equal counts stand in label order, null last. Entropies are summed in that order, and all
+    else is whole numbers, so that no figure depends on the order of the rows.
     """
     keys = [key] if key else []
-    p = F.col(share)
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-p).alias("neg"), F.col(label).alias("label")))), 1, 2)
-    base = shares.where(p > 0).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("coverage"), F.sum(-p * F.log2(p)).alias("entropy"), F.sum(p * p).alias("hhi"), F.max(p).alias("largest"), F.min(p).alias("smallest"), top.alias("top"),
-    )
-    a = -F.get("top", F.lit(0))["neg"]
-    b = F.coalesce(-F.get("top", F.lit(1))["neg"], F.lit(0.0))
-    return base.select(
-        *keys, "coverage", "entropy", "hhi", (F.col("largest") / F.col("smallest")).alias("spread"), (1 / F.col("hhi")).alias("effective"),
-        F.when(F.col("coverage") > 1, F.col("entropy") / F.log2(F.col("coverage").cast("double"))).otherwise(0.0).alias("evenness"),
-        F.get("top", F.lit(0))["label"].alias("first"), (a + b).alias("pair_share"), (b / a).alias("pair_balance"), (a - b).alias("pair_gap"), ((a + b) * (b / a)).alias("bimodality"),
+    n = F.col(count).cast("decimal(38,0)")
+    one = F.struct((-n).alias("neg"), F.col(label).isNull().alias("none"), F.col(label).alias("label"))
+    base = counts.where(n > 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("coverage"), F.sum(n).alias("total"), F.sum(n * n).alias("squares"), F.min(n).alias("least"), F.array_sort(F.collect_list(one)).alias("sorted"))
+    share = lambda x: -x["neg"].cast("double") / F.col("total").cast("double")
+    entropy = F.aggregate("sorted", F.lit(0.0), lambda sum_, x: sum_ - share(x) * F.log2(share(x)))
+    place = lambda i: F.get("sorted", F.lit(i))
+    return base.withColumn("entropy", entropy).select(
+        *keys, "coverage", "entropy", F.when(F.col("coverage") > 1, F.col("entropy") / F.log2(F.col("coverage").cast("double"))).otherwise(0.0).alias("evenness"),
+        place(0)["label"].alias("first"), "total", "squares", "least", (-place(0)["neg"]).alias("a"), F.coalesce(-place(1)["neg"], F.lit(0).cast("decimal(38,0)")).alias("b"),
     )
 
 
+#: Concentration, effective number, largest by least share, and the two largest shares with their product measure, as quotients of whole numbers.
+RATIOS = {
+    "hhi": ("squares", "total * total"), "effective": ("total * total", "squares"), "spread": ("a", "least"), "pair_share": ("a + b", "total"),
+    "pair_balance": ("b", "a"), "pair_gap": ("a - b", "total"), "bimodality": ("(a + b) * b", "total * a"),
+}
+
+
+def ratio(name: str, scale: int = 1_000_000) -> Column:
+    """One of ``RATIOS`` times ``scale``, rounded half to even without floating point."""
+    above, below = (F.expr(e).cast("decimal(38,0)") for e in RATIOS[name])
+    above = (above * F.lit(scale).cast("decimal(38,0)")).cast("decimal(38,0)")
+    whole = F.call_function("div", above, below)
+    twice = (above - whole.cast("decimal(38,0)") * below) * 2
+    return (whole + F.when((twice > below) | ((twice == below) & (whole % 2 == 1)), 1).otherwise(0)).alias(name)
+
+
 def unit(value: Column) -> Column:
     """Clamped to 0..1; null stays null."""
     return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))

@@ -11,21 +11,16 @@ from polyweft.plans.common import table
 _U = lambda c, k=1e6: F.rint(F.col(c) * k).cast("long").alias(c)
 
 
-def _shares(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return e.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("user_id")))
-
-
 def distribution_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = M.distribution(_shares(spark, sf_dir), "user_id", "share", "event_type")
-    return d.select("user_id", "coverage", "first", *[_U(c) for c in ("entropy", "hhi", "spread", "effective", "evenness", "pair_share", "pair_balance", "pair_gap", "bimodality")])
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return M.distribution(counts, "user_id", "n", "event_type").select("user_id", "coverage", "first", _U("entropy"), _U("evenness"), *map(M.ratio, M.RATIOS))
 
 
 def demo_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published word counts of the demonstration stream."""
     counts = {"text": 75, "diagram": 125, "music": 50, "voice": 27, "image": 498, "bpe": 3, "mental": 39, "touch": 30, "smell": 17, "taste": 18}
-    rows = spark.createDataFrame([(k, v / sum(counts.values())) for k, v in counts.items()], "label string, share double")
-    return M.distribution(rows, None, "share", "label").select(_U("entropy"), _U("hhi"), _U("effective"))
+    rows = spark.createDataFrame(list(counts.items()), "label string, n long")
+    return M.distribution(rows, None, "n", "label").select(_U("entropy"), M.ratio("hhi"), M.ratio("effective"))
 
 
 def transport_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,11 +164,13 @@ def cyclic_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", F.element_at(names, F.pmod("i", F.lit(3)) + 1).alias("trend"), F.col("i").alias("start"))
 
 
-_SH = "sh as (select user_id, event_type, count(*) / sum(count(*)) over (partition by user_id)::double as share from events group by user_id, event_type)"
 _R = lambda e, n, k="1e6": f"cast(round_even(({e}) * {k}, 0) as bigint) as {n}"
+# a / b in millionths, half to even, of whole numbers
+_Q = lambda a, b, n: f"((1000000::hugeint * ({a})) // ({b}) + case when 2 * ((1000000::hugeint * ({a})) % ({b})) > ({b}) or 2 * ((1000000::hugeint * ({a})) % ({b})) = ({b}) and (1000000::hugeint * ({a})) // ({b}) % 2 = 1 then 1 else 0 end)::bigint as {n}"
 ORACLES = {
-    "distribution_metrics": f"""with {_SH}, g as (select user_id, count(*) as coverage, sum(-share * log2(share)) as entropy, sum(share * share) as hhi, max(share) / min(share) as spread, (list(share order by share desc, event_type))[1] as a, coalesce((list(share order by share desc, event_type))[2], 0) as b, (list(event_type order by share desc, event_type))[1] as first from sh group by user_id)
-select user_id, coverage, first, {_R('entropy', 'entropy')}, {_R('hhi', 'hhi')}, {_R('spread', 'spread')}, {_R('1 / hhi', 'effective')}, {_R('case when coverage > 1 then entropy / log2(coverage) else 0 end', 'evenness')}, {_R('a + b', 'pair_share')}, {_R('b / a', 'pair_balance')}, {_R('a - b', 'pair_gap')}, {_R('(a + b) * (b / a)', 'bimodality')} from g""",
+    "distribution_metrics": f"""with c as (select user_id, event_type, count(*)::hugeint as n from events group by all), g as (select user_id, count(*) as coverage, sum(n) as total, sum(n * n) as squares, min(n) as least, list(n order by n desc, event_type nulls last) as ns, (list(event_type order by n desc, event_type nulls last))[1] as first from c group by user_id),
+d as (select user_id, coverage, first, total, squares, least, ns[1] as a, coalesce(ns[2], 0)::hugeint as b, list_reduce(list_prepend(0.0::double, list_transform(ns, lambda n: (n::double / total::double) * log2(n::double / total::double))), lambda x, y: x - y) as entropy from g)
+select user_id, coverage, first, {_R('entropy', 'entropy')}, {_R('case when coverage > 1 then entropy / log2(coverage) else 0 end', 'evenness')}, {_Q('squares', 'total * total', 'hhi')}, {_Q('total * total', 'squares', 'effective')}, {_Q('a', 'least', 'spread')}, {_Q('a + b', 'total', 'pair_share')}, {_Q('b', 'a', 'pair_balance')}, {_Q('a - b', 'total', 'pair_gap')}, {_Q('(a + b) * b', 'total * a', 'bimodality')} from d""",
     "demo_distribution": "select 2173322::bigint as entropy, 354181::bigint as hhi, 2823414::bigint as effective",
     "transport_scores": f"with c as (select c_custkey, list_filter([c_acctbal / 10000, case when c_custkey % 3 != 0 then c_nationkey / 25.0::double end, 0.5::double], lambda x: x is not null) as ps from customer) select c_custkey, {_R('100 * list_sum(list_transform(ps, lambda x: greatest(0.0::double, least(1.0::double, x)))) / len(ps)', 'score')} from c",
     "value_percentiles": f"select event_type, {_R('quantile_cont(value, 0.5::double)', 'p50')}, {_R('quantile_cont(value, 0.95::double)', 'p95')} from events group by event_type",
