@@ -117,7 +117,10 @@ def clusters(table: np.ndarray) -> np.ndarray:
 
 
 def start(table: np.ndarray, seed: int = 3) -> tuple[Params, dict[str, np.ndarray]]:
-    """Trainable parameters, and what is fixed: the place of each class (cluster, place inside) and the direct terms."""
+    """Trainable parameters, and what is fixed: the place of each class (cluster, place inside) and the direct terms.
+
+    ``asks`` has a class's queries of all heads side by side, ``keys`` its keys of all heads and then its values.
+    """
     order = clusters(table)
     place = np.empty(SIZE, np.int64)
     place[order] = np.arange(SIZE)
@@ -129,9 +132,8 @@ def start(table: np.ndarray, seed: int = 3) -> tuple[Params, dict[str, np.ndarra
     distance = np.zeros((HEADS, KEYS), np.float32)
     distance[0] = -0.7 * np.arange(KEYS)
     p: Params = {"bias": distance, "own": small(SIZE, HIDDEN), "mix": small(HEADS * WIDTH, HIDDEN), "up": np.log(whole).astype(np.float32), "cluster": small(HIDDEN, CLUSTERS), "inside": small(CLUSTERS, HIDDEN, WITHIN)}
-    for h in range(HEADS):
-        p |= {f"{name}{h}": small(SIZE, WIDTH) * 2 for name in "qkv"}
-    return p, fixed
+    q, k, v = zip(*[[small(SIZE, WIDTH) * 2 for _ in "qkv"] for _ in range(HEADS)])
+    return p | {"asks": np.concatenate(q, 1), "keys": np.concatenate(k + v, 1)}, fixed
 
 
 _QUERY, _KEY = np.arange(KEYS - SCORED, KEYS)[:, None], np.arange(KEYS)[None, :]
@@ -163,148 +165,139 @@ def windows(texts: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.maximum(grid[:, :KEYS], 0), grid[:, KEYS - SCORED + 1 :].astype(np.int64), text
 
 
-def _attend(p: Params, h: int, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, ...]:
-    """The head's sums, last; ``keep``: with normalised weights, for gradients."""
-    q, k, v = p[f"q{h}"].take(x[:, KEYS - SCORED :], 0), p[f"k{h}"].take(x, 0), p[f"v{h}"].take(x, 0)
-    w = q @ k.transpose(0, 2, 1)
-    w += np.where(_HIDDEN_KEYS, np.float32(-1e9), p["bias"][h][_AWAY]).astype(np.float32)
-    np.exp(np.minimum(w, 40, out=w), out=w)
-    total = w @ _ONES + np.float32(1e-30)
-    o = w @ v
-    o /= total
-    if keep:
-        w /= total
-    return q, k, v, w, o
+def distances(p: Params) -> np.ndarray:
+    """The heads' terms by distance, at most 40 each, with the future left out."""
+    return np.stack([np.where(_HIDDEN_KEYS, np.float32(-1e9), np.minimum(p["bias"][h], 40)[_AWAY]).astype(np.float32) for h in range(HEADS)])
 
 
-def _hidden(p: Params, x: np.ndarray, heads: list) -> tuple[np.ndarray, np.ndarray]:
-    o = np.concatenate([a[4].reshape(-1, WIDTH) for a in heads], 1) if HEADS > 1 else heads[0][4].reshape(-1, WIDTH)
-    u = o @ p["mix"]
-    u += p["own"].take(x[:, KEYS - SCORED :].ravel(), 0)
-    return o, np.maximum(u, 0, out=u)
+def _at_most(z: np.ndarray, most: float) -> np.ndarray:
+    """``z``, in place; what is above ``most`` counts as that. It seldom is."""
+    return np.minimum(z, most, out=z) if z.max(initial=0) > most else z
 
 
-def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logits are logarithms of shares plus a bounded term; 60 is far above what they reach."""
-    z = np.minimum(z, 60, out=z)
-    found = z[np.arange(len(z)), at]
-    return found - np.log(np.exp(z, out=z) @ _ONE_EACH[: z.shape[1]] + np.float32(1e-30))
+def _attend(p: Params, h: int, x: np.ndarray, lasts: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a head by window: queries, keys, values and weights; by place: the weights' totals and the weighted means of values."""
+    of = slice(h * WIDTH, (h + 1) * WIDTH)
+    q, k, v = p["asks"][:, of].take(lasts, 0), p["keys"][:, of].take(x, 0), p["keys"][:, HEADS * WIDTH :][:, of].take(x, 0)
+    w = _at_most(q @ k.swapaxes(1, 2), 40)
+    w += bias[h]
+    total = np.exp(w, out=w).reshape(-1, KEYS) @ _ONES
+    total += np.float32(1e-30)
+    o = (w @ v).reshape(-1, WIDTH)
+    o /= total
+    return q, k, v, w, total, o
 
 
-def distances(p: Params) -> np.ndarray:
-    """The heads' terms by distance, with the future left out."""
-    return np.stack([np.where(_HIDDEN_KEYS, np.float32(-1e9), p["bias"][h][_AWAY]).astype(np.float32) for h in range(HEADS)])
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logits are logarithms of shares plus a bounded term; 60 is far above what they reach."""
+    found = np.minimum(z[np.arange(len(z)), at], 60)
+    return found - np.log(np.exp(_at_most(z, 60), out=z) @ _ONE_EACH[: z.shape[1]] + np.float32(1e-30))
 
 
 def log_probs(p: Params, fixed: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
     """Natural log probability of each target (0 where there is none), shaped like ``y``. ``bias``: ``distances(p)``, if it is at hand."""
     bias = distances(p) if bias is None else bias
+    x = x.astype(np.int64)
     lasts = np.ascontiguousarray(x[:, KEYS - SCORED :])
     u = p["own"].take(lasts.ravel(), 0)
     for h in range(HEADS):
-        w = p[f"q{h}"].take(lasts, 0) @ p[f"k{h}"].take(x, 0).transpose(0, 2, 1)
-        w += bias[h]
-        np.exp(np.minimum(w, 40, out=w), out=w)
-        total = w.reshape(-1, KEYS) @ _ONES
-        total += np.float32(1e-30)
-        o = (w @ p[f"v{h}"].take(x, 0)).reshape(-1, WIDTH)
-        o /= total
-        u += o @ p["mix"][h * WIDTH : (h + 1) * WIDTH]
+        u += _attend(p, h, x, lasts, bias)[-1] @ p["mix"][h * WIDTH : (h + 1) * WIDTH]
     np.maximum(u, 0, out=u)
-    to, last = y.ravel(), lasts.ravel().astype(np.int64)
+    to, last = y.ravel(), lasts.ravel()
     use = np.flatnonzero(to >= 0)
     # the rows of a cluster side by side
-    order = use[np.argsort(fixed["place"][to[use]].astype(np.int32), kind="stable")]
-    place = fixed["place"][to[order]]
+    order = use[np.argsort(fixed["place"][to[use]].astype(np.int16), kind="stable")]
+    place, last = fixed["place"][to[order]], last[order]
     c, i = place // WITHIN, place % WITHIN
     ends = np.searchsorted(c, np.arange(CLUSTERS + 1))
-    u, last = u.take(order, 0), last[order]
+    u = u.take(order, 0)
     z = u @ p["cluster"]
     z += p["up"].take(last, 0)
     found = _log_softmax_at(z, c)
-    inside = np.empty((len(order), WITHIN), np.float32)
     for k in range(CLUSTERS):
-        np.matmul(u[ends[k] : ends[k + 1]], p["inside"][k], out=inside[ends[k] : ends[k + 1]])
-    inside += fixed["inside"].take(last * CLUSTERS + c, 0)
-    found += _log_softmax_at(inside, i)
+        np.matmul(u[ends[k] : ends[k + 1]], p["inside"][k], out=z[ends[k] : ends[k + 1]])
+    z += fixed["inside"].take(last * CLUSTERS + c, 0)
+    found += _log_softmax_at(z, i)
     out = np.zeros(y.size)
     out[order] = found
     return out.reshape(y.shape)
 
 
-def _grouping(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that puts equal classes side by side, where each begins in it, and which they are."""
+def _scatter(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of rows by class, columns two by two: sums of complex numbers take half the calls."""
     order = np.argsort(at.astype(np.int16), kind="stable")
     s = at[order]
     edge = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    return order, edge, s[edge]
-
-
-def _scatter(n: int, grouping: tuple[np.ndarray, np.ndarray, np.ndarray], values: np.ndarray) -> np.ndarray:
-    """Sums of rows by class."""
-    order, edge, which = grouping
-    out = np.zeros((n, values.shape[1]), np.float32)
-    out[which] = np.add.reduceat(values.take(order, 0), edge, axis=0)
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    out[s[edge]] = np.add.reduceat(values.take(order, 0).view(np.result_type(values, np.complex64)), edge, axis=0).view(values.dtype)
     return out
 
 
 def _shares(z: np.ndarray, at: np.ndarray, n: int) -> tuple[float, np.ndarray]:
     """Summed negative log share of the entries ``at``, and the gradient by the logits of the mean over ``n``."""
-    np.exp(np.minimum(z, 60, out=z), out=z)
-    z /= (z @ _ONE_EACH[: z.shape[1]] + np.float32(1e-30))[:, None]
+    total = np.exp(_at_most(z, 60), out=z) @ _ONE_EACH[: z.shape[1]] + np.float32(1e-30)
     rows = np.arange(len(z))
-    loss = -float(np.log(z[rows, at] + np.float32(1e-30)).sum(dtype=np.float64))
-    z[rows, at] -= 1
-    z *= np.float32(1 / n)
+    loss = -float(np.log(z[rows, at] / total + np.float32(1e-30)).sum(dtype=np.float64))
+    z *= (np.float32(1 / n) / total)[:, None]
+    z[rows, at] -= np.float32(1 / n)
     return loss, z
 
 
 def gradients(p: Params, fixed: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, Params]:
     """Mean negative log probability per target and its gradient."""
-    to = y.ravel()
+    x = x.astype(np.int64)
+    to, lasts = y.ravel(), np.ascontiguousarray(x[:, KEYS - SCORED :])
     use = np.flatnonzero(to >= 0)
     n = max(1, len(use))
-    heads = [_attend(p, h, x, keep=True) for h in range(HEADS)]
-    o, u_all = _hidden(p, x, heads)
-    lasts = x[:, KEYS - SCORED :].ravel().astype(np.int64)
+    bias = distances(p)
+    heads = [_attend(p, h, x, lasts, bias) for h in range(HEADS)]
+    o = np.concatenate([a[-1] for a in heads], 1)
     # the rows of a cluster side by side
     order = use[np.argsort(fixed["place"][to[use]].astype(np.int16), kind="stable")]
-    place, last, u = fixed["place"][to[order]], lasts[order], u_all.take(order, 0)
+    place, last = fixed["place"][to[order]], lasts.ravel()[order]
     c, i = place // WITHIN, place % WITHIN
-    ends = np.searchsorted(c, np.arange(CLUSTERS + 1))
-    loss, e = _shares(u @ p["cluster"] + p["up"].take(last, 0), c, n)
-    g: Params = {"cluster": u.T @ e, "up": _scatter(SIZE, _grouping(last), e), "inside": np.zeros_like(p["inside"])}
-    du = e @ p["cluster"].T
-    w = fixed["inside"].take(last * CLUSTERS + c, 0)
-    parts = [(k, slice(ends[k], ends[k + 1])) for k in range(CLUSTERS) if ends[k] < ends[k + 1]]
-    for k, r in parts:
-        w[r] += u[r] @ p["inside"][k]
-    more, w = _shares(w, i, n)
-    for k, r in parts:
-        np.matmul(u[r].T, w[r], out=g["inside"][k])
-        du[r] += w[r] @ p["inside"][k].T
-    full = np.zeros_like(u_all)
-    full[order] = du
-    full *= u_all > 0
-    g["mix"] = o.T @ full
-    do = (full @ p["mix"].T).reshape(len(x), SCORED, HEADS, WIDTH)
-    g["bias"] = np.zeros_like(p["bias"])
-    by_key, by_last = [], [full]
-    for h, (q, k, v, w, _) in enumerate(heads):
-        d = np.ascontiguousarray(do[:, :, h])
-        by_key.append((w.transpose(0, 2, 1) @ d).reshape(-1, WIDTH))
-        ds = d @ v.transpose(0, 2, 1)
-        ds -= ((ds * w).reshape(-1, KEYS) @ _ONES).reshape(len(x), SCORED, 1)
+    ends = np.searchsorted(c, np.arange(CLUSTERS + 1)).tolist()
+    u = (o @ p["mix"]).take(order, 0)
+    u += p["own"].take(last, 0)
+    np.maximum(u, 0, out=u)
+    e = u @ p["cluster"]
+    e += p["up"].take(last, 0)
+    loss, e = _shares(e, c, n)
+    g: Params = {"cluster": u.T @ e, "inside": np.zeros_like(p["inside"])}
+    parts = [(j, slice(ends[j], ends[j + 1])) for j in range(CLUSTERS) if ends[j] < ends[j + 1]]
+    z = np.empty((len(order), WITHIN), u.dtype)
+    for j, r in parts:
+        np.matmul(u[r], p["inside"][j], out=z[r])
+    z += fixed["inside"].take(last * CLUSTERS + c, 0)
+    more, z = _shares(z, i, n)
+    du = np.empty_like(u)
+    for j, r in parts:
+        np.matmul(u[r].T, z[r], out=g["inside"][j])
+        np.matmul(z[r], p["inside"][j].T, out=du[r])
+    du += e @ p["cluster"].T
+    du *= u > 0
+    # what goes to a last id's own vector, to its shares of clusters and to its queries; and to a key and its value
+    full, ups = np.zeros((y.size, HIDDEN), u.dtype), np.zeros((y.size, CLUSTERS), u.dtype)
+    full[order], ups[order] = du, e
+    g["mix"], g["bias"] = o.T @ full, np.zeros_like(p["bias"])
+    asked, keys, values = [], [], []
+    for h, (q, k, v, w, total, o) in enumerate(heads):
+        d = full @ p["mix"][h * WIDTH : (h + 1) * WIDTH].T
+        d /= total
+        meant = (d * o) @ _ONE_EACH[:WIDTH]
+        d = d.reshape(len(x), SCORED, WIDTH)
+        values.append((w.swapaxes(1, 2) @ d).reshape(-1, WIDTH))
+        ds = d @ v.swapaxes(1, 2)
+        ds -= meant.reshape(len(x), SCORED, 1)
         ds *= w
-        by_last.append((ds @ k).reshape(-1, WIDTH))
-        by_key.append((ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH))
-        g["bias"][h] = np.bincount(_AWAY.ravel(), ds.sum(0).ravel() * ~_HIDDEN_KEYS.ravel(), KEYS)
-    keys = _scatter(SIZE, _grouping(x.ravel().astype(np.int64)), np.concatenate(by_key, 1))
-    asked = _scatter(SIZE, _grouping(lasts), np.concatenate(by_last, 1))
-    g["own"] = asked[:, :HIDDEN]
-    for h in range(HEADS):
-        g[f"v{h}"], g[f"k{h}"] = keys[:, 2 * h * WIDTH :][:, :WIDTH], keys[:, (2 * h + 1) * WIDTH :][:, :WIDTH]
-        g[f"q{h}"] = asked[:, HIDDEN + h * WIDTH :][:, :WIDTH]
+        keys.append((ds.swapaxes(1, 2) @ q).reshape(-1, WIDTH))
+        asked.append((ds @ k).reshape(-1, WIDTH))
+        sums = np.ones(len(x), ds.dtype) @ ds.reshape(len(x), -1)
+        g["bias"][h] = np.bincount(_AWAY.ravel(), sums * ~_HIDDEN_KEYS.ravel(), KEYS)
+    by_key, by_last = np.concatenate(keys + values, 1), np.concatenate([full, ups, *asked], 1)
+    g["keys"] = _scatter(SIZE, x.ravel(), by_key)
+    lines = _scatter(SIZE, lasts.ravel(), by_last)
+    g["own"], g["up"], g["asks"] = lines[:, :HIDDEN], lines[:, HIDDEN : HIDDEN + CLUSTERS], lines[:, HIDDEN + CLUSTERS :]
     return (loss + more) / n, g
 
 
@@ -317,7 +310,7 @@ def train(p: Params, fixed: dict[str, np.ndarray], texts: list[np.ndarray], step
     order, losses = np.empty(0, np.int64), []
     at = flat(p)
     p = views(at, p)
-    m, s, t = np.zeros((3, at.size), np.float32)
+    m, s, t, d = np.zeros((4, at.size), np.float32)
     for step in range(1, steps + 1):
         if len(order) < batch:
             order = np.concatenate([order, rng.permutation(len(x))])
@@ -325,13 +318,16 @@ def train(p: Params, fixed: dict[str, np.ndarray], texts: list[np.ndarray], step
         loss, g = gradients(p, fixed, x[pick], y[pick])
         losses.append(loss)
         now = rate * min(1.0, step / 20) * (1 - step / (steps + 1))
-        d = flat(g)
-        m += np.multiply(np.subtract(d, m, out=t), 0.1, out=t)
-        np.multiply(d, d, out=d)
-        s += np.multiply(np.subtract(d, s, out=t), 0.01, out=t)
-        np.sqrt(np.multiply(s, 1 / (1 - 0.99**step), out=t), out=t)
-        np.divide(m, np.add(t, 1e-8, out=t), out=t)
-        at -= np.multiply(t, now / (1 - 0.9**step), out=t)
+        for k, v in views(d, p).items():
+            v[...] = g[k]
+        # m and s are ten and a hundred times the means, which the factors at the end make up for
+        m *= 0.9
+        m += d
+        s *= 0.99
+        s += np.multiply(d, d, out=d)
+        half = ((1 - 0.99**step) / 0.01) ** 0.5
+        np.divide(m, np.add(np.sqrt(s, out=t), 1e-8 * half, out=t), out=t)
+        at -= np.multiply(t, now * half * 0.1 / (1 - 0.9**step), out=t)
     return p, float(np.mean(losses[-20:]))
 
 

@@ -2,25 +2,27 @@
 
 1. Words of all texts are counted per task and summed by word, those of training texts apart: (word, n, seen),
    written. Its size follows the corpus. Numbers of words and distinct words come from it.
-2. The model: ids of words weighted by their counts give the vocabulary and the transitions (two sums of fixed
-   size); gradients go over all training texts, where the texts are, and the parameters of the tasks are averaged
-   by weight. ``START_DOCS`` training texts on the driver give the parameters that all tasks begin with.
-3. One pass scores every text. The counts of at most ``HOT`` words, those that all texts, held-out ones too, hold
-   more often than a number found from a histogram, are sent to the tasks; words beyond them stay with their
-   document, are exploded, joined with the counts by word and summed by document. A frequent word is therefore
-   never a join key, whether it was learnt from or not.
+2. Ids of words weighted by their counts give the vocabulary and the transitions (two sums of fixed size).
+3. One pass cuts every text into classes and adds up its base score; both are written, for the passes to come. The
+   counts of at most ``HOT`` words, those that all texts, held-out ones too, hold more often than a number found from
+   a histogram, are sent to the tasks; words beyond them stay with their document, are exploded, joined with the
+   counts by word and summed by document. A frequent word is therefore never a join key, whether it was learnt from
+   or not.
+4. The model: gradients go over the classes of all training texts, where they are, and the parameters of the tasks
+   are averaged by weight. ``START_DOCS`` training texts on the driver give the parameters that all tasks begin with.
+5. One pass scores the classes of every text.
 """
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyweft.llm import lm
@@ -120,75 +122,134 @@ def _move_sums(pairs: DataFrame, cls: np.ndarray) -> np.ndarray:
     return out.reshape(size + 2, size)
 
 
-class _Classes(dict):
-    """Words to their classes as uint16 bytes, and to the log shares of rare ids where they have any. Bounded: a full table is emptied."""
+class _Words:
+    """Words to numbers, and by number their classes as uint16 bytes, their log base shares, the log shares of their rare ids, and what they are:
+    neither, COLD (not among ``hot``) or STRANGE (never learnt from). Bounded: a full table is emptied."""
 
     MOST = 300_000
+    COLD, STRANGE = 1, 2
 
-    def __init__(self, words: lm.Subwords, cls: np.ndarray, share: np.ndarray):
-        super().__init__()
-        self._words, self._cls, self._share, self.rare = words, cls.astype(np.uint16), share, {}
+    def __init__(self, words: lm.Subwords, cls: np.ndarray, share: np.ndarray, hot: dict[bytes, float], strange: frozenset[bytes]):
+        self._words, self._cls, self._share, self._hot, self._strange = words, cls.astype(np.uint16), share, hot, strange
+        self._empty()
+
+    def _empty(self) -> None:
+        self._of: dict[bytes, int] = {}
+        self._code: list[bytes] = []
+        self._base, self._rare, self._kind = np.zeros(self.MOST), np.zeros(self.MOST), np.zeros(self.MOST, np.int8)
 
     def _learn(self, new: list[bytes]) -> None:
         ids, begins = self._words.many(new)
-        if not len(new):
-            return
-        starts = np.flatnonzero(begins)
-        classes = self._cls[ids]
-        code, edges = classes.tobytes(), [*(2 * starts).tolist(), 2 * len(classes)]
-        self.update((w, code[a:b]) for w, a, b in zip(new, edges, edges[1:]))
-        rare = classes == lm.RARE
-        some = np.flatnonzero(np.logical_or.reduceat(rare, starts))
-        # ids of their own have a log share of 0
-        sums = np.add.reduceat(self._share[ids], starts)[some].tolist()
-        self.rare.update((new[i], v) for i, v in zip(some.tolist(), sums))
-
-    def texts(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The classes of texts of words."""
-        if len(self) > self.MOST:
-            self.clear()
-            self.rare.clear()
-        self._learn([w for w in set().union(*texts) if w not in self])
-        return [np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint16) for words in texts]
-
-
-def learnt(texts: DataFrame, counts: DataFrame, ranks: str, pattern: str) -> dict:
-    """The model: classes, shares, fixed terms and parameters. Every text gives gradients; ``windows`` is the number of windows that did."""
-    spark = texts.sparkSession
+        starts, n = np.flatnonzero(begins), len(self._code)
+        code, edges = self._cls[ids].tobytes(), [*(2 * starts).tolist(), 2 * len(ids)]
+        self._code += [code[a:b] for a, b in zip(edges, edges[1:])]
+        self._of.update(zip(new, range(n, n + len(new))))
+        more = max(0, n + len(new) - len(self._base))
+        if more:
+            self._base, self._rare, self._kind = (np.concatenate([x, np.zeros(max(more, len(x)), x.dtype)]) for x in (self._base, self._rare, self._kind))
+        at = slice(n, n + len(new))
+        found = list(map(self._hot.get, new))
+        self._base[at] = [f or 0.0 for f in found]
+        self._rare[at] = np.add.reduceat(self._share[ids], starts)  # ids of their own have a log share of 0
+        self._kind[at] = [self.COLD if f is None else self.STRANGE * (w in self._strange) for w, f in zip(new, found)]
+
+    def coded(self, texts: list[list[bytes]]) -> Iterator[tuple[bytes, float, float, int, list[bytes]]]:
+        """Of texts of words: their classes, log base share, log shares of rare ids, number of strange words, and cold words."""
+        if len(self._code) > self.MOST:
+            self._empty()
+        numbers, missed = [list(map(self._of.get, words)) for words in texts], []
+        for words, found in zip(texts, numbers):
+            i = -1
+            with contextlib.suppress(ValueError):  # there are no more
+                while True:
+                    i = found.index(None, i + 1)
+                    missed.append((found, i, words[i]))
+        if missed:
+            self._learn(list(dict.fromkeys(w for _, _, w in missed)))
+            for found, i, w in missed:
+                found[i] = self._of[w]
+        for words, found in zip(texts, numbers):
+            at = np.array(found, np.int64)
+            kind = self._kind[at]
+            cold = [words[i] for i in np.flatnonzero(kind == self.COLD).tolist()]
+            yield b"".join(map(self._code.__getitem__, found)), float(self._base[at].sum()), float(self._rare[at].sum()), int(np.count_nonzero(kind == self.STRANGE)), cold
+
+
+def _classes(codes: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(c, np.uint16) for c in codes.to_pylist()]
+
+
+def _vocabulary(spark: SparkSession, counts: DataFrame, ranks: str, pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each subword id its class and log share, and the smoothed transitions of classes."""
     pairs = written(pair_counts(counts, ranks, pattern), "pairs")
     cls, share = lm.vocabulary(_id_sums(pairs, lm.Subwords(ranks, pattern).n_ids))
     moves = _move_sums(pairs, cls)
     ends = counts.where((F.col("word") == F.lit(END)) & (F.col("n") > 0)).select("n").first()
-    table = lm.transitions(moves[:-2], moves[-2], moves[-1], float(ends["n"]) if ends else 0.0)
+    return cls, share, lm.transitions(moves[:-2], moves[-2], moves[-1], float(ends["n"]) if ends else 0.0)
+
+
+def _coded(texts: DataFrame, cls: np.ndarray, share: np.ndarray, hot: dict[bytes, float], strange: frozenset[bytes], ranks: str, pattern: str) -> DataFrame:
+    """(row, doc_id, learn, n_tokens, n_strange, base, rare, cold, code) of every text, cut and looked up once for all that follows.
+
+    ``base`` has the words of ``hot``, ``cold`` the others; ``code`` is the text's classes as uint16.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast((cls, share, hot, strange))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
+        cls, share, hot, strange = sent.value
+        table = _Words(lm.Subwords(ranks, pattern), cls, share, hot, strange)
+        end, end_cold = hot.get(END) or 0.0, [] if END in hot else [END]
+        for batch in batches:
+            for group in lm.chunked(zip(*(c.to_pylist() for c in batch.columns)), 1_000_000, lambda r: len(r[1] or b"")):
+                words_of = [(t or b"").lower().split() for _, t, _ in group]
+                code, base, rare, n_strange, cold = zip(*table.coded(words_of))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r[0] for r in group], pa.int64()), pa.array([r[2] for r in group], pa.bool_()), pa.array([len(w) + 1 for w in words_of], pa.int64()),
+                        pa.array([n + (END in strange) for n in n_strange], pa.int64()), pa.array([b + end for b in base], pa.float64()), pa.array(rare, pa.float64()),
+                        pa.array([c + end_cold for c in cold], pa.list_(pa.binary())), pa.array(code, pa.binary()),
+                    ],
+                    names=["doc_id", "learn", "n_tokens", "n_strange", "base", "rare", "cold", "code"],
+                )
+        del table
+        give_back()
+
+    rows = texts.select("doc_id", "t", "learn").mapInArrow(run, "doc_id long, learn boolean, n_tokens long, n_strange long, base double, rare double, cold array<binary>, code binary")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "coded")
+    sent.unpersist()
+    return rows
+
+
+def _trained(coded: DataFrame, table: np.ndarray) -> dict:
+    """Fixed terms and parameters. Every text gives gradients; ``windows`` is the number of windows that did."""
+    spark = coded.sparkSession
     begin, fixed = lm.start(table)
     order = F.xxhash64(F.lit(1), "doc_id")
-    sample = texts.select(order.alias("o"), "doc_id").orderBy("o", "doc_id").limit(START_DOCS)  # START_DOCS ids
-    rows = texts.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").select("t").limit(START_DOCS).collect()
-    classes = _Classes(lm.Subwords(ranks, pattern), cls, share)
-    start = sorted(classes.texts([bytes(r["t"] or b"").lower().split() for r in rows]), key=lambda a: a.tobytes())
+    sample = coded.select(order.alias("o"), "doc_id").orderBy("o", "doc_id").limit(START_DOCS)  # START_DOCS ids
+    rows = coded.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").select("code").limit(START_DOCS).collect()
+    start = [np.frombuffer(c, np.uint16) for c in sorted(bytes(r["code"]) for r in rows)]
     windows = sum(-(-(len(t) + 1) // lm.SCORED) for t in start)
     params, _ = lm.train(begin, fixed, start, min(STEPS, -(-PASSES * windows // START_WINDOWS)), RATE, START_WINDOWS)
-    sent = spark.sparkContext.broadcast((cls, share, fixed, params))
+    sent = spark.sparkContext.broadcast((fixed, params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memory()
-        cls, share, fixed, params = sent.value
-        classes = _Classes(lm.Subwords(ranks, pattern), cls, share)
+        fixed, params = sent.value
         now, weight = params, 0
         for batch in batches:
-            own = classes.texts([(t or b"").lower().split() for t in batch.column(0).to_pylist()])
+            own = _classes(batch.column(0))
             n = sum(-(-(len(t) + 1) // lm.SCORED) for t in own)
             for group in lm.chunked(own, 400_000, len):
                 steps = max(1, sum(-(-(len(t) + 1) // lm.SCORED) for t in group) // SHARE_STEP_WINDOWS)
                 now = lm.train(now, fixed, group, steps, SHARE_RATE, SHARE_STEP_WINDOWS)[0]
             weight += n
-        del classes
         give_back()
         if weight:
             v = (lm.flat(now).astype(np.float64) - lm.flat(params)) * weight
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v) + 1)), pa.array(np.append(v, weight))], names=["at", "v"])
 
-    moved = texts.select("t").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # a row per parameter
+    moved = coded.select("code").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # a row per parameter
     windows = 0
     if len(moved):
         v = np.zeros(int(moved["at"].max()) + 1)
@@ -196,7 +257,13 @@ def learnt(texts: DataFrame, counts: DataFrame, ranks: str, pattern: str) -> dic
         windows = int(v[-1])
         params = lm.unflat(lm.flat(params) + v[:-1] / v[-1], params)
     sent.unpersist()
-    return {"cls": cls, "share": share, "fixed": fixed, "params": params, "windows": windows}
+    return {"fixed": fixed, "params": params, "windows": windows}
+
+
+def learnt(texts: DataFrame, counts: DataFrame, ranks: str, pattern: str) -> dict:
+    """The model of all ``texts``: classes, shares, fixed terms and parameters."""
+    cls, share, table = _vocabulary(texts.sparkSession, counts, ranks, pattern)
+    return {"cls": cls, "share": share, **_trained(_coded(texts, cls, share, {}, frozenset(), ranks, pattern), table)}
 
 
 def _hot(counts: DataFrame) -> dict[bytes, int]:
@@ -228,42 +295,26 @@ def scored(docs: DataFrame, learn: Column, ranks: str, pattern: str, id_col: str
     hot_counts = _hot(counts)
     hot = {w: float(np.log10((c + 0.5) / least)) if least else 0.0 for w, c in hot_counts.items()}
     strange = frozenset(w for w, c in hot_counts.items() if not c)
-    sent = spark.sparkContext.broadcast((learnt(texts.where("learn"), counts, ranks, pattern), hot, strange))
+    cls, share, table = _vocabulary(spark, counts, ranks, pattern)
+    coded = _coded(texts, cls, share, hot, strange, ranks, pattern)
+    sent = spark.sparkContext.broadcast(_trained(coded.where("learn"), table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memory()
-        model, hot, strange = sent.value
-        classes = _Classes(lm.Subwords(ranks, pattern), model["cls"], model["share"])
+        model = sent.value
         for batch in batches:
-            both = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for group in lm.chunked(both, 1_000_000, lambda r: len(r[1] or b"")):
-                ids, extra, n_tokens, n_strange, base, cold = [], [], [], [], [], []
-                words_of = [(t or b"").lower().split() for _, t in group]
-                sequences = classes.texts(words_of)
-                for (doc_id, _), words, sequence in zip(group, words_of, sequences):
-                    extra.append(sum(filter(None, map(classes.rare.get, words))) if (sequence == lm.RARE).any() else 0.0)
-                    words.append(END)
-                    found = list(map(hot.get, words))
-                    cold.append(list(compress(words, [f is None for f in found])))
-                    base.append(sum(filter(None, found)))
-                    ids.append(doc_id)
-                    n_tokens.append(len(words))
-                    n_strange.append(sum(map(strange.__contains__, words)) if strange else 0)
-                score = (lm.text_scores(model["params"], model["fixed"], sequences) + np.array(extra)) / lm.LOG10
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_strange, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(cold, pa.list_(pa.binary()))],
-                    names=["doc_id", "n_tokens", "n_strange", "base", "score", "cold"],
-                )
-        del classes
+            for group in lm.chunked(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _classes(batch.column(2))), 400_000, lambda r: len(r[2])):
+                row, rare, own = zip(*group)
+                score = (lm.text_scores(model["params"], model["fixed"], list(own)) + np.array(rare)) / lm.LOG10
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(score)], names=["row", "score"])
         give_back()
 
-    rows = texts.select("doc_id", "t").mapInArrow(run, "doc_id long, n_tokens long, n_strange long, base double, score double, cold array<binary>")
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scores")
-    words = rows.select("row", F.explode("cold").alias("word"))
+    scores = written(coded.select("row", "rare", "code").mapInArrow(run, "row long, score double"), "scores")
+    rows = coded.select("row", "doc_id", "n_tokens", "n_strange", "base", F.size("cold").alias("n_cold")).join(scores, "row")
+    words = coded.select("row", F.explode("cold").alias("word"))
     value = F.log10((F.col("n") + 0.5) / F.lit(float(least))) if least else F.lit(0.0)
     summed = words.join(counts.select("word", "n"), "word").groupBy("row").agg(F.sum(value).alias("more"), F.count_if(F.col("n") > 0).alias("known"))
-    n_cold = F.size("cold")
     return rows.join(summed, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_tokens") - F.col("n_strange") - n_cold + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        "doc_id", "n_tokens", (F.col("n_tokens") - F.col("n_strange") - F.col("n_cold") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
     )

@@ -644,3 +644,28 @@ def test_words_cut_together_equal_words_cut_alone():
     ids, begins = words.many(texts)
     cut = np.split(ids, np.flatnonzero(begins)[1:])
     assert [c.tolist() for c in cut] == [words.ids(t) for t in texts]
+
+
+def test_coded_words_equal_words_looked_up_alone(monkeypatch):
+    monkeypatch.setattr(lm_scoring._Words, "MOST", 4)  # the table is emptied again and again
+    words = lm.Subwords(tokenizer_path("byte_bpe_50k.tiktoken"), pretoken_pattern())
+    rng = np.random.default_rng(6)
+    cls, share = lm.vocabulary(rng.integers(0, 9, words.n_ids).astype(float))
+    hot, strange = {b"river": -1.5, b"stone": -2.0, b"odd": -3.0}, frozenset([b"odd"])
+    table = lm_scoring._Words(words, cls, share, hot, strange)
+    for texts in ([[b"river", b"river", b"odd"], []], [[b"moss", b"stone", b"moss", b"\xff"]], [[b"it's", b"river"], [b"xylophones", b"moss", b"odd", b"odd"]]):
+        for text, (code, base, rare, n_strange, cold) in zip(texts, table.coded(texts)):
+            ids = [i for w in text for i in words.ids(w)]
+            assert code == cls[ids].astype(np.uint16).tobytes() and cold == [w for w in text if w not in hot]
+            assert base == pytest.approx(sum(hot.get(w, 0) for w in text)) and rare == pytest.approx(share[ids].sum()) and n_strange == sum(w in strange for w in text)
+
+
+def test_language_model_reads_texts_twice(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"river stone {i} cloud") for i in range(20)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    seen = []
+    monkeypatch.setattr(lm_scoring, "written", lambda df, name: (seen.append((name, any("/docs/" in f for f in df.inputFiles()))), common.written(df, name))[1])
+    monkeypatch.setattr(lm_scoring, "STEPS", 2)
+    assert lm_scoring.scored(spark.read.parquet(f"{tmp_path}/docs"), F.col("doc_id") % 5 != 1, tokenizer_path("byte_bpe_50k.tiktoken"), pretoken_pattern()).count() == 20
+    # once for the counts and once for the classes, which gradients and scores read
+    assert [name for name, texts in seen if texts] == ["word-counts", "coded"]
